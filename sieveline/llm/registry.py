@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sieveline.llm import media, mixing, packing, urls
+from sieveline.llm import media, mixing, packing, quality, toxicity, urls
 from sieveline.llm._shared import ensure_workers
 
 
@@ -29,6 +30,15 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, with_ids=False)
 
 
+def held_out(parts: int, held: int) -> Column:
+    return ~quality.learns(F.col("doc_id"), parts, held)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, _read(spark, sf_dir, "labels"), cut=0.7).select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -38,8 +48,13 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_read(spark, sf_dir, "documents")).select(*cols)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), cut=0.3)
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted", "evidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op8_source_mixing, op9_media_columns)}
+    return {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op7_quality_classifier, op8_source_mixing, op9_media_columns, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
