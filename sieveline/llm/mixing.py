@@ -32,6 +32,7 @@ from sieveline.llm._text import mix as mix_bits
 from sieveline.llm._text import rows_of, word_counts
 
 WEIGHTS = (5.0, 2.0, 1.0)
+STRETCH = 1 << 16
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -96,28 +97,27 @@ def streams(sized: DataFrame, salts: int = 64) -> DataFrame:
 
 
 def slots(goal: DataFrame, block_words: int, shards: int, seed: int) -> DataFrame:
-    """(no_source, source, shard, pass, block) for each slot of each source."""
+    """(no_source, source, shard, pass, block) for each slot of each source, drawn in stretches of STRETCH slots."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for no, src, size, target in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n = -(-size // block_words)
-                k = int(target * n / size + 1e-9) if size else 0
+            for no, src, n, k, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 own = zlib.crc32(src.encode()) * 2 + no + seed * 0x1F123BB5
-                counts = np.random.default_rng(own).multinomial(k, np.full(shards, 1 / shards))
-                ends = np.cumsum(counts)
-                for at in range(0, k, 1 << 16):
-                    i = np.arange(at, min(k, at + (1 << 16)))
-                    block = np.zeros(len(i), np.int64)
-                    for p in np.unique(i // n):
-                        here = i // n == p
-                        block[here] = permuted(i[here] % n, n, own * 31 + int(p))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([no] * len(i)), pa.array([src] * len(i)), pa.array(np.searchsorted(ends, i, side="right").astype(np.int32)), pa.array((i // n).astype(np.int32)), pa.array(block)],
-                        names=["no_source", "source", "shard", "pass", "block"],
-                    )
-
-    return goal.select("no_source", "source", "source_size", "target").mapInArrow(draw, "no_source boolean, source string, shard int, pass int, block long")
+                ends = np.cumsum(np.random.default_rng(own).multinomial(k, np.full(shards, 1 / shards)))
+                i = np.arange(at, min(k, at + STRETCH))
+                block = np.zeros(len(i), np.int64)
+                for p in np.unique(i // n):
+                    here = i // n == p
+                    block[here] = permuted(i[here] % n, n, own * 31 + int(p))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([no] * len(i)), pa.array([src] * len(i)), pa.array(np.searchsorted(ends, i, side="right").astype(np.int32)), pa.array((i // n).astype(np.int32)), pa.array(block)],
+                    names=["no_source", "source", "shard", "pass", "block"],
+                )
+
+    n = F.ceil(F.col("source_size") / block_words)
+    rows = goal.where("source_size > 0").select("no_source", "source", n.alias("n"), F.floor(F.col("target") * n / F.col("source_size") + 1e-9).alias("k")).where("k > 0")
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("k") - 1, F.lit(STRETCH))))
+    return rows.repartition("source", "at").mapInArrow(draw, "no_source boolean, source string, shard int, pass int, block long")
 
 
 def takes(docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int = 1, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0) -> DataFrame:
@@ -130,11 +130,11 @@ def takes(docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int =
     b = F.lit(block_words)
     held = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
     lo, hi = F.greatest(F.col("block") * b, "start") - F.col("start"), F.least((F.col("block") + 1) * b, F.col("start") + F.col("size")) - F.col("start")
-    joined = held.join(chosen, ["no_source", "source", "block"]).withColumn("pass", F.explode("passes"))
+    joined = held.join(chosen.hint("merge"), ["no_source", "source", "block"]).withColumn("pass", F.explode("passes"))
     parts = joined.select("no_source", "source", "start", F.struct("pass", lo.alias("first"), hi.alias("last")).alias("s"))
     got = parts.groupBy("no_source", "source", "start").agg(F.sum(F.col("s.last") - F.col("s.first")).alias("taken"), F.sort_array(F.collect_list("s")).alias("segments"))
     got = got.withColumn("owns", F.lit(True))
-    out = placed.withColumn("owns", F.col("size") > 0).join(got, ["no_source", "source", "start", "owns"], "left").join(goal, ["no_source", "source"])
+    out = placed.withColumn("owns", F.col("size") > 0).join(got.hint("merge"), ["no_source", "source", "start", "owns"], "left").join(goal, ["no_source", "source"])
     return out.select("doc_id", "text_hash", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "segments")
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm._shared import ensure_workers, with_row_text
+from sieveline.llm._shared import ensure_workers, materialize, with_row_text
 from sieveline.llm._text import rows_of
 from sieveline.llm.quality import labelled_sample
 
@@ -35,6 +35,8 @@ FEATURES = 4_096
 BLOCK = 64
 #: Chi-squared that ties a feature to toxicity: chance gives it to fewer than one of ten million features.
 CHI = 60.0
+#: Share of the toxic examples that must hold a feature, so that no one group of near copies makes one.
+SUPPORT = 0.01
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 
@@ -133,7 +135,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
     """The index of at most `sample` labelled rows of docs and at most `most` features."""
     ensure_workers(docs.sparkSession)
     chosen = F.broadcast(labelled_sample(labels, "toxic", sample))
-    rows = with_row_text(docs.select(F.col("doc_id").cast("long"), "text")).join(chosen, "doc_id")
+    rows = with_row_text(docs.select(F.col("doc_id").cast("long"), "text")).join(chosen, "doc_id").select("doc_id", "text", "label")
+    words = F.split(F.lower("text"), r"\W+")
+    least = [F.array_min(F.transform(words, lambda w, s=s: F.xxhash64(w, F.lit(s)))).alias(f"s{s}") for s in range(3)]
+    rows = materialize(rows.select("*", *least), "examples")
+    # of texts whose words share three minimum hashes, copies mostly, one teaches
+    kept = rows.groupBy("s0", "s1", "s2", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    rows = rows.join(F.broadcast(kept.distinct()), "doc_id").select("doc_id", "text", "label")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, 500):
@@ -146,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
 
     kinds = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = kinds.get(1, 0), kinds.get(0, 0)
-    counts = rows.select("doc_id", "text", "label").mapInArrow(seen, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).where("a >= 4")
+    counts = rows.mapInArrow(seen, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).where(F.col("a") >= max(4, SUPPORT * n1))
     n = float(max(n1 + n0, 1))
     a, b, c, d = F.col("a"), F.col("b"), F.lit(n1) - F.col("a"), F.lit(n0) - F.col("b")
     chi = F.lit(n) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * F.lit(float(max(n1, 1))) * F.lit(float(max(n0, 1))) + F.lit(1e-9))
@@ -161,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
             got = [sorted(count(t).items()) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([[x for x, _ in g] for g in got], pa.list_(pa.string())), pa.array([[k for _, k in g] for g in got], pa.list_(pa.int64()))], names=["doc_id", "label", "f", "n"])
 
-    held = rows.select("doc_id", "text", "label").mapInArrow(rep, "doc_id long, label int, f array<string>, n array<long>")
+    held = rows.mapInArrow(rep, "doc_id long, label int, f array<string>, n array<long>")
     held = held.groupBy("doc_id").agg(F.min(F.struct("f", "n", "label")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toPandas()  # at most `sample` rows
     vectors = [vector(dict(zip(f, k, strict=True)), number, idf) for f, k in zip(held["f"], held["n"], strict=True)]
     full = np.array([len(v[0]) > 0 for v in vectors], bool)
