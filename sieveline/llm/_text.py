@@ -6,6 +6,7 @@ mixed; equal words have equal hashes everywhere and on every run."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,21 +41,21 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each word in bytes, chunk by chunk so that memory stays bounded."""
-    hashes, starts = [], []
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of each word in bytes, chunk by chunk so that memory stays bounded."""
+    hashes, starts, ends = [], [], []
     at = 0
     while at < len(raw):
         end = min(len(raw), at + CHUNK)
         while end < len(raw):  # end between words
-            spaces = np.flatnonzero(_SPACE[raw[at:end]]) if end - at <= CHUNK else np.flatnonzero(_SPACE[raw[end - CHUNK : end]])
+            low = max(at, end - CHUNK)
+            spaces = np.flatnonzero(_SPACE[raw[low:end]])
             if len(spaces):
-                end = (at if end - at <= CHUNK else end - CHUNK) + int(spaces[-1]) + 1
+                end = low + int(spaces[-1]) + 1
                 break
             end = min(len(raw), end + CHUNK)
         part = raw[at:end]
-        space = _SPACE[part]
-        edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
+        edge = np.diff(np.concatenate(([True], _SPACE[part], [True])).astype(np.int8))
         lo, hi = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if len(lo):
             up, down = _power(len(part))
@@ -63,10 +64,11 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             h = (sums[hi] - sums[lo]) * down[lo]
             hashes.append(mix(h ^ ((hi - lo).astype(np.uint64) << np.uint64(48))))
             starts.append(lo + at)
+            ends.append(hi + at)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(starts), np.concatenate(ends)
 
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,25 +83,42 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), off
 
 
-def doc_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes of all rows, row offsets into them). Rows are separated by their own ends."""
+@dataclass
+class Words:
+    """Words of the rows lo..hi of a column: bytes of all rows, and of each word hash, start and end;
+    row i has the words cuts[i - lo]..cuts[i - lo + 1]."""
+
+    lo: int
+    hi: int
+    raw: np.ndarray
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    cuts: np.ndarray
+
+
+def word_chunks(col: pa.Array, size: int = CHUNK) -> Iterator[Words]:
+    """The words of a column, rows joined by one space up to `size` bytes at a time."""
     data, off = column_bytes(col)
-    out, ends = [], [0]
-    lo = 0
-    while lo < len(off) - 1:  # rows are joined by one space and hashed together, up to a chunk
-        hi = int(np.searchsorted(off, off[lo] + CHUNK, side="right")) - 1
-        hi = min(max(hi, lo + 1), len(off) - 1)
-        n = hi - lo
+    lo, n = 0, len(off) - 1
+    while lo < n:
+        hi = int(np.searchsorted(off, off[lo] + size, side="right")) - 1
+        hi = min(max(hi, lo + 1), n)
         lens = off[lo + 1 : hi + 1] - off[lo:hi]
-        joined = np.full(int(lens.sum()) + n, 32, np.uint8)
-        where = np.arange(int(lens.sum())) + np.repeat(np.arange(n), lens)
-        joined[where] = data[off[lo] : off[hi]]
-        h, s = word_hashes(joined)
-        out.append(h)
-        cuts = np.cumsum(lens + 1)
-        ends.extend((ends[-1] + np.searchsorted(s, cuts)).tolist())
+        joined = np.full(int(lens.sum()) + hi - lo, 32, np.uint8)
+        joined[np.arange(int(lens.sum())) + np.repeat(np.arange(hi - lo), lens)] = data[off[lo] : off[hi]]
+        h, s, e = word_hashes(joined)
+        yield Words(lo, hi, joined, h, s, e, np.concatenate(([0], np.searchsorted(s, np.cumsum(lens + 1)))))
         lo = hi
-    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.array(ends, np.int64)
+
+
+def doc_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of all rows, row offsets into them)."""
+    out, ends = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for w in word_chunks(col):
+        out.append(w.hashes)
+        ends.append(w.cuts[1:] + ends[-1][-1])
+    return np.concatenate(out), np.concatenate(ends)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], size: int = 2000) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,7 @@ rows are packed each; columns other than the id and text are ignored, whatever t
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,55 +23,77 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm._shared import ensure_workers, materialize, with_row_text
-from sieveline.llm._text import rows_of
-
-CACHE_WORDS = 700_000
-END = (0).to_bytes(4, "little")
-_words: dict[str, dict[bytes, bytes]] = {}
-_tokenizers: dict[str, object] = {}
-
-
-def encoder(path: str):
-    """list of texts as bytes -> their ids as little-endian bytes, by the tokenizer at `path`.
-
-    The vocabulary's splitter never crosses white space, so ids of space-separated chunks are those of
-    the text; chunks seen before come from a bounded table."""
-    from tokenizers import Tokenizer
-
-    tok = _tokenizers.get(path)
-    if tok is None:
-        tok = _tokenizers[path] = Tokenizer.from_file(path)
-    known = _words.setdefault(path, {})
-
-    def chunks(text: bytes) -> Iterator[list[bytes]]:
-        at, step = 0, 1 << 22
-        while at < len(text):
-            end = at + step
-            while end < len(text) and not text[end : end + 1].isspace():
-                end += 1
-            yield text[at:end].split()
-            at = end
-
-    def encode(texts: list[bytes]) -> list[bytes]:
-        nonlocal known
-        out = []
-        for text in texts:
-            parts = []
-            for words in chunks(text):
-                try:
-                    parts.append(b"".join(map(known.__getitem__, words)))
-                except KeyError:
-                    new = list(set(words).difference(known))
-                    if len(known) + len(new) > CACHE_WORDS:
-                        known.clear()
-                        new = list(set(words))
-                    found = tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                    known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
-                    parts.append(b"".join(map(known.__getitem__, words)))
-            out.append(b"".join(parts))
-        return out
-
-    return encode
+from sieveline.llm._text import rows_of, word_chunks
+
+CACHE_WORDS = 1_200_000
+CHUNK_BYTES = 1 << 22
+_encoders: dict[str, Encoder] = {}
+
+
+class Encoder:
+    """Token ids of texts by the tokenizer at `path`.
+
+    The vocabulary's splitter never crosses white space and lower-cases, so the ids of a text are those
+    of its words, whatever the case of A-Z. Words are told apart by their 64-bit hash; of each chunk of
+    texts only the different words are looked up, and only those not seen before are encoded. Texts
+    with special tokens, whose case counts, are encoded whole."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.slots: dict[int, int] = {}
+        self.flat, self.off = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+
+    @staticmethod
+    def at(path: str) -> Encoder:
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        return _encoders[path]
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: list[int], words: list[str]) -> None:
+        ids = self.plain(words)
+        n, lens = len(self.slots), np.array([len(x) for x in ids], np.int64)
+        used = int(self.off[n]) + int(lens.sum())
+        if n + len(keys) + 1 > len(self.off):
+            self.off = np.concatenate((self.off, np.zeros(max(len(keys) + 1, len(self.off)), np.int64)))
+        if used > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(max(used, len(self.flat)), np.uint32)))
+        self.off[n + 1 : n + 1 + len(keys)] = self.off[n] + np.cumsum(lens)
+        if lens.sum():
+            self.flat[int(self.off[n]) : used] = np.concatenate(ids)
+        self.slots.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def __call__(self, col: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each row of a text column."""
+        for w in word_chunks(col, CHUNK_BYTES):
+            special = _holds(w.raw, b"<|")
+            keys, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
+            listed, kept = keys.tolist(), len(self.slots)
+            new = [i for i, k in enumerate(listed) if k not in self.slots]
+            self._learn([listed[i] for i in new], [w.raw[w.starts[j] : w.ends[j]].tobytes().decode() for j in first[new].tolist()])
+            slot = np.fromiter(map(self.slots.__getitem__, listed), np.int64, len(listed))[inverse]
+            lo, n = self.off[slot], self.off[slot + 1] - self.off[slot]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            ids = self.flat[np.repeat(lo - ends[:-1], n) + np.arange(ends[-1])]
+            cuts = ends[w.cuts].tolist()
+            for i in range(w.hi - w.lo):
+                if special and b"<|" in (text := (col[w.lo + i].as_py() or "")).encode():
+                    yield self.plain([text])[0]
+                else:
+                    yield ids[cuts[i] : cuts[i + 1]]
+            if len(self.slots) > CACHE_WORDS:  # what came last goes first
+                for i in new:
+                    del self.slots[listed[i]]
+                assert len(self.slots) == kept
+
+
+def _holds(raw: np.ndarray, pair: bytes) -> bool:
+    return bool(((raw[:-1] == pair[0]) & (raw[1:] == pair[1])).any())
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -81,13 +104,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, ranks = encoder(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for b in rows_of(batches, 1000):
+        encode, part, ranks = Encoder.at(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        for b in rows_of(batches, 2000):
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = encode([text or b""])[0] + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    one = ids[at : at + 4 * capacity]
+            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
+                raw = ids.astype("<u4").tobytes() + end
+                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                    one = raw[at : at + 4 * capacity]
                     n = len(one) // 4
                     rows.append((doc, k, at // 4, n, zlib.crc32(one), part, ranks[n], one))
                     ranks[n] += 1
