@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import lmscore, media, mixing, packing, quality, toxicity, urls
+from sieveline.llm import lmscore, media, mixing, neardup, packing, quality, toxicity, urls
 from sieveline.llm._shared import ensure_workers
 
 
@@ -30,6 +30,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, with_ids=False)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = neardup.near_duplicates(_read(spark, sf_dir, "documents"), size=3, numerator=85, denominator=100)
+    return got.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(_read(spark, sf_dir, "documents"), parts=7, test=2, held=6)
 
@@ -58,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op5_lm_scoring, op7_quality_classifier, op8_source_mixing, op9_media_columns, op10_toxicity)}
+    return {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_minhash_near_dedup, op5_lm_scoring, op7_quality_classifier, op8_source_mixing, op9_media_columns, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
