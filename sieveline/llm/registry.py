@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import lmscore, media, mixing, neardup, packing, quality, toxicity, urls
+from sieveline.llm import lattice, lmscore, media, mixing, neardup, packing, quality, toxicity, urls
 from sieveline.llm._shared import ensure_workers
 
 
@@ -39,6 +39,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(_read(spark, sf_dir, "documents"), parts=7, test=2, held=6)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(_read(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def held_out(parts: int, held: int) -> Column:
     return ~quality.learns(F.col("doc_id"), parts, held)
 
@@ -63,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_minhash_near_dedup, op5_lm_scoring, op7_quality_classifier, op8_source_mixing, op9_media_columns, op10_toxicity)}
+    return {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_minhash_near_dedup, op5_lm_scoring, op6_embedding_near_dedup, op7_quality_classifier, op8_source_mixing, op9_media_columns, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
