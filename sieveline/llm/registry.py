@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import lattice, lmscore, media, mixing, neardup, packing, quality, toxicity, urls
+from sieveline.llm import lattice, lmscore, media, mixing, neardup, packing, pii, quality, toxicity, urls
 from sieveline.llm._shared import ensure_workers
 
 
@@ -35,6 +35,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_read(spark, sf_dir, "documents"))
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(_read(spark, sf_dir, "documents"), parts=7, test=2, held=6)
 
@@ -67,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_minhash_near_dedup, op5_lm_scoring, op6_embedding_near_dedup, op7_quality_classifier, op8_source_mixing, op9_media_columns, op10_toxicity)}
+    return {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_minhash_near_dedup, op4_pii, op5_lm_scoring, op6_embedding_near_dedup, op7_quality_classifier, op8_source_mixing, op9_media_columns, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
