@@ -149,12 +149,12 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     in that pass (the text itself where that is all of them) and n_chars, if there, their length."""
     got = takes(docs, **how).where("taken > 0")
     same = Window.partitionBy("doc_id", "text_hash").orderBy("source")
-    got = got.withColumn("_n", F.row_number().over(same)).select("doc_id", "text_hash", "_n", "size", F.explode(whole(F.col("segments"), F.col("size"))).alias("_take"))
+    got = got.withColumn("__sv_n", F.row_number().over(same)).select("doc_id", "text_hash", "__sv_n", "size", F.explode(whole(F.col("segments"), F.col("size"))).alias("__sv_take"))
     own = docs.columns
-    rows = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("source")))
-    got = got.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "_n", F.col("size").alias("_size"), "_take")
-    j = rows.join(got, (rows["doc_id"].eqNullSafe(got["_id"])) & (rows["_h"] == got["_h"]) & (rows["_n"] == got["_n"])).select(*[rows[c] for c in own], "_size", "_take")
+    rows = docs.withColumn("__sv_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    rows = rows.withColumn("__sv_n", F.row_number().over(Window.partitionBy("doc_id", "__sv_h").orderBy("source")))
+    got = got.select(F.col("doc_id").alias("__sv_id"), F.col("text_hash").alias("__sv_h"), "__sv_n", F.col("size").alias("__sv_size"), "__sv_take")
+    j = rows.join(got, (rows["doc_id"].eqNullSafe(got["__sv_id"])) & (rows["__sv_h"] == got["__sv_h"]) & (rows["__sv_n"] == got["__sv_n"])).select(*[rows[c] for c in own], "__sv_size", "__sv_take")
 
     @F.pandas_udf(StringType())
     def cut(text: pd.Series, first: pd.Series, last: pd.Series, size: pd.Series) -> pd.Series:
@@ -167,12 +167,12 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
             out.append("\n".join(t[at[a][0] : at[b - 1][1]] for a, b in zip(lo, hi, strict=True)))
         return pd.Series(out, dtype=object)
 
-    runs = F.col("_take.runs")
+    runs = F.col("__sv_take.runs")
     # blocks that follow each other are one run: a run starts where no other ends and ends where no other starts
     first = F.array_except(F.transform(runs, lambda s: s["first"]), F.transform(runs, lambda s: s["last"]))
     last = F.array_except(F.transform(runs, lambda s: s["last"]), F.transform(runs, lambda s: s["first"]))
-    j = j.withColumn("_first", F.array_sort(first)).withColumn("_last", F.array_sort(last))
-    j = j.withColumn("text", cut("text", "_first", "_last", "_size"))
+    j = j.withColumn("__sv_first", F.array_sort(first)).withColumn("__sv_last", F.array_sort(last))
+    j = j.withColumn("text", cut("text", "__sv_first", "__sv_last", "__sv_size"))
     if "n_chars" in own:
         j = j.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return j.select(*own)

@@ -264,9 +264,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, numerator: int = 80, denomin
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """docs with one row of each group of near-duplicates, in its columns; rows without words all stay."""
     got = near_duplicates(docs, **how)
-    kept = got.where("kept and node is not null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "node").distinct()
-    kept = kept.groupBy("node", "_id").agg(F.min("_h").alias("_h"))  # texts that differ only in spaces or case under one id
-    rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_hash", F.xxhash64("_text"))
-    wordless = rows.where(~F.col("_text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
-    one = rows.join(kept.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_hash"] == kept["_h"])).select(*[rows[c] for c in docs.columns], "_hash")
-    return wordless.unionByName(one.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns))
+    kept = got.where("kept and node is not null").select(F.col("doc_id").alias("__sv_id"), F.col("text_hash").alias("__sv_h"), "node").distinct()
+    kept = kept.groupBy("node", "__sv_id").agg(F.min("__sv_h").alias("__sv_h"))  # texts that differ only in spaces or case under one id
+    rows = docs.withColumn("__sv_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("__sv_hash", F.xxhash64("__sv_text"))
+    wordless = rows.where(~F.col("__sv_text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    one = rows.join(kept.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(kept["__sv_id"]) & (rows["__sv_hash"] == kept["__sv_h"])).select(*[rows[c] for c in docs.columns], "__sv_hash")
+    return wordless.unionByName(one.dropDuplicates(["doc_id", "__sv_hash"]).select(*docs.columns))

@@ -188,10 +188,10 @@ def find(docs: DataFrame, how: Bootstrap | None = None) -> DataFrame:
 def redact(docs: DataFrame, how: Bootstrap | None = None) -> DataFrame:
     """docs with every span of `text` replaced by its kind in brackets, and n_chars, if there, set anew."""
     _, spans = spans_of(docs, how)
-    got = _by_text(spans).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("found").alias("_found"))
+    got = _by_text(spans).select(F.col("doc_id").alias("__sv_id"), F.col("text_hash").alias("__sv_h"), F.col("found").alias("__sv_found"))
     own = docs.columns
-    rows = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    j = rows.join(got, [rows["doc_id"].eqNullSafe(got["_id"]), rows["_hash"] == got["_h"]], "left")
+    rows = docs.withColumn("__sv_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    j = rows.join(got, [rows["doc_id"].eqNullSafe(got["__sv_id"]), rows["__sv_hash"] == got["__sv_h"]], "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -200,8 +200,8 @@ def redact(docs: DataFrame, how: Bootstrap | None = None) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(free, F.concat(acc["out"], part, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.char_length("text")))
-    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(F.aggregate("_found", start, step, rest))
+    text = F.when(F.col("__sv_found").isNull(), F.col("text")).otherwise(F.aggregate("__sv_found", start, step, rest))
     j = j.withColumn("text", text)
     if "n_chars" in own:
-        j = j.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        j = j.withColumn("n_chars", F.when(F.col("__sv_found").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return j.select(*own)
