@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sieveline.llm._shared import ensure_workers, materialize, with_row_text
 from sieveline.llm._text import rows_of, word_chunks
 
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 2_000_000
 CHUNK_BYTES = 1 << 22
 _encoders: dict[str, Encoder] = {}
 
@@ -43,7 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.slots: dict[int, int] = {}
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # word hashes in order, and where their ids are
         self.flat, self.off = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
 
     @staticmethod
@@ -55,28 +55,37 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        ids = self.plain(words)
-        n, lens = len(self.slots), np.array([len(x) for x in ids], np.int64)
+    def _learn(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
+        """Slots of new words; past CACHE_WORDS they are good until the next call only."""
+        ids = [x for i in range(0, len(words), 10_000) for x in self.plain(words[i : i + 10_000])]
+        n, lens = len(self.keys), np.array([len(x) for x in ids], np.int64)
         used = int(self.off[n]) + int(lens.sum())
         if n + len(keys) + 1 > len(self.off):
-            self.off = np.concatenate((self.off, np.zeros(max(len(keys) + 1, len(self.off)), np.int64)))
+            self.off = np.concatenate((self.off, np.zeros(max(len(keys) + 1, len(self.off) // 2), np.int64)))
         if used > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros(max(used, len(self.flat)), np.uint32)))
+            self.flat = np.concatenate((self.flat, np.zeros(max(used - len(self.flat), len(self.flat) // 2), np.uint32)))
         self.off[n + 1 : n + 1 + len(keys)] = self.off[n] + np.cumsum(lens)
         if lens.sum():
             self.flat[int(self.off[n]) : used] = np.concatenate(ids)
-        self.slots.update(zip(keys, range(n, n + len(keys)), strict=True))
+        slots = np.arange(n, n + len(keys))
+        if n + len(keys) <= CACHE_WORDS:
+            at = np.searchsorted(self.keys, keys)
+            self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
+        return slots
 
     def __call__(self, col: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each row of a text column."""
         for w in word_chunks(col, CHUNK_BYTES):
             special = _holds(w.raw, b"<|")
             keys, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
-            listed, kept = keys.tolist(), len(self.slots)
-            new = [i for i, k in enumerate(listed) if k not in self.slots]
-            self._learn([listed[i] for i in new], [w.raw[w.starts[j] : w.ends[j]].tobytes().decode() for j in first[new].tolist()])
-            slot = np.fromiter(map(self.slots.__getitem__, listed), np.int64, len(listed))[inverse]
+            at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+            known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+            slot = np.zeros(len(keys), np.int64)
+            slot[known] = self.slots[at[known]] if len(self.keys) else 0
+            if not known.all():
+                new = np.flatnonzero(~known)
+                slot[new] = self._learn(keys[new], [w.raw[w.starts[j] : w.ends[j]].tobytes().decode() for j in first[new].tolist()])
+            slot = slot[inverse]
             lo, n = self.off[slot], self.off[slot + 1] - self.off[slot]
             ends = np.concatenate(([0], np.cumsum(n)))
             ids = self.flat[np.repeat(lo - ends[:-1], n) + np.arange(ends[-1])]
@@ -86,10 +95,6 @@ class Encoder:
                     yield self.plain([text])[0]
                 else:
                     yield ids[cuts[i] : cuts[i + 1]]
-            if len(self.slots) > CACHE_WORDS:  # what came last goes first
-                for i in new:
-                    del self.slots[listed[i]]
-                assert len(self.slots) == kept
 
 
 def _holds(raw: np.ndarray, pair: bytes) -> bool:
