@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.llm._text import release
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -105,6 +107,8 @@ def stream_groups(
                 held.append(b.slice(lo, hi - lo))
         if now is not None:
             yield from fn(now, pa.Table.from_batches(held))
+        held = []
+        release()
 
     return dealt.mapInArrow(walk, schema)
 
@@ -117,8 +121,6 @@ def with_row_text(df: DataFrame, text: str = "text") -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """(node, root): root is the smallest node reachable. Alternates large-star and small-star, which
     ends after O(log^2 n) rounds; each round is aggregated map-side and written to the shared folder."""
-    from pyspark import StorageLevel  # noqa: F401  (kept for callers that persist)
-
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = materialize(e, "edges")
     for _ in range(rounds):

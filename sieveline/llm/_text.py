@@ -5,6 +5,7 @@ mixed; equal words have equal hashes everywhere and on every run."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -121,11 +122,21 @@ def doc_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(ends)
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], size: int = 2000) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that per-batch arrays stay small."""
     for b in batches:
         for lo in range(0, b.num_rows, size):
             yield b.slice(lo, size)
+    release()
 
 
 def word_counts(col: pa.Array) -> np.ndarray:

@@ -119,7 +119,7 @@ class Counting:
         words = WORD.findall(text.lower())
         known = self.known
         for w in set(words).difference(known):
-            if len(known) >= 500_000:
+            if len(known) >= 300_000:
                 known.clear()
             known[w] = tuple(x for x in features_of(w) if x in self.number)
         out: Counter[str] = Counter()
