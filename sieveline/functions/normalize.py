@@ -170,9 +170,14 @@ def chunks(c: Column, size: int, overlap: int) -> Column:
     """Windows of `size` characters, each `size - overlap` after the one before, while they start inside the text."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
-    t, step = F.regexp_replace(filled(c), r"(?U)^\s+|\s+$", ""), size - overlap
-    last = F.ceil(F.length(t) / step).cast("int") - 1
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(t, i * step + 1, F.lit(size))))
+    step = size - overlap
+
+    def windows(t: Column) -> Column:
+        last = F.ceil(F.length(t) / step).cast("int") - 1
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(t, i * step + 1, F.lit(size))))
+
+    # as an element of an array, the trimmed text is worked out once and not for every window
+    return F.transform(F.array(F.regexp_replace(filled(c), r"(?U)^\s+|\s++$", "")), windows)[0]
 
 
 def run_key(query: Column, epoch: Column) -> Column:

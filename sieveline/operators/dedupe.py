@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +29,7 @@ NAME_LEAST = 0.745
 MAP_HOSTS = ("openstreetmap.org", "google.com", "maps.google.com", "google.co.in")
 
 
+@lru_cache(maxsize=1 << 17)
 def ratio(a: str, b: str) -> float:
     """Similarity by longest matching blocks; 0 where a side is empty. Not symmetric: a is the newer string."""
     return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
