@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import normalize as N
+from sieveline.functions.workers import reach
 from sieveline.operators import dedupe as D
 from sieveline.operators import evidence as E
 from sieveline.operators import extract as X
@@ -25,6 +26,7 @@ QUESTION = "what is the erly oning thand that with"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
