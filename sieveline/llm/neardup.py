@@ -78,18 +78,19 @@ SHALLOW = np.arange(REGISTERS).reshape(BANDS, ROWS)
 DEEP = np.stack([np.random.RandomState(100 + b).permutation(REGISTERS)[:DEEP_ROWS] for b in range(DEEP_BANDS)])
 
 
-def agree_by_chance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Chance that registers of different least hashes agree, for sets of sizes a and b."""
+def octaves(n: np.ndarray) -> np.ndarray:
+    """(rows, 60): how likely a register's least hash has so many leading zeros, for sets of sizes n."""
     i = np.arange(60)
-    part = lambda n: np.exp(-np.asarray(n, float)[..., None] / REGISTERS * 0.5 ** (i + 1)) - np.exp(-np.asarray(n, float)[..., None] / REGISTERS * 0.5**i)
-    return (part(a) * part(b)).sum(-1) / (1 << MANTISSA)
+    n = np.asarray(n, float)[:, None] / REGISTERS
+    return np.exp(-n * 0.5 ** (i + 1)) - np.exp(-n * 0.5**i)
 
 
-def estimate(regs: np.ndarray, n: np.ndarray, i: int) -> np.ndarray:
-    """Estimated Jaccard similarity of row i with every row."""
+def estimate(regs: np.ndarray, zeros: np.ndarray, i: int) -> np.ndarray:
+    """Estimated Jaccard similarity of row i with every row: the share of equal registers, less those of
+    different least hashes that agree by chance, in zeros (octaves() of the sizes) and mantissa."""
     used = (regs != EMPTY) | (regs[i] != EMPTY)
     same = ((regs == regs[i]) & used).sum(1) / np.maximum(used.sum(1), 1)
-    chance = agree_by_chance(n, n[i])
+    chance = zeros @ zeros[i] / (1 << MANTISSA)
     return (same - chance) / (1 - chance)
 
 
@@ -168,17 +169,17 @@ def promising(lists: DataFrame, nodes: DataFrame, numerator: int, denominator: i
     slack = 5 * np.sqrt(numerator / denominator * (1 - numerator / denominator) / REGISTERS) + 1e-9
 
     def keep(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
-        n = t.column("n_shingles").to_numpy().astype(float)
+        n, zeros = t.num_rows, octaves(t.column("n_shingles").to_numpy())
         node = t.column("node").to_numpy()
-        if len(n) == 1:
+        if n == 1:
             return
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         # few registers in use make a rough estimate: its error follows their number
         few = np.minimum(np.maximum((regs != EMPTY).sum(1), 1), REGISTERS)
-        near = np.zeros(len(n), bool)
-        for i in range(len(n)):
-            if not near[i] or not near.all():
-                close = estimate(regs, n, i) >= numerator / denominator - slack * np.sqrt(REGISTERS / np.minimum(few, few[i]))
+        near = np.zeros(n, bool)
+        for i in range(n):
+            if not near.all():
+                close = estimate(regs, zeros, i) >= numerator / denominator - slack * np.sqrt(REGISTERS / np.minimum(few, few[i]))
                 close[i] = False
                 near |= close
                 near[i] |= close.any()

@@ -143,7 +143,7 @@ def test_jaccard_estimate_is_centred():
             a = np.concatenate((both, rng.integers(1, 1 << 62, int(750 * (1 - share)), dtype=np.uint64)))
             b = np.concatenate((both, rng.integers(1, 1 << 62, int(750 * (1 - share)), dtype=np.uint64)))
             regs = neardup.registers(np.concatenate((a, b)), np.repeat([0, 1], [len(a), len(b)]), 2)
-            est.append(neardup.estimate(regs, np.array([len(a), len(b)], float), 0)[1])
+            est.append(neardup.estimate(regs, neardup.octaves(np.array([len(a), len(b)])), 0)[1])
         assert abs(np.mean(est) - share) < 0.02
 
 
