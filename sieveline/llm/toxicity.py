@@ -6,7 +6,8 @@ index in blocks; each feature knows its largest weight in every block, so a quer
 falling bound and stops where no block can hold a nearer example: the k nearest by cosine are exact.
 Votes weigh by nearness, are drawn towards the share of toxic texts, and name their evidence.
 
-Words alike share a beginning, so forms that no label has shown still meet their examples.
+Words alike share a beginning, so forms that no label has shown still meet their examples; a beginning that
+several words of a text share is a feature of its own, as one such word may be chance.
 
 The model is fitted on at most `sample` labelled rows, those of smallest hash: a documented bound.
 
@@ -33,12 +34,13 @@ from sieveline.llm.quality import labelled_sample
 SAMPLE = 20_000
 FEATURES = 4_096
 BLOCK = 64
+KNOWN_WORDS = 300_000
 #: Chi-squared that ties a feature to toxicity: chance gives it to fewer than one of ten million features.
 CHI = 60.0
 #: Share of the toxic examples that must hold a feature, so that no one group of near copies makes one.
 SUPPORT = 0.01
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 def features_of(word: str) -> list[str]:
@@ -46,6 +48,13 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:n] + "-" for n in PREFIXES if len(word) > n)]
 
 
+def features(text: str) -> set[str]:
+    """All features of a text: words, beginnings, and beginnings that two words or more share, marked by a final equals sign."""
+    words = WORD.findall(text.lower())
+    starts = Counter(w[:n] for n in PREFIXES for w in words if len(w) > n)
+    return {*words, *(p + "-" for p in starts), *(p + "=" for p, n in starts.items() if n > 1)}
+
+
 @dataclass
 class Index:
     """Examples as unit vectors in blocks of BLOCK, their labels and ids."""
@@ -118,16 +127,20 @@ class Counting:
     def __call__(self, text: str) -> dict[str, int]:
         words = WORD.findall(text.lower())
         known = self.known
-        for w in set(words).difference(known):
-            if len(known) >= 300_000:
-                known.clear()
-            known[w] = tuple(x for x in features_of(w) if x in self.number)
+        fresh = set(words).difference(known)
+        if len(known) + len(fresh) > KNOWN_WORDS:
+            known.clear()
+            fresh = set(words)
+        for w in fresh:
+            known[w] = tuple(y for x in features_of(w) for y in (x, x[:-1] + "=" if x[-1] == "-" else "") if y in self.number)
         out: Counter[str] = Counter()
         for w in words:
-            if found := known.get(w):
+            if found := known[w]:
                 out.update(found)
-            elif found is None:  # forgotten meanwhile
-                out.update(x for x in features_of(w) if x in self.number)
+        for x in [x for x in out if x[-1] == "="]:  # a beginning counts as shared from its second word on
+            out[x] -= 1
+            if not out[x]:
+                del out[x]
         return out
 
 
@@ -148,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FE
             pos: Counter[str] = Counter()
             neg: Counter[str] = Counter()
             for text, label in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                (pos if label else neg).update({x for w in set(WORD.findall(text.lower())) for x in features_of(w)})
+                (pos if label else neg).update(features(text))
             names = list(pos | neg)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([pos[x] for x in names], pa.int64()), pa.array([neg[x] for x in names], pa.int64())], names=["feature", "pos", "neg"])
 
