@@ -12,6 +12,7 @@ from sieveline.functions import normalize as N
 from sieveline.operators import dedupe as D
 from sieveline.operators import evidence as E
 from sieveline.operators import extract as X
+from sieveline.operators import filters as L
 from sieveline.operators import retrieval as R
 from sieveline.plans import search as S
 from sieveline.plans.dims import GROUP_ORDER
@@ -536,3 +537,155 @@ def ext05_children(spark, sf_dir):
     item = json.dumps({"@graph": [{"@type": "LocalBusiness", "name": "Blue Fox", "telephone": "555", "address": {"streetAddress": "1 Main", "addressCountry": "X"}}]})
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(F.lit(f'<script type="application/ld+json">{item}</script>'), "html").alias("html"))
     return X.html_facts(p).where("field in ('phone', 'address')").select("page_id", "field", F.array_join("values", "|").alias("value"))
+
+
+@register("SELECT c_custkey, c_nationkey % 4 <> 3 AND c_nationkey % 2 = 0 AS value FROM customer")
+def flt05_keeps_entity(spark, sf_dir):
+    """Named, in Austin where the key is even, with a phone; every fourth is a listing by its name."""
+    k = F.col("c_nationkey")
+    name = F.when(k % 4 == 3, "Best cafes in austin").otherwise(F.concat(F.lit("House "), "c_name"))
+    e = {"business_name": name, "address": F.when(k % 2 == 0, "1 Main, Austin").otherwise("1 Main, Oslo"), "website": F.lit(""), "urls": F.lit("")}
+    e |= {f: F.lit("5551234567") if f == "phone" else F.lit("") for f in L.STRONG_FIELDS if f != "address"}
+    return table(spark, sf_dir, "customer").select("c_custkey", L.keeps_entity(e, F.when(k % 3 == 0, "geoapify").otherwise("web"), F.lit("cafes"), F.lit("austin"), G).alias("value"))
+
+
+@register("SELECT c_custkey, c_nationkey % 2 = 0 AS value FROM customer")
+def flt06_record_location(spark, sf_dir):
+    text = F.concat_ws(" ", "c_name", F.when(F.col("c_nationkey") % 2 == 0, "Dallas Texas").otherwise("Oslo"))
+    return table(spark, sf_dir, "customer").select("c_custkey", L.has_location(text, F.lit("texas"), G).alias("value"))
+
+
+@register("SELECT c_custkey, c_nationkey % 6 <> 0 AS value FROM customer")
+def flt07_generic_listing(spark, sf_dir):
+    names = ("Blue Fox", "top cafes in austin", "#1 choice", "write a@b now", "how to brew coffee", "one, two, three, four")
+    name = F.element_at(F.array(*map(F.lit, names)), (F.col("c_nationkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", L.generic_listing(name, F.lit("https://own.example"), F.lit("cafes"), F.lit("austin")).alias("value"))
+
+
+@register("SELECT c_custkey, ['pharmacies|pharmacy|pharmacie', 'cafes|cafe', 'gym'][c_custkey % 3 + 1] AS value FROM customer")
+def flt08_variants(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("Pharmacies", "cafes", "gym"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(L.variants(kind), "|").alias("value"))
+
+
+@register("SELECT c_custkey, c_nationkey % 4 <> 0 AS value FROM customer")
+def flt11_non_business(spark, sf_dir):
+    titles = ("Blue Fox Dentist", "Best dentists of the year", "A food guide", "Dining")
+    title = F.element_at(F.array(*map(F.lit, titles)), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", L.non_business_title(title, F.lit("http://a.b")).alias("value"))
+
+
+@register(f"WITH {EVIDENCE} SELECT entity_id, field, {q_plain('value')} AS canon, round(avg(reliability), 9) AS mean_reliability, count(DISTINCT source_url) AS n_urls, count(DISTINCT source_type) AS n_types FROM ev WHERE value <> '' AND {q_plain('value')} <> '' GROUP BY ALL")
+def agg02_group_parts(spark, sf_dir):
+    ev = E.page_evidence(table(spark, sf_dir, "pages")).withColumn("canon", N.plain(F.col("value"))).where("canon <> ''")
+    return ev.groupBy("entity_id", "field", "canon").agg(F.round(F.avg("reliability"), 9).alias("mean_reliability"), F.count_distinct("source_url").alias("n_urls"), F.count_distinct("source_type").alias("n_types"))
+
+
+@register("SELECT o_orderkey, CASE WHEN o_orderkey % 5 >= 3 AND o_orderkey % 100 >= 80 THEN 'high' WHEN o_orderkey % 5 >= 2 OR o_orderkey % 100 >= 72 THEN 'medium' ELSE 'low' END AS level FROM orders")
+def agg04_level(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", E.level(F.col("o_orderkey") % 5, E.confidence((F.col("o_orderkey") % 100) / 100)).alias("level"))
+
+
+@register("SELECT c_custkey, CAST(1.0 AS DOUBLE) AS same, CAST(0.0 AS DOUBLE) AS none FROM customer")
+def join02_ratio(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", D.seq_ratio("c_name", "c_name").alias("same"), D.seq_ratio("c_name", F.lit("")).alias("none"))
+
+
+INLINE = """<html><head><title>T</title><meta property="og:title" content="Blue Fox"><meta name="description" content="Open"><link rel="canonical" href="/home">
+<script type="application/ld+json">[{"@type":"Dentist","name":"LD Fox","telephone":"555","aggregateRating":{"ratingValue":4.5,"reviewCount":12}},{"@type":"Thing","name":"no"}]</script><script type="application/ld+json">{bad</script></head>
+<body><ul><li>Repair services</li><li>Other</li></ul><a href="https://facebook.com/x?y">f</a><img src="i.png"><img src="data:x"></body></html>"""
+
+
+def _inline(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("http://a.com/p").alias("url"), F.lit(INLINE).alias("html"))
+    rows = X.html_facts(pages).where(F.col("field").isin(*fields))
+    return rows.select("page_id", "field", F.array_join("values", "|").alias("value"))
+
+
+def _inline_sql(*pairs: tuple[str, str]) -> str:
+    rows = ", ".join(f"({q(k)}, {q(v)})" for k, v in pairs)
+    return f"SELECT page_id, field, value FROM pages, (VALUES {rows}) t(field, value)"
+
+
+@register(_inline_sql(("business_name", "LD Fox"), ("phone", "555")))
+def ext04_linked_data(spark, sf_dir):
+    return _inline(spark, sf_dir, "business_name", "phone")
+
+
+@register(_inline_sql(("rating", "4.5"), ("review_count", "12")))
+def ext06_structured(spark, sf_dir):
+    return _inline(spark, sf_dir, "rating", "review_count")
+
+
+@register(_inline_sql(("social_profiles", "https://facebook.com/x"), ("images_urls", "http://a.com/i.png")))
+def ext08_links(spark, sf_dir):
+    return _inline(spark, sf_dir, "social_profiles", "images_urls")
+
+
+@register(_inline_sql(("services", "Repair services"), ("specialties", "Repair services")))
+def ext09_services(spark, sf_dir):
+    return _inline(spark, sf_dir, "services", "specialties")
+
+
+@register(_inline_sql(("title", "Blue Fox"), ("description", "Open"), ("website", "http://a.com/home")))
+def ext11_meta(spark, sf_dir):
+    return _inline(spark, sf_dir, "title", "description", "website")
+
+
+def _result_pages(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Result pages of one hit a page, parsed in Arrow batches."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from sieveline.functions import html as H
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, h["title"], h["url"], h["snippet"], h["rank"]) for i, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for h in H.result_list(t, kind)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()), strict=True)], names=["page_id", "title", "url", "snippet", "rank"])
+
+    a = F.concat(F.lit('<div class="result"><a class="result__a" href="https://duckduckgo.com/l/?uddg=http%3A%2F%2Fx.y%2F'), F.col("page_id"), F.lit('">Hit</a><p class="result__snippet">S</p></div>'))
+    b = F.concat(F.lit('<li class="b_algo"><h2><a href="http://x.y/'), F.col("page_id"), F.lit('">Hit</a></h2><p>S</p></li>'))
+    return table(spark, sf_dir, "pages").select("page_id", (a if kind == "a" else b).alias("html")).mapInArrow(read, "page_id long, title string, url string, snippet string, rank int")
+
+
+@register("SELECT page_id, 'Hit' AS title, 'http://x.y/' || page_id AS url, 'S' AS snippet, 1 AS rank FROM pages")
+def src05_result_list_a(spark, sf_dir):
+    return _result_pages(spark, sf_dir, "a")
+
+
+@register("SELECT page_id, 'Hit' AS title, 'http://x.y/' || page_id AS url, 'S' AS snippet, 1 AS rank FROM pages")
+def src06_result_list_b(spark, sf_dir):
+    return _result_pages(spark, sf_dir, "b")
+
+
+@register("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'first' WHEN c_custkey % 3 = 1 THEN 'second' ELSE 'none' END AS detail FROM customer")
+def src20_detail_fallback(spark, sf_dir):
+    """Details of the first key that answered, else of the next."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    first, second = c.where("c_custkey % 3 = 0").withColumn("detail", F.lit("first")), c.where("c_custkey % 3 <> 2").withColumn("detail", F.lit("second"))
+    return c.join(P.first_feed(first, second, "c_custkey"), "c_custkey", "left").select("c_custkey", F.coalesce("detail", F.lit("none")).alias("detail"))
+
+
+@register(f"WITH {GROUPS} SELECT entity_id, field, '{{\"value\":\"' || verified_level || '\",\"n\":' || evidence_count || '}}' AS report FROM wn")
+def snk02_report_json(spark, sf_dir):
+    return _winners(spark, sf_dir).select("entity_id", "field", F.to_json(F.struct(F.col("verified_level").alias("value"), F.col("evidence_count").alias("n"))).alias("report"))
+
+
+@register("SELECT doc_id, count(*) AS chunks, min(length(chunk)) AS shortest FROM (SELECT doc_id, substr(t, i * 680 + 1, 800) AS chunk FROM (SELECT doc_id, t, unnest(range(CAST(ceil(length(t) / 680.0) AS BIGINT))) AS i FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)) WHERE length(t) > 0) GROUP BY doc_id")
+def snk06_index(spark, sf_dir):
+    rows = R.index(table(spark, sf_dir, "documents"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.min(F.length("chunk")).cast("long").alias("shortest"))
+
+
+@register("SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 350) AS line FROM documents")
+def rag05_answer_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring(N.spaced(F.col("text")), 1, 350).alias("line"))
+
+
+@register(f"WITH {GROUPS}, c AS (SELECT count(*) AS n FROM (SELECT * FROM ev WHERE value <> '' AND field = 'business_name' LIMIT 40)) SELECT (SELECT n FROM c) AS retrieved, count(DISTINCT entity_id) AS found FROM wn")
+def rag14_research_summary(spark, sf_dir):
+    chunks = R.evidence_top(E.page_evidence(table(spark, sf_dir, "pages"))).agg(F.count("*").alias("retrieved"))
+    return chunks.join(F.broadcast(_winners(spark, sf_dir).agg(F.count_distinct("entity_id").alias("found"))))
