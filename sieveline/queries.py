@@ -689,3 +689,29 @@ def rag05_answer_lines(spark, sf_dir):
 def rag14_research_summary(spark, sf_dir):
     chunks = R.evidence_top(E.page_evidence(table(spark, sf_dir, "pages"))).agg(F.count("*").alias("retrieved"))
     return chunks.join(F.broadcast(_winners(spark, sf_dir).agg(F.count_distinct("entity_id").alias("found"))))
+
+
+@register(f"WITH {GROUPS} SELECT entity_id, '{{' || string_agg('\"' || field || '\":\"' || verified_level || '\"', ',' ORDER BY field) || '}}' AS flat FROM wn GROUP BY entity_id")
+def evd02_flat_json(spark, sf_dir):
+    """An entity's fields as one JSON object, keys in order."""
+    pairs = F.sort_array(F.collect_list(F.struct("field", "verified_level")))
+    return _winners(spark, sf_dir).groupBy("entity_id").agg(F.to_json(F.map_from_entries(pairs)).alias("flat"))
+
+
+@register("SELECT c_custkey AS qid, 'gyms' AS category, ['austin texas', 'chennai', 'london', ''][c_custkey % 4 + 1] AS location FROM customer")
+def qry02_place_at_an_end(spark, sf_dir):
+    texts = F.element_at(F.array(*map(F.lit, ("austin texas gyms", "gyms chennai", "london gyms", "gyms"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return S.parse(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("qid"), texts.alias("raw")), G).select("qid", "category", "location")
+
+
+@register("SELECT doc_id, CAST(i AS INTEGER) AS chunk_id, CAST(length(substr(t, i * 680 + 1, 800)) AS DOUBLE) AS size FROM (SELECT doc_id, t, unnest(range(CAST(ceil(length(t) / 680.0) AS BIGINT))) AS i FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)) WHERE length(t) > 0")
+def rag01_embedded_index(spark, sf_dir):
+    """An index with vectors from a given function: here one number, the chunk's length."""
+    rows = R.index(table(spark, sf_dir, "documents"), embed=lambda c: F.array(F.length(c).cast("double")))
+    return rows.select("doc_id", "chunk_id", F.col("embedding")[0].alias("size"))
+
+
+@register("SELECT c_custkey FROM customer WHERE c_nationkey % 2 = 0 ORDER BY c_custkey LIMIT 200")
+def srt05_early_stop(spark, sf_dir):
+    """The first 200 records that pass a gate, in order."""
+    return table(spark, sf_dir, "customer").where(F.col("c_nationkey") % 2 == 0).select("c_custkey").orderBy("c_custkey").limit(200)
