@@ -56,10 +56,14 @@ def verified(evidence: DataFrame, key: Column) -> DataFrame:
     score = 0.65 mean reliability + 0.08 different URLs (4 at most) + 0.04 different kinds of source (3 at most);
     ties go to the group that appeared first."""
     rows = evidence.withColumn("canon", key).where("canon <> ''")
-    groups = rows.groupBy("entity_id", "field", "canon").agg(
-        F.avg("reliability").alias("rel"), F.count_distinct("source_url").alias("n_urls"), F.count_distinct("source_type").alias("n_types"), F.count("*").alias("n"),
-        F.min("ord").alias("first"), F.min_by("value", "ord").alias("value"), F.sort_array(F.collect_set("source_url")).alias("urls"), F.sort_array(F.collect_set("source_type")).alias("types"),
-    )
+    # first by URL, then by value: both combine before their shuffle, and different URLs need no expanded rows
+    by_url = rows.groupBy("entity_id", "field", "canon", "source_url").agg(
+        F.sum("reliability").alias("total"), F.count("*").alias("n"), F.min("ord").alias("first"), F.min_by("value", "ord").alias("value"), F.collect_set("source_type").alias("types")
+    )
+    groups = by_url.groupBy("entity_id", "field", "canon").agg(
+        (F.sum("total") / F.sum("n")).alias("rel"), F.count("*").alias("n_urls"), F.sum("n").alias("n"), F.min("first").alias("first"), F.min_by("value", "first").alias("value"),
+        F.sort_array(F.collect_list("source_url")).alias("urls"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("types")))).alias("types"),
+    ).withColumn("n_types", F.size("types").cast("long"))
     score = F.col("rel") * 0.65 + F.least("n_urls", F.lit(4)) * 0.08 + F.least("n_types", F.lit(3)) * 0.04
     groups = groups.withColumn("score", F.round(score, 9))
     best = Window.partitionBy("entity_id", "field").orderBy(F.desc("score"), "first", "canon")
