@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from sieveline.llm._shared import ensure_workers, materialize, with_row_text
 from sieveline.llm._text import rows_of, word_chunks
 
-CACHE_WORDS = 700_000
-CHUNK_BYTES = 1 << 22
+CACHE_WORDS = 500_000
+CHUNK_BYTES = 1 << 21
 _encoders: dict[str, Encoder] = {}
 
 
@@ -110,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         from pyspark import TaskContext
 
         encode, part, ranks = Encoder.at(tokenizer), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for b in rows_of(batches, 2000):
+        for b in rows_of(batches, 1000):
             rows: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
                 raw = ids.astype("<u4").tobytes() + end
