@@ -6,10 +6,10 @@ that share a band key are candidates; a Jaccard estimate from equal registers, c
 values that agree by chance, drops the hopeless ones, and full shingle sets decide about the rest.
 
 No pair list is made. Texts of one shingle set are one class from the start. A band key's classes
-are a list; equal lists are one, a list longer than LIST_MOST is dealt anew by longer keys (and what
-is still longer in pairs of its parts), so every task's work is bounded. Within a list
-the exact sets are compared with one leader after another, skipping texts already linked, and
-only the links of a spanning forest leave the task; components join them.
+are a list; equal lists are one, a list longer than LIST_MOST is dealt in pairs of its parts, so every
+task's work is bounded and every two of its classes still meet. Within a list the exact sets are
+compared with one leader after another, skipping texts already linked, and only the links of a
+spanning forest leave the task; components join them.
 
 Two texts at the threshold of 0.85 share none of the 32 keys of 6 registers with a chance of 3e-7.
 Shingles and sets are known by 64-bit hashes.
@@ -32,7 +32,6 @@ from sieveline.llm._text import doc_words, mix, rows_of
 
 ROWS, BANDS = 6, 32
 REGISTERS = ROWS * BANDS
-DEEP_ROWS, DEEP_BANDS = 12, 64
 MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
 LIST_MOST = 2_000
@@ -75,7 +74,6 @@ def band_keys(regs: np.ndarray, columns: np.ndarray) -> np.ndarray:
 
 
 SHALLOW = np.arange(REGISTERS).reshape(BANDS, ROWS)
-DEEP = np.stack([np.random.RandomState(100 + b).permutation(REGISTERS)[:DEEP_ROWS] for b in range(DEEP_BANDS)])
 
 
 def octaves(n: np.ndarray) -> np.ndarray:
@@ -129,10 +127,8 @@ def _lists(members: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return short, sized.where(F.col("n") > most).select("key", "node")
 
 
-def candidate_lists(signed: DataFrame, nodes: DataFrame, most: int = LIST_MOST) -> DataFrame:
-    """(list, node): every two nodes that share a band key are in a list together, or, where so many share
-    it that longer keys decide, in one of those."""
-    spark = signed.sparkSession
+def candidate_lists(signed: DataFrame, most: int = LIST_MOST) -> DataFrame:
+    """(list, node): every two nodes that share a band key are in a list together, however many share it."""
     keyed = signed.where("node is not null").select("node", F.explode("keys").alias("key"))
     busy = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
     members = materialize(keyed.join(busy.hint("shuffle_hash"), "key").select("key", "node").distinct(), "members")
@@ -140,28 +136,12 @@ def candidate_lists(signed: DataFrame, nodes: DataFrame, most: int = LIST_MOST)
     long = materialize(long, "long-lists")
     if long.isEmpty():
         return materialize(short, "lists")
-    ensure_workers(spark)
-
-    def deepen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows_of(batches, 2000):
-            regs = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            keys = band_keys(regs, DEEP)
-            outer = b.column(0).to_numpy().astype(np.uint64)
-            full = np.where(keys != 0, mix(keys ^ mix(outer)[:, None]), np.uint64(0)).astype(np.int64)
-            n = full.shape[1]
-            ok = full.reshape(-1) != 0
-            yield pa.RecordBatch.from_arrays([pa.array(full.reshape(-1)[ok]), pa.array(np.repeat(b.column(1).to_numpy(), n)[ok])], names=["key", "node"])
-
-    # short texts leave deep bands empty and stay in their list's parts; so do lists that longer keys cannot part
-    deep = long.join(nodes.select("node", "regs"), "node").select("key", "node", "regs").mapInArrow(deepen, "key long, node long")
-    deep = materialize(deep.distinct(), "deep-members")
-    deep_short, still = _lists(deep, most)
-    sizes = still.groupBy("key").agg(F.count("*").alias("n"))
+    sizes = long.groupBy("key").agg(F.count("*").alias("n"))
     half = max(most // 2, 1)
-    parted = still.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / half)).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")))
+    parted = long.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / half)).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")))
     paired = parted.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     paired = paired.select(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("list"), "node").distinct()
-    return materialize(short.unionByName(deep_short).unionByName(paired), "lists")
+    return materialize(short.unionByName(paired), "lists")
 
 
 def promising(lists: DataFrame, nodes: DataFrame, numerator: int, denominator: int, parts: int) -> DataFrame:
@@ -249,7 +229,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, numerator: int = 80, denomin
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("n_shingles").alias("n_shingles"))
     regs = signed.where("node is not null").select("node", "text_hash", "regs").dropDuplicates(["node", "text_hash"])
     nodes = materialize(nodes.join(regs, ["node", "text_hash"]), "nodes")
-    lists = candidate_lists(signed, nodes, most)
+    lists = candidate_lists(signed, most)
     parts = partitions_for(spark, lists.count(), 20_000)
     good = materialize(promising(lists, nodes, numerator, denominator, parts), "promising")
     links = materialize(confirmed(good, docs, nodes, size, numerator, denominator, partitions_for(spark, good.count(), 10_000)), "links")

@@ -126,6 +126,16 @@ def test_near_duplicates_against_brute_force(spark, most):
     assert all(got[i]["kept"] == (roots[i] == i) for i in range(len(texts)))
 
 
+def test_every_two_texts_of_a_long_list_meet(spark):
+    rng = np.random.default_rng(9)  # one band key for all, and no two registers alike besides
+    rows = [(n, [77], rng.integers(0, 60_000, neardup.REGISTERS).astype(np.uint16).tobytes()) for n in range(1, 31)]
+    df = spark.createDataFrame(rows, "node long, keys array<long>, regs binary")
+    lists = {}
+    for r in neardup.candidate_lists(df, most=6).collect():
+        lists.setdefault(r["list"], set()).add(r["node"])
+    assert all(any({a, b} <= own for own in lists.values()) for a in range(1, 31) for b in range(1, a))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     for df in (odd(spark), odd(spark).limit(0)):
         assert neardup.near_duplicates(df).count() == df.count()
