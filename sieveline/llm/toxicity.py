@@ -17,6 +17,7 @@ is 0; an empty table gives an empty result; only text is read by the score."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -144,16 +145,31 @@ class Counting:
         return out
 
 
+def words_name(text: str) -> bytes:
+    """A name of the set of a text's words; of the text itself where it has none."""
+    words = sorted(set(WORD.findall(text.lower())))
+    return hashlib.blake2b(("w " + " ".join(words) if words else "t " + text).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def examples_named(rows: DataFrame) -> DataFrame:
+    """(doc_id, text, label) with `words`, the name of the text's set of words."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches, 500):
+            names = pa.array([words_name(t) for t in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), names], names=["doc_id", "text", "label", "words"])
+
+    return rows.mapInArrow(name, "doc_id long, text string, label int, words binary")
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FEATURES, neighbours: int = 15) -> Index:
     """The index of at most `sample` labelled rows of docs and at most `most` features."""
     ensure_workers(docs.sparkSession)
     chosen = F.broadcast(labelled_sample(labels, "toxic", sample))
     rows = with_row_text(docs.select(F.col("doc_id").cast("long"), "text")).join(chosen, "doc_id").select("doc_id", "text", "label")
-    words = F.split(F.lower("text"), r"\W+")
-    least = [F.array_min(F.transform(words, lambda w, s=s: F.xxhash64(w, F.lit(s)))).alias(f"s{s}") for s in range(3)]
-    rows = materialize(rows.select("*", *least), "examples")
-    # of texts whose words share three minimum hashes, copies mostly, one teaches
-    kept = rows.groupBy("s0", "s1", "s2", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    rows = materialize(examples_named(rows), "examples")
+    # of texts that hold the same words, copies mostly, one teaches
+    kept = rows.groupBy("words", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     rows = rows.join(F.broadcast(kept.distinct()), "doc_id").select("doc_id", "text", "label")
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

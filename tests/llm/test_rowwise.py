@@ -124,6 +124,15 @@ def test_nearest_examples_are_exact():
         assert np.allclose(dense[at] @ v, sims)
 
 
+def test_examples_in_other_scripts_all_teach(spark):
+    word = lambda i: "".join(chr(0x430 + i // 32**k % 32) for k in range(4)) + "слово"
+    rows = [(i, f"{word(3 * i)} {word(3 * i + 1)} {'мерзость' if i % 2 else 'привет'} {word(3 * i + 2)}", i % 2) for i in range(400)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(1001, "эта мерзость тут"), (1002, "этот привет тут")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    assert got[1001]["predicted"] == 1 and len(got[1001]["evidence"]) == 15 and got[1002]["predicted"] == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     base = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
