@@ -2,7 +2,7 @@
 
 A source's texts, in a fixed order, are one stream of words cut into blocks of `block_words`. Targets
 follow weights over all sizes and stop at `cap` times a source's size, the excess being shared anew.
-A source's target becomes a number of slots; slots fall on output shards by a multinomial draw, slot
+A source's target, rounded to words, becomes slots, of which the last takes only the words still missing; slots fall on output shards by a multinomial draw, slot
 k of a source takes block perm(k mod n) of its n blocks, perm a seeded permutation of indices by
 source and pass, and slots join blocks by index. As each pass takes a block once and a target is at
 most `cap` sizes, no text is taken more than `cap` times.
@@ -53,6 +53,40 @@ def permuted(k: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def place_of(block: int, n: int, seed: int) -> int:
+    """The k whose permuted() is block."""
+    half = max(1, -(-(max(n - 1, 1)).bit_length() // 2))
+    low = np.uint64((1 << half) - 1)
+    x = np.array([block], np.uint64)
+    while True:
+        left, right = x >> np.uint64(half), x & low
+        for r in (3, 2, 1, 0):
+            key = np.uint64((seed * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) & ((1 << 64) - 1))
+            left, right = right ^ (mix_bits(left ^ key) & low), left
+        x = left << np.uint64(half) | right
+        if x[0] < n:
+            return int(x[0])
+
+
+def slots_for(want: int, size: int, block_words: int, seed: int) -> tuple[int, int]:
+    """(slots, words of the last) that hold `want` words of a source: a pass takes all its blocks, the last of
+    which may be short, and the last slot takes what is still missing."""
+    n = -(-size // block_words)
+    full, rest = divmod(want, size)
+    tail = size - (n - 1) * block_words
+    if not rest:  # the last pass ends with the block that comes last in it
+        return full * n, tail if full and place_of(n - 1, n, seed + full - 1) == n - 1 else block_words
+    at = place_of(n - 1, n, seed + full)
+    if rest <= at * block_words:
+        k = -(-rest // block_words)
+        return full * n + k, rest - (k - 1) * block_words
+    if rest <= at * block_words + tail:
+        return full * n + at + 1, rest - at * block_words
+    rest += block_words - tail
+    k = -(-rest // block_words)
+    return full * n + k, rest - (k - 1) * block_words
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, no_source, source, size, text_hash) of each row."""
     ensure_workers(docs.sparkSession)
@@ -96,13 +130,26 @@ def streams(sized: DataFrame, salts: int = 64) -> DataFrame:
     return begun.join(base, keys).withColumn("start", F.col("start") + F.col("base")).drop("base", "salt")
 
 
+def own_seed(source: str, no_source: bool, seed: int) -> int:
+    return zlib.crc32(source.encode()) * 2 + no_source + seed * 0x1F123BB5
+
+
 def slots(goal: DataFrame, block_words: int, shards: int, seed: int) -> DataFrame:
-    """(no_source, source, shard, pass, block) for each slot of each source, drawn in stretches of STRETCH slots."""
+    """(no_source, source, shard, pass, block, words) for each slot of each source, drawn in stretches of STRETCH
+    slots from (no_source, source, source_size, want); a slot takes the first `words` of its block."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            no, src, size, want = (c.to_pylist() for c in b.columns)
+            got = [slots_for(w, n, block_words, own_seed(s, x, seed) * 31) for x, s, n, w in zip(no, src, size, want, strict=True)]
+            k, last = (pa.array([g[i] for g in got], pa.int64()) for i in (0, 1))
+            n = pa.array([-(-x // block_words) for x in size], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, k, last], names=["no_source", "source", "n", "k", "last"])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for no, src, n, k, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = zlib.crc32(src.encode()) * 2 + no + seed * 0x1F123BB5
+            for no, src, n, k, last, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = own_seed(src, no, seed)
                 ends = np.cumsum(np.random.default_rng(own).multinomial(k, np.full(shards, 1 / shards)))
                 i = np.arange(at, min(k, at + STRETCH))
                 block = np.zeros(len(i), np.int64)
@@ -110,14 +157,13 @@ def slots(goal: DataFrame, block_words: int, shards: int, seed: int) -> DataFram
                     here = i // n == p
                     block[here] = permuted(i[here] % n, n, own * 31 + int(p))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([no] * len(i)), pa.array([src] * len(i)), pa.array(np.searchsorted(ends, i, side="right").astype(np.int32)), pa.array((i // n).astype(np.int32)), pa.array(block)],
-                    names=["no_source", "source", "shard", "pass", "block"],
+                    [pa.array([no] * len(i), pa.bool_()), pa.array([src] * len(i), pa.string()), pa.array(np.searchsorted(ends, i, side="right").astype(np.int32)), pa.array((i // n).astype(np.int32)), pa.array(block), pa.array(np.where(i == k - 1, last, block_words))],
+                    names=["no_source", "source", "shard", "pass", "block", "words"],
                 )
 
-    n = F.ceil(F.col("source_size") / block_words)
-    rows = goal.where("source_size > 0").select("no_source", "source", n.alias("n"), F.floor(F.col("target") * n / F.col("source_size") + 1e-9).alias("k")).where("k > 0")
+    rows = goal.where("source_size > 0 and want > 0").select("no_source", "source", "source_size", "want").mapInArrow(count, "no_source boolean, source string, n long, k long, last long")
     rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("k") - 1, F.lit(STRETCH))))
-    return rows.repartition("source", "at").mapInArrow(draw, "no_source boolean, source string, shard int, pass int, block long")
+    return rows.repartition("source", "at").mapInArrow(draw, "no_source boolean, source string, shard int, pass int, block long, words long")
 
 
 def takes(docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int = 1, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0) -> DataFrame:
@@ -126,12 +172,15 @@ def takes(docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int =
     sized = materialize(sizes(docs), "sizes")
     placed = materialize(streams(sized), "streams")
     goal = materialize(targets(sized.groupBy("no_source", "source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
-    chosen = slots(goal, block_words, shards, seed).groupBy("no_source", "source", "block").agg(F.collect_list("pass").alias("passes"))  # at most `cap` passes
+    want = F.least(F.round("target"), F.floor(F.col("source_size") * F.lit(float(cap)) + 1e-9)).cast("long")
+    drawn = slots(goal.withColumn("want", want), block_words, shards, seed)
+    chosen = drawn.groupBy("no_source", "source", "block").agg(F.collect_list(F.struct("pass", "words")).alias("passes"))  # at most `cap` passes
     b = F.lit(block_words)
     held = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
     lo, hi = F.greatest(F.col("block") * b, "start") - F.col("start"), F.least((F.col("block") + 1) * b, F.col("start") + F.col("size")) - F.col("start")
-    joined = held.join(chosen.hint("merge"), ["no_source", "source", "block"]).withColumn("pass", F.explode("passes"))
-    parts = joined.select("no_source", "source", "start", F.struct("pass", lo.alias("first"), hi.alias("last")).alias("s"))
+    joined = held.join(chosen.hint("merge"), ["no_source", "source", "block"]).withColumn("p", F.explode("passes"))
+    hi = F.least(hi, F.col("block") * b + F.col("p.words") - F.col("start"))
+    parts = joined.select("no_source", "source", "start", F.struct(F.col("p.pass").alias("pass"), lo.alias("first"), hi.alias("last")).alias("s")).where("s.last > s.first")
     got = parts.groupBy("no_source", "source", "start").agg(F.sum(F.col("s.last") - F.col("s.first")).alias("taken"), F.sort_array(F.collect_list("s")).alias("segments"))
     got = got.withColumn("owns", F.lit(True))
     out = placed.withColumn("owns", F.col("size") > 0).join(got.hint("merge"), ["no_source", "source", "start", "owns"], "left").join(goal, ["no_source", "source"])

@@ -329,6 +329,25 @@ def test_mixture_comes_near_its_targets(spark):
     assert words == sum(taken.values())
 
 
+def test_small_sources_meet_their_targets(spark):
+    rows = [(i, f"s{i:03}", " ".join("w" for _ in range(1 + i * 7 % 130))) for i in range(90)] + [(900 + i, "big", "w " * 100) for i in range(20)]
+    got = mixing.takes(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[r["source"]] - r["target"]) <= 0.5 + 1e-6 for r in got)
+
+
+def test_slots_hold_the_words_wanted():
+    for size in (1, 5, 63, 64, 65, 200, 640, 1001):
+        n = -(-size // 64)
+        for want in range(1, 3 * size + 1, max(1, size // 50)):
+            k, last = mixing.slots_for(want, size, 64, 5)
+            blocks = [mixing.permuted(np.array([i % n]), n, 5 + i // n)[0] for i in range(k)]
+            words = [min(64, size - 64 * b) for b in blocks]
+            assert sum(words[:-1]) + min(words[-1], last) == want and 0 < last <= 64
+
+
 def test_mixture_of_nothing_and_permutations(spark):
     for df in (odd(spark), odd(spark).limit(0)):
         assert mixing.takes(df).count() == df.count()
