@@ -135,7 +135,7 @@ def own_seed(source: str, no_source: bool, seed: int) -> int:
 
 
 def slots(goal: DataFrame, block_words: int, shards: int, seed: int) -> DataFrame:
-    """(no_source, source, shard, pass, block, words) for each slot of each source, drawn in stretches of STRETCH
+    """(no_source, source, shard, slot, pass, block, words) for each slot of each source, drawn in stretches of STRETCH
     slots from (no_source, source, source_size, want); a slot takes the first `words` of its block."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,30 +157,31 @@ def slots(goal: DataFrame, block_words: int, shards: int, seed: int) -> DataFram
                     here = i // n == p
                     block[here] = permuted(i[here] % n, n, own * 31 + int(p))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([no] * len(i), pa.bool_()), pa.array([src] * len(i), pa.string()), pa.array(np.searchsorted(ends, i, side="right").astype(np.int32)), pa.array((i // n).astype(np.int32)), pa.array(block), pa.array(np.where(i == k - 1, last, block_words))],
-                    names=["no_source", "source", "shard", "pass", "block", "words"],
+                    [pa.array([no] * len(i), pa.bool_()), pa.array([src] * len(i), pa.string()), pa.array(np.searchsorted(ends, i, side="right").astype(np.int32)), pa.array(i), pa.array((i // n).astype(np.int32)), pa.array(block), pa.array(np.where(i == k - 1, last, block_words))],
+                    names=["no_source", "source", "shard", "slot", "pass", "block", "words"],
                 )
 
     rows = goal.where("source_size > 0 and want > 0").select("no_source", "source", "source_size", "want").mapInArrow(count, "no_source boolean, source string, n long, k long, last long")
     rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("k") - 1, F.lit(STRETCH))))
-    return rows.repartition("source", "at").mapInArrow(draw, "no_source boolean, source string, shard int, pass int, block long, words long")
+    return rows.repartition("source", "at").mapInArrow(draw, "no_source boolean, source string, shard int, slot long, pass int, block long, words long")
 
 
 def takes(docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int = 1, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0) -> DataFrame:
     """A row for each row of docs: doc_id, text_hash, source, size, source_size, target, taken and
-    segments, an array of (pass, first, last) words of the row that the mix takes."""
+    segments, an array of (pass, first, last) words of the row that the mix takes, each with the shard, slot and
+    block that they lie in and their place `at` in the block."""
     sized = materialize(sizes(docs), "sizes")
     placed = materialize(streams(sized), "streams")
     goal = materialize(targets(sized.groupBy("no_source", "source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
     want = F.least(F.round("target"), F.floor(F.col("source_size") * F.lit(float(cap)) + 1e-9)).cast("long")
     drawn = slots(goal.withColumn("want", want), block_words, shards, seed)
-    chosen = drawn.groupBy("no_source", "source", "block").agg(F.collect_list(F.struct("pass", "words")).alias("passes"))  # at most `cap` passes
+    chosen = drawn.groupBy("no_source", "source", "block").agg(F.collect_list(F.struct("pass", "words", "shard", "slot")).alias("passes"))  # at most `cap` passes
     b = F.lit(block_words)
     held = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
     lo, hi = F.greatest(F.col("block") * b, "start") - F.col("start"), F.least((F.col("block") + 1) * b, F.col("start") + F.col("size")) - F.col("start")
     joined = held.join(chosen.hint("merge"), ["no_source", "source", "block"]).withColumn("p", F.explode("passes"))
     hi = F.least(hi, F.col("block") * b + F.col("p.words") - F.col("start"))
-    parts = joined.select("no_source", "source", "start", F.struct(F.col("p.pass").alias("pass"), lo.alias("first"), hi.alias("last")).alias("s")).where("s.last > s.first")
+    parts = joined.select("no_source", "source", "start", F.struct(F.col("p.pass").alias("pass"), lo.alias("first"), hi.alias("last"), "p.shard", "p.slot", "block", (F.col("start") + lo - F.col("block") * b).alias("at")).alias("s")).where("s.last > s.first")
     got = parts.groupBy("no_source", "source", "start").agg(F.sum(F.col("s.last") - F.col("s.first")).alias("taken"), F.sort_array(F.collect_list("s")).alias("segments"))
     got = got.withColumn("owns", F.lit(True))
     out = placed.withColumn("owns", F.col("size") > 0).join(got.hint("merge"), ["no_source", "source", "start", "owns"], "left").join(goal, ["no_source", "source"])
@@ -193,6 +194,28 @@ def whole(segments: Column, size: Column) -> Column:
     return F.transform(passes, lambda p: F.struct(p.alias("pass"), F.filter(segments, lambda s: s["pass"] == p).alias("runs")))
 
 
+def mix_blocks(docs: DataFrame, **how) -> DataFrame:
+    """The mixed corpus by output shard: (shard, slot, source, pass, block, n_words, text) for each slot drawn; slot
+    numbers the slots of a source, so a shard's blocks in the order of slot, then source, are the mix."""
+    got = takes(docs, **how).select("doc_id", "text_hash", "source", F.explode("segments").alias("s"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__sv_id"), text.alias("text"), F.xxhash64(text).alias("__sv_h")).dropDuplicates(["__sv_id", "__sv_h"])
+    j = got.join(texts, got["doc_id"].eqNullSafe(texts["__sv_id"]) & (got["text_hash"] == texts["__sv_h"]))
+
+    @F.pandas_udf(StringType())
+    def cut(text: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        out = []
+        for t, a, b in zip(text, first, last, strict=True):
+            at = [(m.start(), m.end()) for m in WORD.finditer(t)]
+            out.append(t[at[a][0] : at[b - 1][1]])
+        return pd.Series(out, dtype=object)
+
+    j = j.withColumn("part", cut("text", "s.first", "s.last"))
+    parts = F.sort_array(F.collect_list(F.struct("s.at", "part")))
+    got = j.groupBy("s.shard", "s.slot", "source", "s.pass", "s.block").agg(F.sum(F.col("s.last") - F.col("s.first")).alias("n_words"), F.array_join(F.transform(parts, lambda p: p["part"]), "\n").alias("text"))
+    return got.select("shard", "slot", "source", "pass", "block", "n_words", "text")
+
+
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus, in the columns of docs: a row for each text and pass, its text the words taken
     in that pass (the text itself where that is all of them) and n_chars, if there, their length."""

@@ -338,6 +338,23 @@ def test_small_sources_meet_their_targets(spark):
     assert all(abs(taken[r["source"]] - r["target"]) <= 0.5 + 1e-6 for r in got)
 
 
+def test_shards_hold_the_mix(spark):
+    rows = [(i, f"s{i % 3}", " ".join(f"d{i}w{k}" for k in range(1 + i * 13 % 150))) for i in range(60)] + [(3, "s0", "d3w0 again"), (None, None, "x y")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken, got = Counter(), mixing.mix_blocks(df, shards=4).collect()
+    for r in mixing.takes(df, shards=4).collect():
+        taken[r["source"]] += r["taken"]
+    held = Counter()
+    for r in got:
+        held[r["source"]] += r["n_words"]
+        assert len(r["text"].split()) == r["n_words"] <= 64
+    assert held == taken and {r["shard"] for r in got} == {0, 1, 2, 3}
+    for s in taken:
+        own = sorted((r["slot"], r["shard"]) for r in got if r["source"] == s)
+        assert [x for x, _ in own] == list(range(len(own))) and [x for _, x in own] == sorted(x for _, x in own)
+    assert len({r["shard"] for r in mixing.mix_blocks(df, shards=2).collect()}) == 2
+
+
 def test_slots_hold_the_words_wanted():
     for size in (1, 5, 63, 64, 65, 200, 640, 1001):
         n = -(-size // 64)
