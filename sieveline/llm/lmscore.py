@@ -9,7 +9,11 @@ Counts are exact over all learning texts and grow with the corpus, so they never
 executors: texts become blocks of tokens (numbers into the block's own vocabulary); a block asks
 for the counts of its different words and bigrams, the asks are dealt by hash ranges, summed, and
 answered to each block, which then scores its texts alone. A word or pair asked by every block is
-one number of each, so common words make no hot task. What EM needs of the held-out tokens is
+one number of each, so common words make no hot task. A block sends at most FAN messages of a kind: where
+there are more hash ranges than that, blocks form teams, a team's asks of one wide range are merged in one task and go on to
+the ranges inside it, and the answers come back the same way. A team has as many blocks as there are wide
+ranges, about the square root of the ranges, so a task merges what one block holds and messages grow
+far slower than blocks times ranges. What EM needs of the held-out tokens is
 a table over context octaves and quarter-octaves of both estimates, of bounded size.
 
 Words are known by 64-bit hashes, bigrams by PAIR_BITS bits.
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +39,9 @@ from sieveline.llm._text import doc_words, mix, rows_of
 BLOCK_TOKENS = 1 << 20
 ASKS_PER_TASK = 1 << 21
 PAIR_BITS = 56
-CORE, HELD, TEST = 0, 1, 2
+#: Messages of a kind that a block sends at most; more hash ranges than that are reached through teams.
+FAN = 64
+CORE, HELD, TEST, TEAM = 0, 1, 2, 3
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
 OCTAVES = 40
 MARKS = "block long, role int, doc_ids array<long>, lens binary, vocab binary, tokens binary, n_tokens long"
@@ -111,10 +118,35 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
     return lens, vocab, tokens, pairs, of, context
 
 
+ASK = "kind int, bucket int, block long, role int, hashes binary, counts binary, core binary"
+ANSWER = "block long, role int, kind int, bucket int, counts binary, core binary, n long, n_core long, v long, v_core long"
+
+
+def _batch(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in fields.split(", ")), strict=True)
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(cols, types, strict=True)], names=list(names))
+
+
+def _small(x: np.ndarray) -> bytes:
+    return squeeze(np.minimum(x, 2**32 - 1).astype(np.uint32))
+
+
+def _cut(keys: np.ndarray, bits: int, low: int, high: int) -> Iterator[tuple[int, slice]]:
+    """(range, where its keys are) of each range low..high - 1, a range being the keys of equal top bits, that holds any of the sorted keys."""
+    edge = np.searchsorted(keys >> np.uint64(bits), np.arange(low, high + 1, dtype=np.uint64)) if bits < 64 else np.array([0, len(keys)])
+    for k in range(high - low):
+        if edge[k] < edge[k + 1]:
+            yield low + k, slice(int(edge[k]), int(edge[k + 1]))
+
+
+def _shift(kind: int, buckets: int) -> int:
+    return (64 if kind == 1 else PAIR_BITS) - (buckets - 1).bit_length()
+
+
 def asks(marked: DataFrame, buckets: int) -> DataFrame:
-    """(kind, bucket, block, role, hashes, counts): a block's different words (1) and pairs (2) with their counts in it."""
-    fields = "kind int, bucket int, block long, role int, hashes binary, counts binary"
-    shift = {1: 64 - (buckets - 1).bit_length(), 2: PAIR_BITS - (buckets - 1).bit_length()}
+    """(kind, bucket, block, role, hashes, counts, core): a block's different words (1) and pairs (2) with their counts in it, none in core."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,40 +154,73 @@ def asks(marked: DataFrame, buckets: int) -> DataFrame:
                 _, vocab, tokens, pairs, of, _ = _open(row)
                 rows = []
                 for kind, keys, counts in ((1, vocab, np.bincount(tokens, minlength=len(vocab))), (2, pairs, np.bincount(of, minlength=len(pairs)))):
-                    edge = np.searchsorted(keys >> np.uint64(shift[kind]), np.arange(buckets + 1, dtype=np.uint64)) if buckets > 1 else np.array([0, len(keys)])
-                    for k in range(buckets):
-                        part = keys[edge[k] : edge[k + 1]]
-                        if len(part):
-                            rows.append((kind, k, row["block"], row["role"], squeeze(np.diff(part, prepend=np.uint64(0))), squeeze(counts[edge[k] : edge[k + 1]].astype(np.uint32)) if row["role"] != TEST else None))
-                kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in fields.split(", ")])
+                    for k, at in _cut(keys, _shift(kind, buckets), 0, buckets):
+                        rows.append((kind, k, row["block"], row["role"], squeeze(np.diff(keys[at], prepend=np.uint64(0))), squeeze(counts[at].astype(np.uint32)) if row["role"] != TEST else None, None))
+                yield _batch(rows, ASK)
+
+    return marked.select("block", "role", "lens", "vocab", "tokens").mapInArrow(ask, ASK)
 
-    return marked.select("block", "role", "lens", "vocab", "tokens").mapInArrow(ask, fields)
+
+def _summed(t: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ends of the asks' hashes, different hashes, number of each hash asked among them, learning counts, those of them not held out)."""
+    hashes = [np.cumsum(spread(x, np.uint64)) for x in t.column("hashes").to_pylist()]
+    keys, of = np.unique(np.concatenate(hashes), return_inverse=True)
+    every, core = np.zeros(sum(map(len, hashes))), np.zeros(sum(map(len, hashes)))
+    ends = np.cumsum([0, *map(len, hashes)])
+    for i, (role, c, own) in enumerate(zip(t.column("role").to_pylist(), t.column("counts").to_pylist(), t.column("core").to_pylist(), strict=True)):
+        if c is not None:
+            every[ends[i] : ends[i + 1]] = spread(c, np.uint32)
+            if role == CORE:
+                core[ends[i] : ends[i + 1]] = spread(own or c, np.uint32)
+            elif own is not None:
+                core[ends[i] : ends[i + 1]] = spread(own, np.uint32)
+    return ends.tolist(), keys, of, np.bincount(of, every, len(keys)), np.bincount(of, core, len(keys))
 
 
 def answers(asked: DataFrame, parts: int) -> DataFrame:
     """(block, role, kind, bucket, counts, core, n, n_core, v, v_core): counts of all learning texts for each hash
-    asked, in its order; for held-out blocks those without the held-out texts too. Rows of block -1 carry totals."""
-    fields = "block long, role int, kind int, bucket int, counts binary, core binary, n long, n_core long, v long, v_core long"
+    asked, in its order; for held-out blocks and teams those without the held-out texts too. Rows of block -1 carry totals."""
 
     def answer(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
         kind, bucket = key
-        role, block = t.column("role").to_pylist(), t.column("block").to_pylist()
-        hashes = [np.cumsum(spread(x, np.uint64)) for x in t.column("hashes").to_pylist()]
-        own = [spread(x, np.uint32) if x is not None else np.zeros(len(h), np.uint32) for x, h in zip(t.column("counts").to_pylist(), hashes, strict=True)]
-        ends = np.cumsum([0, *map(len, hashes)])
-        keys, of = np.unique(np.concatenate(hashes), return_inverse=True)
-        every = np.bincount(of, np.concatenate(own), len(keys))
-        core = np.bincount(of, np.concatenate([c if r == CORE else np.zeros(len(c)) for c, r in zip(own, role, strict=True)]), len(keys))
+        ends, _, of, every, core = _summed(t)
         rows = [(-1, -1, kind, bucket, None, None, int(every.sum()), int(core.sum()), int((every > 0).sum()), int((core > 0).sum()))]
-        small = lambda x: squeeze(np.minimum(x, 2**32 - 1).astype(np.uint32))
-        for i, (b, r) in enumerate(zip(block, role, strict=True)):
+        for i, (b, r) in enumerate(zip(t.column("block").to_pylist(), t.column("role").to_pylist(), strict=True)):
+            here = of[ends[i] : ends[i + 1]]
+            rows.append((b, r, kind, bucket, _small(every[here]), _small(core[here]) if r in (HELD, TEAM) else None, 0, 0, 0, 0))
+        yield _batch(rows, ANSWER)
+
+    return stream_groups(asked, ["kind", "bucket"], answer, ANSWER, parts)
+
+
+def answers_by_teams(asked: DataFrame, wide: int, buckets: int, teams: int, parts: int) -> DataFrame:
+    """answers() to asks of `wide` ranges, worked out over `buckets` ranges: teams of blocks merge what they ask."""
+    teamed = asked.withColumn("team", F.pmod(F.xxhash64("block"), F.lit(teams)))
+    inside = buckets // wide
+
+    def merge(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        kind, bucket, team = key
+        _, keys, _, every, core = _summed(t)
+        yield _batch([(kind, k, team, TEAM, squeeze(np.diff(keys[at], prepend=np.uint64(0))), _small(every[at]), _small(core[at])) for k, at in _cut(keys, _shift(kind, buckets), bucket * inside, (bucket + 1) * inside)], ASK)
+
+    told = materialize(answers(stream_groups(teamed, ["kind", "bucket", "team"], merge, ASK, parts), parts), "team-counts")
+
+    def hand_out(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        kind, bucket, _ = key
+        own, told = t.filter(pc.is_valid(t.column("hashes"))), t.filter(pc.is_null(t.column("hashes"))).sort_by("range")
+        if not own.num_rows:
+            return
+        ends, _, of, _, _ = _summed(own)
+        every, core = (np.concatenate([spread(x, np.uint32) for x in told.column(c).to_pylist()]) for c in ("counts", "core"))
+        rows = []
+        for i, (b, r) in enumerate(zip(own.column("block").to_pylist(), own.column("role").to_pylist(), strict=True)):
             here = of[ends[i] : ends[i + 1]]
-            rows.append((b, r, kind, bucket, small(every[here]), small(core[here]) if r == HELD else None, 0, 0, 0, 0))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 4)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in fields.split(", ")])
+            rows.append((b, r, kind, bucket, _small(every[here]), _small(core[here]) if r == HELD else None, 0, 0, 0, 0))
+        yield _batch(rows, ANSWER)
 
-    return stream_groups(asked, ["kind", "bucket"], answer, fields, parts)
+    back = told.where("block >= 0").select("kind", F.col("bucket").alias("range"), (F.col("bucket") / inside).cast("int").alias("bucket"), F.col("block").alias("team"), F.lit(None).cast("long").alias("block"), "role", F.lit(None).cast("binary").alias("hashes"), "counts", "core")
+    both = teamed.withColumn("range", F.lit(-1)).select(*back.columns).unionByName(back)
+    return stream_groups(both, ["kind", "bucket", "team"], hand_out, ANSWER, parts).unionByName(told.where("block = -1"))
 
 
 def _gathered(right: pa.Table, column: str) -> dict[int, np.ndarray]:
@@ -201,14 +266,24 @@ def learn_weights(table: np.ndarray, uniform: float, rounds: int = 60) -> np.nda
     return weights
 
 
-def score(docs: DataFrame, parts: int = 7, test: int = 2, held: int = 6, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def exchanged(marked: DataFrame, asks_per_task: int = ASKS_PER_TASK, fan: int = FAN) -> DataFrame:
+    """answers() to all blocks, by one step of messages or by two."""
+    total, blocks_n = marked.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    least = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 1 << max(3, (max(total // asks_per_task, 1) - 1).bit_length())
+    if buckets <= fan:
+        return answers(asks(marked, buckets), max(2 * buckets, least))
+    wide = max(fan, 1 << ((buckets - 1).bit_length() + 1) // 2)
+    teams = max(1, -(-blocks_n // wide))
+    return answers_by_teams(materialize(asks(marked, wide), "asks"), wide, buckets, teams, max(2 * buckets, least))
+
+
+def score(docs: DataFrame, parts: int = 7, test: int = 2, held: int = 6, block_tokens: int = BLOCK_TOKENS, asks_per_task: int = ASKS_PER_TASK, fan: int = FAN) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): learned from texts whose
     crc32(doc_id as text) mod parts is not `test`, weights from those where it is `held`."""
     spark = docs.sparkSession
     marked = materialize(blocks(docs, parts, test, held, block_tokens), "blocks")
-    total = marked.agg(F.sum("n_tokens")).first()[0] or 0
-    buckets = 1 << max(3, (max(total // ASKS_PER_TASK, 1) - 1).bit_length())
-    replies = materialize(answers(asks(marked, buckets), max(2 * buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))), "counts")
+    replies = materialize(exchanged(marked, asks_per_task, fan), "counts")
     sums = replies.where("block = -1 and kind = 1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_core", "v", "v_core"))).first()
     uniform, uniform_core = 1 / (sums["v"] + 1), 1 / (sums["v_core"] + 1)
     n_all, n_core = sums["n"], sums["n_core"]

@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from sieveline.llm import lattice, lmscore, mixing, neardup, packing, pii
+from sieveline.llm._shared import materialize
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -238,6 +239,27 @@ def test_bigram_estimates_against_dictionaries(spark):
     assert sum(got[i] for i in held) > sum(base[i] for i in held)
 
 
+def test_teams_bring_the_same_counts_by_fewer_messages(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 900}"
+    sent = []
+    for n in (150, 600):
+        texts = [" ".join(word() for _ in range(30)) for _ in range(n)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+        how = {"block_tokens": 100, "asks_per_task": 100}
+        plain = {r["doc_id"]: tuple(r) for r in lmscore.score(df, **how, fan=1 << 20).collect()}
+        teams = {r["doc_id"]: tuple(r) for r in lmscore.score(df, **how, fan=4).collect()}
+        assert plain == teams
+        marked = materialize(lmscore.blocks(df, 7, 2, 6, 100), "marked")
+        blocks = marked.count()
+        ranges = 1 << ((sum(len(t.split()) + 1 for t in texts) // 100) - 1).bit_length()
+        wide = 1 << ((ranges - 1).bit_length() + 1) // 2
+        messages = lmscore.asks(marked, wide).count()
+        assert messages <= 2 * blocks * wide and wide * wide <= 4 * ranges
+        sent.append(messages / blocks)
+    assert sent[1] <= 2.2 * sent[0]  # four times the blocks and ranges: twice the messages a block, not four times
+
+
 def test_weights_follow_held_out_counts():
     rows = np.array([[3, 0.5, 0.01, 90], [3, 0.0, 0.01, 10], [8, 0.0, 0.2, 100]], float)
     w = lmscore.learn_weights(rows, 1e-6)
