@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -25,10 +27,13 @@ def ensure_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own in the warehouse where it is unset and
+    driver and executors are one process; elsewhere the warehouse may be a machine's own folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     return f"{warehouse}/_sieveline"
 
@@ -57,6 +62,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables written inside go when the block ends: for drivers that live long. The results read them, so store these first."""
+    n = len(_written)
+    yield
+    while len(_written) > n:
+        drop_path(*_written.pop())
+
+
 def sweep() -> None:
     """Remove the tables of this process from the shared folder."""
     while _written:
@@ -122,12 +136,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     """(node, root): root is the smallest node reachable. Alternates large-star and small-star, which
     ends after O(log^2 n) rounds; each round is aggregated map-side and written to the shared folder."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = materialize(e, "edges")
+    e, before = materialize(e, "edges"), None
     for _ in range(rounds):
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(
             e.select(F.col("v").alias("x"), F.col("u").alias("y"))
         )
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        # written first, so that both sides of the join are plain shuffles, whose hot keys (a star's centre) Spark splits
+        low = materialize(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), "least")
         large = both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         large = materialize(large.where("u <> v").distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -136,10 +151,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
             low.select("u", F.col("m").alias("v"))
         )
         small = materialize(small.where("u <> v").distinct(), "small-star")
-        same = small.exceptAll(e).isEmpty() and e.exceptAll(small).isEmpty()
+        now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.sum(F.xxhash64("v", "u") % (1 << 40))).first()
         e = small
-        if same:
+        if now == before:  # as many edges, and the same sums of their hashes
             break
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -6,13 +6,16 @@ that share a band key are candidates; a Jaccard estimate from equal registers, c
 values that agree by chance, drops the hopeless ones, and full shingle sets decide about the rest.
 
 No pair list is made. Texts of one shingle set are one class from the start. A band key's classes
-are a list; equal lists are one, a list longer than LIST_MOST is dealt in pairs of its parts, so every
-task's work is bounded and every two of its classes still meet. Within a list the exact sets are
+are a list; equal lists are one. A list of more than LIST_MOST classes or LIST_SHINGLES shingles is long: it is
+dealt twice at random into parts within these bounds, which joins groups of near copies, and then every class
+outside the list's largest component is dealt against all parts, so every two classes meet that are
+not one component already. Within a list the exact sets are
 compared with one leader after another, skipping texts already linked, and only the links of a
-spanning forest leave the task; components join them.
+spanning forest leave the task; components join them. A long list of near copies so costs its length; one
+of texts that share a key and little else costs its square over LIST_MOST.
 
-Two texts at the threshold of 0.85 share none of the 32 keys of 6 registers with a chance of 3e-7.
-Shingles and sets are known by 64-bit hashes.
+Two texts at the threshold of 0.85 share none of the 32 keys of 6 registers with a chance of 3e-7, at 0.80 of
+3e-5; no other step loses a link. Shingles and sets are known by 64-bit hashes.
 
 Defined results: null and empty texts have 0 shingles and link with nothing; copies link, however
 short; equal rows and repeated ids are judged each; a null doc_id never represents others unless all
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm._shared import connected_components, ensure_workers, materialize, partitions_for, stream_groups, with_row_text
@@ -35,6 +38,7 @@ REGISTERS = ROWS * BANDS
 MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
 LIST_MOST = 2_000
+LIST_SHINGLES = 4_000_000  # 8 bytes each
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -118,39 +122,53 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return plain.mapInArrow(sign, fields)
 
 
-def _lists(members: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """(list, node) of the keys with 2 to `most` nodes, equal lists once; (key, node) of longer ones."""
-    counted = members.groupBy("key").agg(F.count("*").alias("n")).where("n >= 2")
+def _parts(n: str, weight: str, most: int, heavy: int) -> Column:
+    return F.ceil(F.greatest(F.col(n) / max(most // 2, 1), F.col(weight) / max(heavy // 2, 1))).cast("int")
+
+
+def candidate_lists(signed: DataFrame, most: int = LIST_MOST, heavy: int = LIST_SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """((list, node, comp), long): nodes that share a band key are in a list together, but for those of the long
+    keys (key, node, n_shingles, parts), whose lists are only two random dealings; comp is the node itself."""
+    keyed = signed.where("node is not null").select("node", "n_shingles", F.explode("keys").alias("key"))
+    busy = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
+    members = materialize(keyed.join(busy.hint("shuffle_hash"), "key").select("key", "node", "n_shingles").distinct(), "members")
+    counted = members.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
     sized = members.join(counted.hint("shuffle_hash"), "key")
-    short = sized.where(F.col("n") <= most).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    fits = (F.col("n") <= most) & (F.col("weight") <= heavy)
+    short = sized.where(fits).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
     short = short.select(F.xxhash64("nodes").alias("list"), "nodes").dropDuplicates(["list"]).select("list", F.explode("nodes").alias("node"))
-    return short, sized.where(F.col("n") > most).select("key", "node")
+    long = materialize(sized.where(~fits).select("key", "node", "n_shingles", _parts("n", "weight", most, heavy).alias("parts")), "long-lists")
+    for deal in (1, 2):
+        short = short.unionByName(long.select(F.xxhash64("key", F.lit(deal), _part(deal)).alias("list"), "node"))
+    return materialize(short.withColumn("comp", F.col("node")), "lists"), long
 
 
-def candidate_lists(signed: DataFrame, most: int = LIST_MOST) -> DataFrame:
-    """(list, node): every two nodes that share a band key are in a list together, however many share it."""
-    keyed = signed.where("node is not null").select("node", F.explode("keys").alias("key"))
-    busy = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
-    members = materialize(keyed.join(busy.hint("shuffle_hash"), "key").select("key", "node").distinct(), "members")
-    short, long = _lists(members, most)
-    long = materialize(long, "long-lists")
-    if long.isEmpty():
-        return materialize(short, "lists")
-    sizes = long.groupBy("key").agg(F.count("*").alias("n"))
-    half = max(most // 2, 1)
-    parted = long.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / half)).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")))
-    paired = parted.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    paired = paired.select(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("list"), "node").distinct()
-    return materialize(short.unionByName(paired), "lists")
+def _part(deal: int, parts: str = "parts") -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(deal)), F.col(parts)).cast("int")
+
+
+def remaining_lists(long: DataFrame, roots: DataFrame, most: int = LIST_MOST, heavy: int = LIST_SHINGLES) -> DataFrame:
+    """(list, node, comp): every two nodes of a long key that are of different components are in a list together."""
+    known = materialize(long.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "long-components")
+    groups = known.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = groups.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    marked = known.join(main, "key").withColumn("rest", F.col("comp") != F.col("main"))
+    left = marked.where("rest").groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    left = left.select("key", _parts("n", "weight", most, heavy).alias("turns"))
+    marked = marked.join(left, "key").withColumn("p", _part(1)).withColumn("r", _part(3, "turns"))
+    name = lambda r, p: F.xxhash64("key", F.lit(9), r, p).alias("list")
+    every = marked.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).select(name(F.col("turn"), F.col("p")), "node", "comp")
+    rest = marked.where("rest").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(name(F.col("r"), F.col("part")), "node", "comp")
+    return materialize(every.unionByName(rest).distinct(), "remaining-lists")
 
 
 def promising(lists: DataFrame, nodes: DataFrame, numerator: int, denominator: int, parts: int) -> DataFrame:
-    """The members of each list that some other member may be similar enough to, by the corrected estimate."""
+    """The members of each list that some member of another component may be similar enough to, by the corrected estimate."""
     slack = 5 * np.sqrt(numerator / denominator * (1 - numerator / denominator) / REGISTERS) + 1e-9
 
     def keep(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
         n, zeros = t.num_rows, octaves(t.column("n_shingles").to_numpy())
-        node = t.column("node").to_numpy()
+        node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
         if n == 1:
             return
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
@@ -160,25 +178,25 @@ def promising(lists: DataFrame, nodes: DataFrame, numerator: int, denominator: i
         for i in range(n):
             if not near.all():
                 close = estimate(regs, zeros, i) >= numerator / denominator - slack * np.sqrt(REGISTERS / np.minimum(few, few[i]))
-                close[i] = False
+                close[comp == comp[i]] = False
                 near |= close
                 near[i] |= close.any()
         if near.any():
-            kept = np.sort(node[near])
-            name = int(mix(np.cumsum(mix(kept.astype(np.uint64)))[-1:])[0].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), name)), pa.array(kept)], names=["list", "node"])
+            kept = np.flatnonzero(near)
+            name = int(mix(np.cumsum(mix(node[kept].astype(np.uint64)))[-1:])[0].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), name)), pa.array(node[kept]), pa.array(comp[kept])], names=["list", "node", "comp"])
 
     joined = lists.join(nodes.select("node", "n_shingles", "regs"), "node")
-    return stream_groups(joined, ["list"], keep, "list long, node long", parts).distinct()
+    return stream_groups(joined, ["list"], keep, "list long, node long, comp long", parts).distinct()
 
 
-def forest(sets: list[np.ndarray], numerator: int, denominator: int) -> list[tuple[int, int]]:
-    """Links that join all sets which chains of similar pairs join: each leader is compared with all sets still
-    open, and only sets of other components can tell anything new."""
+def forest(sets: list[np.ndarray], comp: np.ndarray, numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """Links that join all sets which chains of similar pairs join, given their components so far: each leader is
+    compared with all sets still open, and only sets of other components can tell anything new."""
     lens = np.array([len(s) for s in sets])
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-    comp, open_, links = np.arange(len(sets)), np.ones(len(sets), bool), []
+    comp, open_, links = comp.copy(), np.ones(len(sets), bool), []
     mark = np.zeros(flat.max() + 1, np.int64)
     while True:
         names, sizes = np.unique(comp[open_], return_counts=True)
@@ -213,7 +231,7 @@ def confirmed(lists: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, nu
 
     def link(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
         node = t.column("node").to_numpy()
-        links = forest([np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()], numerator, denominator)
+        links = forest([np.frombuffer(x, np.uint64) for x in t.column("members").to_pylist()], t.column("comp").to_numpy(), numerator, denominator)
         if links:
             a, b = np.array(links).T
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
@@ -221,7 +239,7 @@ def confirmed(lists: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, nu
     return stream_groups(lists.join(sets, "node"), ["list"], link, "a long, b long", parts)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: int = 100, most: int = LIST_MOST) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, numerator: int = 80, denominator: int = 100, most: int = LIST_MOST, heavy: int = LIST_SHINGLES) -> DataFrame:
     """(doc_id, text_hash, node, n_shingles, component_id, kept) of each row of docs: links are pairs of texts
     with denominator * |A and B| >= numerator * |A or B| over shingles of `size` words."""
     spark = docs.sparkSession
@@ -229,11 +247,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, numerator: int = 80, denomin
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("n_shingles").alias("n_shingles"))
     regs = signed.where("node is not null").select("node", "text_hash", "regs").dropDuplicates(["node", "text_hash"])
     nodes = materialize(nodes.join(regs, ["node", "text_hash"]), "nodes")
-    lists = candidate_lists(signed, most)
-    parts = partitions_for(spark, lists.count(), 20_000)
-    good = materialize(promising(lists, nodes, numerator, denominator, parts), "promising")
-    links = materialize(confirmed(good, docs, nodes, size, numerator, denominator, partitions_for(spark, good.count(), 10_000)), "links")
+    lists, long = candidate_lists(signed, most, heavy)
+
+    def linked(lists: DataFrame) -> DataFrame:
+        good = materialize(promising(lists, nodes, numerator, denominator, partitions_for(spark, lists.count(), 20_000)), "promising")
+        return materialize(confirmed(good, docs, nodes, size, numerator, denominator, partitions_for(spark, good.count(), 10_000)), "links")
+
+    links = linked(lists)
     roots = connected_components(links)
+    if not long.isEmpty():
+        links = links.unionByName(linked(remaining_lists(long, roots, most, heavy)))
+        roots = connected_components(links)
     comp = nodes.select("node", "least").join(roots.hint("shuffle_hash"), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     rep = comp.groupBy("root").agg(F.min("least").alias("component_id"))
     comp = comp.join(rep, "root").select("node", "component_id")

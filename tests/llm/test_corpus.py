@@ -127,14 +127,37 @@ def test_near_duplicates_against_brute_force(spark, most):
     assert all(got[i]["kept"] == (roots[i] == i) for i in range(len(texts)))
 
 
-def test_every_two_texts_of_a_long_list_meet(spark):
-    rng = np.random.default_rng(9)  # one band key for all, and no two registers alike besides
-    rows = [(n, [77], rng.integers(0, 60_000, neardup.REGISTERS).astype(np.uint16).tobytes()) for n in range(1, 31)]
-    df = spark.createDataFrame(rows, "node long, keys array<long>, regs binary")
+@pytest.mark.parametrize(("size", "share", "n", "changed"), [(5, 80, 900, 20), (3, 85, 925, 25)])
+@pytest.mark.parametrize("bounds", [{"most": 8}, {"heavy": 6_000}])
+def test_pairs_at_the_threshold_link_in_long_lists(spark, size, share, n, changed, bounds):
+    """Each text is exactly at the threshold to the first, and far from all others; a second group is just below it."""
+    rng = random.Random(size)
+    base = [f"b{rng.randrange(10**9)}" for _ in range(n + size - 1)]
+    texts = [" ".join(base)]
+    for k in range(60):
+        copy = list(base)
+        spots = rng.sample(range(1, (n - size) // size), changed + (k >= 40))
+        for at in spots:
+            copy[at * size] = f"c{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, size=size, numerator=share, denominator=100, **bounds).collect()}
+    _, roots = brute_near(texts, size, share, 100)
+    assert roots[:41] == [0] * 41 and roots[41:] == list(range(41, 61))
+    assert [got[i] for i in range(61)] == roots
+
+
+def test_nodes_of_a_long_list_meet_unless_joined_already(spark):
+    long = spark.createDataFrame([(7, n, 10, 5) for n in range(1, 31)], "key long, node long, n_shingles long, parts int")
+    roots = spark.createDataFrame([(n, 1) for n in range(2, 21)] + [(22, 21)], "node long, root long")
+    comp = {n: 1 if n <= 20 else 21 if n <= 22 else n for n in range(1, 31)}
     lists = {}
-    for r in neardup.candidate_lists(df, most=6).collect():
+    for r in neardup.remaining_lists(long, roots, most=6).collect():
         lists.setdefault(r["list"], set()).add(r["node"])
-    assert all(any({a, b} <= own for own in lists.values()) for a in range(1, 31) for b in range(1, a))
+        assert r["comp"] == comp[r["node"]]
+    assert all(comp[a] == comp[b] or any({a, b} <= own for own in lists.values()) for a in range(1, 31) for b in range(1, a))
+    joined = roots.unionByName(spark.createDataFrame([(n, 1) for n in range(21, 31) if n != 22], "node long, root long"))
+    assert neardup.remaining_lists(long, joined.where("root = 1").unionByName(spark.createDataFrame([(22, 1)], "node long, root long")), most=6).count() == 0
 
 
 def test_near_duplicates_of_odd_rows(spark):
