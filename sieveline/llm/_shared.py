@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sieveline.llm._text import release
 
 _written: list[tuple[SparkSession, str]] = []
+_tables: dict[str, str] = {}
 
 
 def ensure_workers(spark: SparkSession) -> None:
@@ -56,7 +57,20 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """materialize() to a table bucketed by key: a join by that key reads it without a shuffle. A task whose
+    rows have one value of key writes one file."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    table = f"sieveline_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    _tables[path] = table
+    return spark.table(table)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
+    if path in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -5,8 +5,9 @@ are planned over the histogram of piece lengths, which has at most `capacity` en
 corpus: for the longest length left, a bitset subset-sum over the lengths still available finds the
 fullest bin, and that combination is removed as often as the counts allow. Pieces of a length are
 numbered across the corpus (a running number inside the task that made them, plus the counts of the
-tasks before), and a piece's number picks its bin and offset. No piece moves through a shuffle to
-be packed and no group of equal lengths meets in one task.
+tasks before), and a piece's number picks its bin and offset. Pieces are stored bucketed by the task that
+made them and meet that task's numbers, one row, where they lie: no piece moves through a shuffle and no group of
+equal lengths meets in one task.
 
 Defined results: a null or empty text is its end id alone; an empty table packs into nothing; equal
 rows are packed each; columns other than the id and text are ignored, whatever their names."""
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm._shared import ensure_workers, materialize, with_row_text
+from sieveline.llm._shared import ensure_workers, materialize, materialize_bucketed, with_row_text
 from sieveline.llm._text import rows_of, word_chunks
 
 CACHE_WORDS = 500_000
@@ -192,13 +193,17 @@ def layout(plan: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
     """The pieces of `docs` with sequence_id and offset; with_ids adds the token ids themselves."""
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
+    made = pieces(docs, tokenizer, capacity, end_id, with_ids)
+    tasks = min(max(made.rdd.getNumPartitions(), 1), 50_000)
+    cut = materialize_bucketed(made, "pieces", "part", tasks)
     by_part = materialize(cut.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     hist = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     where = spark.sparkContext.broadcast(layout(plan_bins(hist, capacity)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    numbered = cut.join(first, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "part")
+    # a row for each task: what its numbers of each length start from
+    first = first.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("bases"))
+    numbered = cut.join(first.hint("shuffle_hash"), "part").withColumn("rank", F.col("rank") + F.element_at("bases", F.col("length"))).drop("bases", "part")
     keep = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,6 +70,23 @@ def test_packed_ids_are_the_tokenizers(spark):
     assert packing.pack(df.limit(0), TOKENIZER).count() == 0
 
 
+def test_pieces_are_placed_without_a_shuffle(spark):
+    rows = [(i, "word " * (i * 37 % 500)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    wide = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = packing.pack(df, TOKENIZER, capacity=100)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        scan = [x for x in plan.splitlines() if "ids_crc32" in x]
+        moved = [x for x in scan if "Exchange" in x]
+        assert "ShuffledHashJoin" in plan and not moved and "Bucketed: true" in plan
+        seen = {(r["sequence_id"], r["offset"]) for r in out.collect()}
+        assert len(seen) == out.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", wide)
+
+
 # near-duplicates
 
 
