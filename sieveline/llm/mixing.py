@@ -33,6 +33,7 @@ from sieveline.llm._text import rows_of, word_counts
 
 WEIGHTS = (5.0, 2.0, 1.0)
 STRETCH = 1 << 16
+SALT_ROWS = 1 << 18
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -101,25 +102,37 @@ def sizes(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(count, "doc_id long, no_source boolean, source string, text_hash long, size long")
 
 
+def numbered(by_source: DataFrame) -> DataFrame:
+    """by_source with `n`: the number of a source in the order of code points, null last, from 0. Sources are sorted by
+    ranges; a row's number is its place in its range, and the sizes of the ranges before."""
+    inside = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = materialize(by_source.orderBy("no_source", "source").withColumn("at", F.monotonically_increasing_id()), "ordered-sources")
+    rows = rows.withColumn("part", F.shiftright("at", 33)).withColumn("inside", inside)
+    counts = rows.groupBy("part").agg(F.count("*").alias("held"))  # a row for each range of the sort
+    base = counts.select("part", F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return rows.join(base, "part").withColumn("n", F.col("base") + F.col("inside")).drop("part", "inside", "at", "base")
+
+
 def targets(by_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0) -> DataFrame:
     """(no_source, source, source_size, target) from (no_source, source, source_size), one row a source.
 
-    Sharing the excess again and again ends where min(cap * size, level * weight) sums to all sizes;
-    sorted by cap * size / weight, the level is that of the first source which stays below its cap."""
-    order = Window.orderBy("no_source", "source")
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights) + 1)
-    w = by_source.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(float(cap)))
-    by_ratio = Window.orderBy(F.col("limit") / F.col("weight"), "no_source", "source")
-    before, after = by_ratio.rowsBetween(Window.unboundedPreceding, -1), by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    w = w.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    w = w.withColumn("settled", F.min(F.when(F.col("limit") >= F.col("level") * F.col("weight"), F.col("limit") / F.col("weight"))).over(every))
-    w = w.withColumn("share", F.max(F.when(F.col("limit") / F.col("weight") == F.col("settled"), F.col("level"))).over(every))
-    return w.select("no_source", "source", "source_size", F.least("limit", F.coalesce(F.col("share") * F.col("weight"), F.col("limit"))).alias("target"))
-
-
-def streams(sized: DataFrame, salts: int = 64) -> DataFrame:
-    """sized with `start`: where a row's words begin in its source's stream."""
+    Shares are level * weight, or cap * size where that is less. The level starts as if no source were capped and
+    is worked out again without those that are, until no more are: each time one sum over all sources."""
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("n") % len(weights) + 1).cast("int"))
+    w = materialize(numbered(by_source).withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(float(cap))).drop("n"), "weights")
+    total, each = w.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(1.0))).first()
+    level, before = float(total) / each, None
+    while level != before:
+        over = F.col("limit") < F.col("weight") * F.lit(level)
+        taken, left = w.agg(F.coalesce(F.sum(F.when(over, F.col("limit"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        level, before = max(level, (float(total) - taken) / left if left else level), level
+    return w.select("no_source", "source", "source_size", F.least("limit", F.col("weight") * F.lit(level)).alias("target"))
+
+
+def streams(sized: DataFrame, salts: int | None = None) -> DataFrame:
+    """sized with `start`: where a row's words begin in its source's stream. A source is sorted in `salts` parts, by
+    default one for each SALT_ROWS of all rows, and 64 at least."""
+    salts = salts or max(64, 1 << (sized.count() // SALT_ROWS).bit_length())
     salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(salts)))
     keys = ["no_source", "source", "salt"]
     inside = Window.partitionBy(*keys).orderBy("doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)

@@ -391,6 +391,15 @@ def test_mixture_comes_near_its_targets(spark):
     assert words == sum(taken.values())
 
 
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.integers(0, 5000), min_size=1, max_size=40), st.booleans())
+def test_targets_against_sharing_in_rounds(spark, counts, none):
+    rows = [(False, f"s{i * 7919 % 1000:03}é"[: 4 + i % 2], n) for i, n in enumerate(counts)] + [(True, "", 50)] * none
+    want = brute_targets({None if no else s: n for no, s, n in rows})
+    got = {None if r["no_source"] else r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "no_source boolean, source string, source_size long").repartition(3)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], rel_tol=1e-9, abs_tol=1e-9) for s in want)
+
+
 def test_small_sources_meet_their_targets(spark):
     rows = [(i, f"s{i:03}", " ".join("w" for _ in range(1 + i * 7 % 130))) for i in range(90)] + [(900 + i, "big", "w " * 100) for i in range(20)]
     got = mixing.takes(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
