@@ -67,6 +67,30 @@ def test_url_rules_by_index_and_by_join(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_tokens_that_patterns_need():
+    want = {r"^(?:[^/]*\.)?example\.com/en/": ("example", "com", "en"), r"casino": (), r"\bcasino\b": ("casino",), r"(?<![a-z0-9])a1(?![a-z0-9])": ("a1",), r"/(wp-login|xmlrpc)\.php$": ("php",), r"[/?]ads?/x/": ("x",), r"/(?:track/)+id=": ("track", "id"), r"(?:track/)+id=": ("id",), r"/a(b)?c/": (), r"(?P<w>/org/)z?": ("org",), r"/x{2}/yes/": ("yes",), r"": (), r"^": (), r"[^/]+/Us/": (  # noqa: RUF027
+        "us",), r"\.(?:com|net)/": (), r"/a|/b/": (), r"(?=/q/)/w/": ("w",)}
+    assert {p: urls.literal_tokens(p) for p in want} == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab1/.-", max_size=14), st.sampled_from([r"/a/", r"(?:^|/)b1\b", r"a(?:/b)?/", r"(?<![a-z0-9])ab(?![a-z0-9])", r"^a[/.]b[/.]", r"(?:1\.)+a/", r"\Ab/", r"-(a|b)-1/", r"[^a]/b1/", r"\.1?a\."]))
+def test_urls_that_fit_hold_the_tokens(text, pattern):
+    if re.search(pattern, text, re.ASCII):
+        assert set(urls.literal_tokens(pattern)) <= set(re.findall(urls.TOKEN, text))
+
+
+def test_one_dialect_on_both_ways(spark):
+    rules = urls.HOST_RULES + (urls.UrlRule("named", "block", r"(?P<w>/org/)"), urls.UrlRule("behind", "block", r"(?<=//)x\.net/q"), urls.UrlRule("none", "review", r"^$"), urls.UrlRule("twice", "block", r"(b)\1"), urls.word_rule("block", "hot"))
+    texts = [*URLS, "http://a.b/org/", "https://x.net/q", "http://abba", "http://hot/", "HTTP://HOT.hot/"] + [f"http://hot/{i % 3}" for i in range(40)]
+    df = spark.createDataFrame([(i, u, "k", 1) for i, u in enumerate(texts)], "page_id long, url string, verdict string, rule int").repartition(3)
+    ways = [sorted(map(tuple, urls.judge(df, rules, max_rules=n).collect())) for n in (100, 0)]
+    assert ways[0] == ways[1] and {r[4] for r in ways[0] if texts[r[0]] is None} == {"review"}
+    table = spark.createDataFrame([(i, r.name, r.verdict, r.pattern, r.length, r.on_host) for i, r in enumerate(rules)], urls.RULES_TABLE)
+    assert urls.rules_of(table) == rules and isinstance(urls.rules_of(table, 3), type(table))
+    assert sorted(map(tuple, urls.judge(df, urls.rules_of(table, 3)).collect())) == ways[0]
+
+
 def test_rules_lie_under_their_rarest_token():
     index = urls.rarest(urls.HOST_RULES, {"com": 100, "example": 5, "www": 2, "en": 50, "net": 7, "es": 9, "fr": 1})
     assert index == {"com": [0], "example": [1], "www": [2], "net": [3], "fr": [4]}
