@@ -148,8 +148,13 @@ class Index:
     without: float
     share: float
     neighbours: int = 15
+    built: bool = False
 
     def build(self) -> Index:
+        """The lists and bounds, worked out by each worker once: only the vectors travel."""
+        if self.built:
+            return self
+        self.built = True
         example = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))
         order = np.argsort(self.feature, kind="stable")  # by feature, then example
         self.by_example, self.by_weight = example[order], self.weight[order]
@@ -227,27 +232,23 @@ class Index:
 
 
 def profiles(rows: DataFrame) -> DataFrame:
-    """(doc_id, label, words, times, starts): different words with their times, and beginnings, of (doc_id, text, label)."""
-    fields = "doc_id long, label int, words array<long>, times array<int>, starts array<long>"
+    """(doc_id, label, words, times): different words with their times, of (doc_id, text, label)."""
+    fields = "doc_id long, label int, words array<long>, times array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, 500):
-            words, times, starts = [], [], []
+            words, times = [], []
             for w in word_chunks(letters(b.column(1))):
-                of = np.repeat(np.arange(w.hi - w.lo), np.diff(w.cuts))
-                row, key, n = counted(of, w.hashes)
-                cuts = np.searchsorted(row, np.arange(w.hi - w.lo + 1))
-                words += np.split(key.view(np.int64), cuts[1:-1])
-                times += np.split(n.astype(np.int32), cuts[1:-1])
-                row, key, _ = beginnings(w, of)
-                order = np.argsort(row, kind="stable")
-                starts += np.split(key[order].view(np.int64), np.searchsorted(row[order], np.arange(1, w.hi - w.lo)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int64()))], names=[x.split()[0] for x in fields.split(", ")])
+                row, key, n = counted(np.repeat(np.arange(w.hi - w.lo), np.diff(w.cuts)), w.hashes)
+                cuts = np.searchsorted(row, np.arange(1, w.hi - w.lo))
+                words += np.split(key.view(np.int64), cuts)
+                times += np.split(n.astype(np.int32), cuts)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(words, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))], names=[x.split()[0] for x in fields.split(", ")])
 
     return rows.mapInArrow(run, fields)
 
 
-def tied_features(examples: DataFrame) -> np.ndarray:
+def tied_features(rows: DataFrame, examples: DataFrame) -> np.ndarray:
     """Sorted keys of the features that toxic examples hold far more often than others; texts of the same words count once."""
     one = examples.groupBy(F.xxhash64("words"), "label").agg(F.min("doc_id").alias("doc_id"))
     kinds = {r["label"]: r["n"] for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -256,18 +257,21 @@ def tied_features(examples: DataFrame) -> np.ndarray:
         return np.zeros(0, np.uint64)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rows_of(batches, 2000):
             sides = []
             for side in (1, 0):
-                own = b.filter(pc.equal(b.column(0), side))
-                sides.append(np.unique(np.concatenate([own.column(k).flatten().to_numpy() for k in (1, 2)]), return_counts=True))
+                held = [np.zeros(0, np.uint64)]
+                for w in word_chunks(letters(b.filter(pc.equal(b.column(0), side)).column(1))):
+                    of = np.repeat(np.arange(w.hi - w.lo), np.diff(w.cuts))
+                    held += [counted(of, w.hashes)[1], beginnings(w, of)[1]]
+                sides.append(np.unique(np.concatenate(held), return_counts=True))
             (p, a), (q, c) = sides
             keys = np.union1d(p, q)
             pos, neg = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
             pos[np.searchsorted(keys, p)], neg[np.searchsorted(keys, q)] = a, c
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(pos), pa.array(neg)], names=["feature", "pos", "neg"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(pos), pa.array(neg)], names=["feature", "pos", "neg"])
 
-    rows = examples.join(F.broadcast(one.select("doc_id").distinct()), "doc_id").select("label", "words", "starts")  # at most `sample` rows
+    rows = rows.join(F.broadcast(one.select("doc_id").distinct()), "doc_id").select("label", "text")  # at most `sample` rows
     counts = rows.mapInArrow(seen, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).where(F.col("a") >= max(4, SUPPORT * n1))
     a, b, c, d = F.col("a"), F.col("b"), F.lit(n1) - F.col("a"), F.lit(n0) - F.col("b")
     chi = F.lit(float(n1 + n0)) * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * F.lit(float(n1)) * F.lit(float(n0)) + F.lit(1e-9))
@@ -305,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: in
     chosen = F.broadcast(labelled_sample(labels, "toxic", sample))
     rows = with_row_text(docs.select(F.col("doc_id").cast("long"), "text")).join(chosen, "doc_id").select("doc_id", "text", "label")
     examples = materialize(profiles(rows), "examples")
-    tied = tied_features(examples)
+    tied = tied_features(rows, examples)
     # examples of the same words as often are one point: its label is their mean, its id the least
     points = examples.groupBy(F.xxhash64("words", "times").alias("point")).agg(F.min("doc_id").alias("doc_id"), F.avg("label").alias("label"))
     texts = rows.dropDuplicates(["doc_id"]).join(F.broadcast(points), "doc_id").select("doc_id", points["label"], "text")
@@ -334,7 +338,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, neighbours: in
     rest = label[lens == 0]
     share = float(label.mean()) if len(label) else 0.0
     index = Index(ids[order], label[order], np.concatenate(([0], np.cumsum(lens[order]))), f[at], w[at], len(keys), float(rest.mean()) if len(rest) else share, share, neighbours)
-    return own, index.build()
+    return own, index
 
 
 def score(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = SAMPLE) -> DataFrame:
@@ -343,6 +347,7 @@ def score(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = SA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, index = shared.value
+        index.build()
         memo: dict[bytes, tuple[float, list[int]]] = {}
         for b in rows_of(batches, 1000):
             out = []

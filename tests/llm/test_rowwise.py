@@ -160,6 +160,7 @@ def test_vectors_are_tf_idf_of_whole_texts(spark):
     docs = spark.createDataFrame([*enumerate(texts), (900, "the unseenword"), (901, ""), (902, None)], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(200)], "doc_id long, toxic int")
     own, index = toxicity.fit(docs, labels)
+    index.build()
     words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
     every = [words(t) for t in [*texts, "the unseenword", "", None]]
     n = len(every)
