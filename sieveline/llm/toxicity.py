@@ -39,7 +39,7 @@ from sieveline.llm.quality import labelled_sample
 SAMPLE = 10_000
 BLOCK = 64
 #: Blocks compared before the bounds are tried, and at most one by one after; more are compared feature by feature.
-FIRST, FEW = 2, 24
+FIRST, FEW = 1, 3
 #: Features that so large a share of the examples hold, at most so many, have their lists written out in full.
 COMMON, COMMON_MOST = 0.05, 256
 #: Chi-squared that ties a feature to toxicity: chance gives it to fewer than one of ten million features.
@@ -204,7 +204,7 @@ class Index:
         ranked = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound > 0)]
         members = lambda blocks: spans(blocks * BLOCK, np.minimum(n, (blocks + 1) * BLOCK))
         # where bounds fall slowly they leave many blocks, which a first comparison would only delay
-        steep = len(ranked) <= FIRST + FEW or bound[ranked[FIRST + FEW]] < 0.7 * bound[ranked[0]]
+        steep = len(ranked) <= FIRST + FEW or bound[ranked[FIRST + FEW]] < 0.35 * bound[ranked[0]]
         number = members(ranked[:FIRST]) if steep else np.zeros(0, int)
         sim = self.compared(query, number)
         least = np.partition(sim, -k)[-k] if len(sim) >= k else 0.0
