@@ -40,6 +40,8 @@ SAMPLE = 10_000
 BLOCK = 64
 #: Blocks compared before the bounds are tried, and at most one by one after; more are compared feature by feature.
 FIRST, FEW = 1, 3
+#: A query whose largest weight is less is led by no feature.
+LED = 0.3
 #: Features that so large a share of the examples hold, at most so many, have their lists written out in full.
 COMMON, COMMON_MOST = 0.05, 256
 #: Chi-squared that ties a feature to toxicity: chance gives it to fewer than one of ten million features.
@@ -58,10 +60,10 @@ def letters(col: pa.Array) -> pa.Array:
 
 def counted(of: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, key, times) of the different pairs, in order."""
-    order = np.lexsort((keys, of))
-    of, keys = of[order], keys[order]
-    first = np.flatnonzero(np.concatenate(([len(of) > 0], (of[1:] != of[:-1]) | (keys[1:] != keys[:-1]))))
-    return of[first], keys[first], np.diff(np.append(first, len(of)))
+    different, number = np.unique(keys, return_inverse=True)
+    pair, times = np.unique(of * len(different) + number, return_counts=True)
+    row, number = np.divmod(pair, max(len(different), 1))
+    return row, different[number], times
 
 
 def beginnings(w: Words, of: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,6 +109,11 @@ def spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(lo - (ends - n), n)
 
 
+def runs(values: np.ndarray, lo: list[int], hi: list[int]) -> np.ndarray:
+    """values[lo:hi] of every span, one after the other: copies of whole runs, far cheaper than single places."""
+    return np.concatenate([values[:0], *(values[a:b] for a, b in zip(lo, hi, strict=True))])
+
+
 @dataclass
 class Vocabulary:
     """Features in order of their keys and what one occurrence weighs; `rare` is the weight of a word outside."""
@@ -154,7 +161,7 @@ class Index:
         """The lists and bounds, worked out by each worker once: only the vectors travel."""
         if self.built:
             return self
-        self.built = True
+        self.built, self.query = True, np.zeros(self.features)
         example = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))
         order = np.argsort(self.feature, kind="stable")  # by feature, then example
         self.by_example, self.by_weight = example[order], self.weight[order]
@@ -189,22 +196,26 @@ class Index:
         head[row[row >= 0]] = w[row >= 0]
         rare = row < 0
         lo, hi = self.lists[f[rare]], self.lists[f[rare] + 1]
-        at = spans(lo, hi)
-        sim = np.bincount(self.by_example[at], np.repeat(w[rare], hi - lo) * self.by_weight[at], len(self.ids)) + head @ self.full
+        weight = np.repeat(w[rare], hi - lo)
+        lo, hi = lo.tolist(), hi.tolist()
+        sim = np.bincount(runs(self.by_example, lo, hi), weight * runs(self.by_weight, lo, hi), len(self.ids)) + head @ self.full
         return np.flatnonzero(sim >= max(np.partition(sim, -k)[-k] if k < len(sim) else 0, 1e-5) - 1e-5)
 
     def nearest(self, f: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(example numbers, cosines) of the k nearest with a cosine above 0, ties by number."""
-        n = len(self.ids)
-        lo, hi = self.bounds[f], self.bounds[f + 1]
-        at = spans(lo, hi)
-        bound = np.bincount(self.bound_block[at], np.repeat(w, hi - lo) * self.bound[at], -(-n // BLOCK))
-        query = np.zeros(self.features)
+        n, query = len(self.ids), self.query
         query[f] = w
+        if w.max() < LED:  # bounds of many like weights are like in all blocks
+            number = self.by_feature(f, w, k)
+            return self.chosen(number, self.compared(query, number), f, k)
+        lo, hi = self.bounds[f], self.bounds[f + 1]
+        weight = np.repeat(w, hi - lo)
+        lo, hi = lo.tolist(), hi.tolist()
+        bound = np.bincount(runs(self.bound_block, lo, hi), weight * runs(self.bound, lo, hi), -(-n // BLOCK))
         ranked = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound > 0)]
         members = lambda blocks: spans(blocks * BLOCK, np.minimum(n, (blocks + 1) * BLOCK))
         # where bounds fall slowly they leave many blocks, which a first comparison would only delay
-        steep = len(ranked) <= FIRST + FEW or bound[ranked[FIRST + FEW]] < 0.35 * bound[ranked[0]]
+        steep = len(ranked) <= FIRST + FEW or bound[ranked[FIRST + FEW]] < 0.2 * bound[ranked[0]]
         number = members(ranked[:FIRST]) if steep else np.zeros(0, int)
         sim = self.compared(query, number)
         least = np.partition(sim, -k)[-k] if len(sim) >= k else 0.0
@@ -215,6 +226,10 @@ class Index:
         else:
             number = self.by_feature(f, w, k)
             sim = self.compared(query, number)
+        return self.chosen(number, sim, f, k)
+
+    def chosen(self, number: np.ndarray, sim: np.ndarray, f: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        self.query[f] = 0
         some = np.flatnonzero(sim > 1e-9)
         if len(some) > k:
             some = some[sim[some] >= np.partition(sim[some], -k)[-k]]
