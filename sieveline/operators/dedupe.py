@@ -10,6 +10,7 @@ a letter pair, or a letter if they are short; only such different names are comp
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -102,6 +103,8 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()
     spark = edges.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # elsewhere the warehouse may be a machine's own folder
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     both = both.checkpoint()
     labels = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root")).checkpoint()
@@ -179,13 +182,39 @@ def lead_score(lead: Column, place: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.round(score, 6))
 
 
+def lead_candidates(leads: DataFrame, places: DataFrame, least: float = 0.62) -> DataFrame:
+    """(lead, place) of the different names in `lead` and `place` that could score `least`.
+
+    By words: of a lead's n words a match shares m >= n (least - 0.3) / 0.7, as the place's side gives 0.3 at most; so it shares one
+    of the n - m + 1 words that are rarest among the places. By containment, in which words need not be equal: the place
+    holds the lead's rarest three letters."""
+    words = lambda c: N.name_tokens(F.col(c), N.LEAD_IGNORED, True)
+    three = lambda c: (lambda k: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - 2, F.lit(1))), lambda i: F.substring(k, i, F.lit(3)))))(N.name_key(F.col(c)))
+    l, p = leads.select("lead").distinct().where(F.size(words("lead")) > 0), places.select("place").distinct().where(F.size(words("place")) > 0)
+    pairs = None
+    for kind, parts in (("word", words), ("three", three)):
+        held = p.select("place", F.explode(parts("place")).alias("part"))
+        seen = held.groupBy("part").agg(F.count("*").alias("n"))
+        own = l.select("lead", F.size(parts("lead")).alias("of"), F.explode(parts("lead")).alias("part")).join(seen, "part", "left")
+        rank = F.row_number().over(Window.partitionBy("lead").orderBy(F.coalesce("n", F.lit(0)), "part"))
+        needed = F.ceil(F.col("of") * ((least - 0.3) / 0.7) - 1e-9) if kind == "word" else F.col("of")
+        found = own.withColumn("rank", rank).where(F.col("rank") <= F.col("of") - F.greatest(needed, F.lit(1)) + 1).join(held, "part")
+        if kind == "three":
+            found = found.where(N.name_key(F.col("place")).contains(N.name_key(F.col("lead"))))
+        found = found.select("lead", "place")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return pairs.distinct()
+
+
 def leads_with_places(leads: DataFrame, places: DataFrame, least: float = 0.62, keep: int = 2) -> DataFrame:
-    """(lead_id, place_id, score): the best `keep` places of each lead. A match shares a word, or contains the name, so words join."""
-    l = leads.select("lead_id", F.col("name").alias("lead"), F.explode(N.name_tokens(F.col("name"), N.LEAD_IGNORED, True)).alias("word"))
-    p = places.select("place_id", F.col("name").alias("place"), F.explode(N.name_tokens(F.col("name"), N.LEAD_IGNORED, True)).alias("word"))
-    pairs = l.join(p, "word").select("lead_id", "lead", "place_id", "place").distinct().withColumn("score", lead_score(F.col("lead"), F.col("place"))).where(F.col("score") >= least)
-    best = Window.partitionBy("lead_id").orderBy(F.desc("score"), "place_id")
-    return pairs.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= keep).select("lead_id", "place_id", "score", "rn")
+    """(lead_id, place_id, score, rn): the best `keep` places of each lead. Different names are scored once; of a name's places the first `keep` count."""
+    l, p = leads.select("lead_id", F.col("name").alias("lead")), places.select("place_id", F.col("name").alias("place"))
+    pairs = lead_candidates(l, p, least).withColumn("score", lead_score(F.col("lead"), F.col("place"))).where(F.col("score") >= least)
+    same = Window.partitionBy("place").orderBy("place_id")
+    first = p.withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= keep).drop("_r")
+    best = Window.partitionBy("lead").orderBy(F.desc("score"), "place_id")
+    top = pairs.join(first, "place").withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= keep)
+    return l.join(top, "lead").select("lead_id", "place_id", "score", "rn")
 
 
 def top_hits(scored: DataFrame, keep: int, key: str = "entity_id") -> DataFrame:

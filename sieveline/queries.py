@@ -406,11 +406,11 @@ def src02_allowed(spark, sf_dir):
     return P.allowed(table(spark, sf_dir, "pages").select("page_id", "url"), spark.createDataFrame(hosts, "origin string, prefix string")).select("page_id")
 
 
-@register("SELECT event_id AS key FROM events WHERE NOT (event_id % 3 = 0 AND event_id % 2 = 0)")
+@register("SELECT event_id AS key FROM events WHERE NOT (event_id % 3 = 0 AND event_id % 2 = 0 AND 3000000 - event_id * 700 <= 1209600)")
 def src03_read_through(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"))
-    cache = e.where("key % 3 = 0").withColumn("results", F.when(F.col("key") % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")))
-    return P.read_through(e, cache)[1]
+    cache = e.where("key % 3 = 0").withColumn("fetched_at", F.col("key") * 700).withColumn("results", F.when(F.col("key") % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")))
+    return P.read_through(e, cache, now=F.lit(3_000_000))[1]
 
 
 def _payloads(c: DataFrame) -> DataFrame:

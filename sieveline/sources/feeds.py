@@ -30,7 +30,7 @@ def documents(pages: DataFrame) -> DataFrame:
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls that no rule(origin, prefix) disallows; URLs without scheme and host are never read."""
     u = urls.withColumn("_origin", F.lower(F.regexp_extract("url", "^([A-Za-z]+://[^/?#]+)", 1))).withColumn("_path", F.regexp_extract("url", "^[A-Za-z]+://[^/?#]+([^?#]*)", 1)).where("_origin <> ''")
-    shut = u.join(F.broadcast(rules), (F.col("_origin") == F.col("origin")) & F.col("_path").startswith(F.col("prefix")), "left_anti")
+    shut = u.join(rules, (F.col("_origin") == F.col("origin")) & F.col("_path").startswith(F.col("prefix")), "left_anti")
     return shut.drop("_origin", "_path")
 
 
@@ -50,9 +50,11 @@ def latest(cache: DataFrame, put: DataFrame, key: str = "url") -> DataFrame:
     return every.groupBy(key).agg(F.max(F.struct("fetched_at", *[c for c in cols if c != "fetched_at"])).alias("r")).select(key, *[f"r.{c}" for c in cols])
 
 
-def read_through(wanted: DataFrame, cache: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
-    """(hits, misses): misses are what a source still has to scan; empty results are not kept."""
+def read_through(wanted: DataFrame, cache: DataFrame, key: str = "key", now: Column | None = None, ttl_seconds: int = 14 * DAY) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses): misses are what a source still has to scan; empty results are not kept, nor, with `now`, stale ones."""
     kept = cache.where(F.size("results") > 0)
+    if now is not None:
+        kept = fresh(kept, now, ttl_seconds)
     return wanted.join(kept, key), wanted.join(kept, key, "left_anti")
 
 
@@ -159,13 +161,14 @@ def run_id(query: Column, started: Column) -> Column:
     return F.substring(cache_key(query, started), 1, 24)
 
 
-def upsert(old: DataFrame, new: DataFrame, run: Column, now: Column, key: str = "business_key") -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, run: Column, now: Column, key: str = "business_key", order: str | None = None) -> DataFrame:
     """old after new rows: new values win, runs are added to those seen, creation times stay.
 
-    old: key, payload, seen_in_run_ids, created_at, updated_at; new: key, payload."""
-    n = new.select(key, F.col("payload").alias("_p")).dropDuplicates([key])
+    old: key, payload, seen_in_run_ids, created_at, updated_at; new: key, payload. Of a repeated new key the last by
+    `order` wins, then the greatest payload; a null payload is new too and leaves the old one."""
+    n = new.groupBy(key).agg(F.max(F.struct(F.col(order) if order else F.lit(0), F.col("payload")))["payload"].alias("_p"), F.lit(True).alias("_new"))
     j = old.join(n, key, "full")
-    hit = F.col("_p").isNotNull()
+    hit = F.coalesce("_new", F.lit(False))
     seen = F.coalesce("seen_in_run_ids", F.array().cast("array<string>"))
     return j.select(key, F.coalesce("_p", "payload").alias("payload"), F.when(hit, F.array_union(seen, F.array(run))).otherwise(seen).alias("seen_in_run_ids"), F.coalesce("created_at", now).alias("created_at"), F.when(hit, now).otherwise(F.col("updated_at")).alias("updated_at"))
 

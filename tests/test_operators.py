@@ -131,6 +131,34 @@ def test_lead_and_place_names(spark):
     assert got[0] == (1, 3, 1.0) and got[1][:2] == (1, 4) or got[1][2] >= 0.82
 
 
+def test_leads_against_all_pairs(spark):
+    rng = random.Random(11)
+    words = ["hot", "hot", "hot", "star", "starbucks", "smith", "smithson", "dental", "blue", "fox", "the", "inn"]
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5)))
+    leads = spark.createDataFrame([(i, name()) for i in range(60)] + [(90, "Star"), (91, "Smith"), (92, "ar"), (93, None)], "lead_id int, name string")
+    places = spark.createDataFrame([(i, name()) for i in range(80)] + [(90, "Starbucks Coffee"), (91, "Smithson Dental"), (92, "")], "place_id int, name string")
+    every = leads.withColumnRenamed("name", "lead").crossJoin(places.withColumnRenamed("name", "place")).withColumn("score", D.lead_score(F.col("lead"), F.col("place"))).where("score >= 0.62").collect()
+    want = {}
+    for r in sorted(every, key=lambda r: (r["lead_id"], -r["score"], r["place_id"])):
+        want.setdefault(r["lead_id"], []).append((r["place_id"], r["score"]))
+    got = {}
+    for r in D.leads_with_places(leads, places).orderBy("lead_id", "rn").collect():
+        got.setdefault(r["lead_id"], []).append((r["place_id"], r["score"]))
+    assert got == {k: v[:2] for k, v in want.items()} and got[90] and got[91]
+
+
+def test_common_words_make_few_candidates(spark):
+    leads = spark.createDataFrame([(f"hot w{i} v{i}",) for i in range(100, 400)], "lead string")
+    assert D.lead_candidates(leads, leads.withColumnRenamed("lead", "place")).count() < 1500  # of 90,000 pairs that share a word
+
+
+def test_upsert_takes_the_last_of_a_key(spark):
+    old = spark.createDataFrame([("a", "1", ["r0"], 1, 1), ("b", "2", ["r0"], 1, 1)], "business_key string, payload string, seen_in_run_ids array<string>, created_at int, updated_at int")
+    new = spark.createDataFrame([("a", "z", 1), ("a", "y", 2), ("c", None, 1)], "business_key string, payload string, at int")
+    got = {r["business_key"]: (r["payload"], r["seen_in_run_ids"], r["updated_at"]) for r in P.upsert(old, new, F.lit("r1"), F.lit(5), order="at").collect()}
+    assert got == {"a": ("y", ["r0", "r1"], 5), "b": ("2", ["r0"], 1), "c": (None, ["r1"], 5)}
+
+
 def test_questions(spark):
     rows = [(1, "best  dentists near Chennai"), (2, "austin texas gyms"), (3, "opera"), (4, "in"), (5, "top resturants around trichy")]
     got = {r["qid"]: (r["category"], r["location"]) for r in S.parse(spark.createDataFrame(rows, "qid int, raw string"), G).collect()}
