@@ -67,7 +67,7 @@ def verified(evidence: DataFrame, key: Column) -> DataFrame:
     score = F.col("rel") * 0.65 + F.least("n_urls", F.lit(4)) * 0.08 + F.least("n_types", F.lit(3)) * 0.04
     groups = groups.withColumn("score", F.round(score, 9))
     best = Window.partitionBy("entity_id", "field").orderBy(F.desc("score"), "first", "canon")
-    return groups.withColumn("rn", F.row_number().over(best)).drop("rel", "first")
+    return groups.withColumn("rn", F.row_number().over(best)).withColumnRenamed("rel", "mean_reliability").drop("first")
 
 
 def confidence(score: Column) -> Column:
@@ -96,6 +96,7 @@ def keep_old(won: DataFrame, old: DataFrame) -> DataFrame:
     return j.select("entity_id", "field", F.coalesce(F.when(F.col("_new") != "", F.col("_new")), "_old").alias("value"))
 
 
+# fixed values: entries of menus that are no services
 MENU_WORDS = ("menu", "see menu", "view menu", "book now", "contact us")
 
 

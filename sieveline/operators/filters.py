@@ -147,11 +147,17 @@ def keeps_entity(e: dict[str, Column], source: Column, category: Column, locatio
     return named & placed & ~generic_listing(e["business_name"], e["website"], category, location) & F.when(source.isin(*MAP_SOURCES), on_map).otherwise(strong | own_site)
 
 
+# fixed values: phrases of page titles that name no business
+PAGE_PHRASES = (
+    "what are", "all you must know", "yellow pages", "best restaurants", "top restaurants", "famous restaurants", "the 10 best", "must try", "places to eat",
+    "food guide", "culinary delights", "business directory", "list of companies", "best attractions", "popular restaurants", "restaurants near",
+)
+
+
 def non_business_title(title: Column, url: Column) -> Column:
     key, host = N.plain(title), N.authority(url)
-    phrases = ("what are", "all you must know", "yellow pages", "best restaurants", "top restaurants", "the 10 best", "must try", "places to eat", "food guide", "business directory", "list of companies")
     forms = F.array(*map(F.lit, ("restaurant", "dentist", "doctor", "electrician", "plumber", "shop", "salon")))
-    return ((key == "google") & host.contains("google.")) | (host.contains("google.") & N.url_path(url).startswith("/maps/search")) | any_in(host, ("quora.", "reddit.", "youtube.", "youtu.be")) | key.isin(*GENERIC_NAMES) | listicle(key, forms) | any_in(key, phrases)
+    return ((key == "google") & host.contains("google.")) | (host.contains("google.") & N.url_path(url).startswith("/maps/search")) | any_in(host, ("quora.", "reddit.", "youtube.", "youtu.be")) | key.isin(*GENERIC_NAMES) | listicle(key, forms) | any_in(key, PAGE_PHRASES)
 
 
 def lead_name(value: Column, category: Column, location: Column) -> Column:

@@ -18,8 +18,29 @@ SPLIT = r"(?i)\s+(?:in|near|around|within)\s+"
 # fixed values: priority of each group's templates for a category at a place
 PLACE_TEMPLATES = (("{c} in {l}", "places", 1), ("{c} {l} phone address", "contact", 2), ('"{c}" "{l}" contact number address', "contact", 3), ('"{c}" "{l}" official website phone services', "official", 4), ('"{c}" "{l}" reviews rating hours', "review", 6), ('"{c}" "{l}" services specialties', "services", 7))
 BASE_TEMPLATES = (("{b} Google maps reviews", "places", 5), ("{b} business directory phone address", "directory", 9), ("{b} official website contact services", "official", 11), ("{b} Facebook Instagram LinkedIn", "social", 19), ("{b} Quora Reddit recommendations names", "lead_article", 25))
-SITE_GROUPS = (("directory", 10, ("justdial.com", "sulekha.com", "yellowpages.com", "yelp.com", "bbb.org")), ("social", 18, ("facebook.com", "instagram.com", "x.com")), ("lead_article", 24, ("quora.com", "reddit.com", "medium.com")))
-INDUSTRY_TEMPLATES = {"healthcare": ("{b} license NPI board certified", "regulated", 8), "legal": ("{b} bar license practice areas", "regulated", 8), "trades": ("{b} license insured services reviews", "regulated", 8), "food_hospitality": ("{b} menu photos reviews phone", "review", 8), "retail": ("{b} showroom catalogue photos reviews", "services", 9), "wellness": ("{b} appointment phone services price list", "services", 9), "education": ("{b} admission contact affiliation reviews", "regulated", 9)}
+NO_PLACE_TEMPLATES = (("{c}", "places", 1), ("{c} phone address website", "contact", 2))
+# fixed values: sites searched by name for a category at a place: group, priority, sites
+SITE_GROUPS = (
+    ("directory", 10, ("justdial.com", "sulekha.com", "yellowpages.com", "yelp.com", "cybo.com", "yappe.in", "webindia123.com", "cylex.in", "hotfrog.com", "hotfrog.in", "bbb.org")),
+    ("social", 18, ("facebook.com", "instagram.com", "linkedin.com/company", "x.com", "twitter.com", "youtube.com")),
+    ("lead_article", 24, ("quora.com", "reddit.com", "medium.com", "blog")),
+)
+# fixed values: sites of an industry, group industry_directory, priority 12; eight at most
+INDUSTRY_SITES = {
+    "healthcare": ("healthgrades.com", "zocdoc.com", "webmd.com", "doximity.com", "npiprofile.com", "medicare.gov/care-compare"),
+    "legal": ("avvo.com", "justia.com", "findlaw.com", "lawyers.com", "martindale.com", "statebar"),
+    "trades": ("angi.com", "homeadvisor.com", "thumbtack.com", "buildzoom.com", "contractors-license.org", "justdial.com", "sulekha.com"),
+    "food_hospitality": ("tripadvisor.com", "tripadvisor.in", "zomato.com", "swiggy.com", "eazydiner.com", "restaurant-guru.in", "dineout.co.in", "magicpin.in"),
+    "retail": ("justdial.com", "sulekha.com", "indiamart.com", "facebook.com", "instagram.com", "linkedin.com/company"),
+    "wellness": ("justdial.com", "sulekha.com", "practo.com", "facebook.com", "instagram.com"),
+    "education": ("schools.org.in", "justdial.com", "sulekha.com", "shiksha.com", "facebook.com"),
+}
+# fixed values: further templates of an industry
+INDUSTRY_TEMPLATES = (
+    ("healthcare", "{b} license NPI board certified", "regulated", 8), ("legal", "{b} bar license practice areas", "regulated", 8), ("trades", "{b} license insured services reviews", "regulated", 8),
+    ("food_hospitality", "{b} menu photos reviews phone", "review", 8), ("food_hospitality", "{b} delivery contact number", "services", 9), ("retail", "{b} showroom catalogue photos reviews", "services", 9),
+    ("wellness", "{b} appointment phone services price list", "services", 9), ("education", "{b} admission contact affiliation reviews", "regulated", 9),
+)
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
@@ -148,12 +169,17 @@ def plan_rows(parsed: DataFrame, g: Gazetteer) -> DataFrame:
     p = parsed.withColumn("b", base).withColumn("ind", industry(F.col("category"))).withColumn("places", search_places(F.col("location"), g)).withColumn("cats", F.slice(expansions(F.col("category"), g), 1, 6))
     first = F.coalesce(F.try_element_at("places", F.lit(1)), F.lit(""))
     of = lambda t, group, rank, n, **c: F.struct(_filled(t, **c).alias("query"), F.lit(group).alias("grp"), F.lit(rank).alias("priority"), n.alias("ord"))
-    by_cat = F.transform("cats", lambda c, i: F.array(*(of(t, grp, r, i * 10 + k, c=c, l=first) for k, (t, grp, r) in enumerate(PLACE_TEMPLATES))))
-    sites = [(s, grp, r) for grp, r, own in SITE_GROUPS for s in own]
-    by_place = F.transform(F.slice("places", 1, 4), lambda l, i: F.array(*(of(f'"{{c}}" "{{l}}" site:{s}', grp, r, F.lit(1000) + i * 100 + k, c=F.col("category"), l=l) for k, (s, grp, r) in enumerate(sites))))
+    cat = lambda rows, **at: lambda c, i: F.array(*(of(t, grp, r, i * 10 + k, c=c, **at) for k, (t, grp, r) in enumerate(rows)))
+    by_cat = F.when(first == "", F.transform("cats", cat(NO_PLACE_TEMPLATES))).otherwise(F.transform("cats", cat(PLACE_TEMPLATES, l=first)))
+    own_sites = looked_up(INDUSTRY_SITES, F.col("ind"), F.array().cast("array<string>"))
+    near = F.slice(F.filter("places", lambda l: l != ""), 1, 4)
+    site = lambda s, l, grp, r, n: F.struct(F.concat(F.lit('"'), F.col("category"), F.lit('" "'), l, F.lit('" site:'), s).alias("query"), F.lit(grp).alias("grp"), F.lit(r).alias("priority"), n.alias("ord"))
+    sites = lambda grp, r, own, base: F.transform(near, lambda l, i: F.transform(own, lambda s, k: site(s, l, grp, r, F.lit(base) + i * 100 + k)))
+    groups = [(grp, r, F.array(*map(F.lit, own)), 1000 + 40 * i) for i, (grp, r, own) in enumerate(SITE_GROUPS)] + [("industry_directory", 12, own_sites, 1020)]
+    by_place = F.flatten(F.concat(*(sites(*g) for g in groups)))
     by_base = F.array(*(of(t, grp, r, F.lit(5000 + k), b=F.col("b")) for k, (t, grp, r) in enumerate(BASE_TEMPLATES)))
-    own = F.array(*(F.when(F.col("ind") == name, of(t, grp, r, F.lit(6000), b=F.col("b"))) for name, (t, grp, r) in INDUSTRY_TEMPLATES.items()))
-    every = F.array_compact(F.concat(F.flatten(by_cat), F.flatten(by_place), by_base, own))
+    own = F.array(*(F.when(F.col("ind") == name, of(t, grp, r, F.lit(6000 + k), b=F.col("b"))) for k, (name, t, grp, r) in enumerate(INDUSTRY_TEMPLATES)))
+    every = F.array_compact(F.concat(F.flatten(by_cat), by_place, by_base, own))
     return p.select("qid", F.explode(every).alias("e")).select("qid", "e.*")
 
 

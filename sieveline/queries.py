@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.catalog import ORACLES, QUERIES, QUESTION, G, q, q_host, q_name, q_plain, q_terms, register, table
+from sieveline.catalog import ORACLES, QUERIES, QUESTION, G, q, q_host, q_list, q_name, q_plain, q_terms, register, table
 from sieveline.functions import normalize as N
 from sieveline.operators import dedupe as D
 from sieveline.operators import evidence as E
@@ -202,10 +202,12 @@ def join08_anti(spark, sf_dir):
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
 
 
-@register("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+@register("SELECT c_custkey FROM customer WHERE c_custkey % 5 IN (0, 2, 3)")
 def qry06_semi(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_totalprice > 300000")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey", "c_name")
+    """Customers whose place the gazetteer knows, whatever its case and signs."""
+    place = F.element_at(F.array(*map(F.lit, ("Austin", "Nowhere", "tamil-nadu", "LONDON, UK", ""))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", N.name_key(place).alias("place"))
+    return rows.join(S.known_places(spark, G), "place", "left_semi").select("c_custkey")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -568,17 +570,17 @@ def flt08_variants(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(L.variants(kind), "|").alias("value"))
 
 
-@register("SELECT c_custkey, c_nationkey % 4 <> 0 AS value FROM customer")
+@register(f"SELECT c_custkey, c_mktsegment = 'BUILDING' OR contains(lower(c_name || ' - ' || ({q_list((*L.PAGE_PHRASES, 'opening hours', 'dining'))})[c_custkey % 18 + 1]), ({q_list(L.PAGE_PHRASES)})[least(c_custkey % 18 + 1, 16)]) AS value FROM customer")
 def flt11_non_business(spark, sf_dir):
-    titles = ("Blue Fox Dentist", "Best dentists of the year", "A food guide", "Dining")
-    title = F.element_at(F.array(*map(F.lit, titles)), (F.col("c_nationkey") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "customer").select("c_custkey", L.non_business_title(title, F.lit("http://a.b")).alias("value"))
+    """Titles with each of the phrases and without any; pages of a forum for one market segment."""
+    phrase = F.element_at(F.array(*map(F.lit, (*L.PAGE_PHRASES, "opening hours", "dining"))), (F.col("c_custkey") % 18 + 1).cast("int"))
+    url = F.when(F.col("c_mktsegment") == "BUILDING", "https://www.quora.com/x").otherwise("http://a.b/")
+    return table(spark, sf_dir, "customer").select("c_custkey", L.non_business_title(F.concat("c_name", F.lit(" - "), F.initcap(phrase)), url).alias("value"))
 
 
 @register(f"WITH {EVIDENCE} SELECT entity_id, field, {q_plain('value')} AS canon, round(avg(reliability), 9) AS mean_reliability, count(DISTINCT source_url) AS n_urls, count(DISTINCT source_type) AS n_types FROM ev WHERE value <> '' AND {q_plain('value')} <> '' GROUP BY ALL")
 def agg02_group_parts(spark, sf_dir):
-    ev = E.page_evidence(table(spark, sf_dir, "pages")).withColumn("canon", N.plain(F.col("value"))).where("canon <> ''")
-    return ev.groupBy("entity_id", "field", "canon").agg(F.round(F.avg("reliability"), 9).alias("mean_reliability"), F.count_distinct("source_url").alias("n_urls"), F.count_distinct("source_type").alias("n_types"))
+    return _groups(spark, sf_dir).select("entity_id", "field", "canon", F.round("mean_reliability", 9).alias("mean_reliability"), "n_urls", "n_types")
 
 
 @register("SELECT o_orderkey, CASE WHEN o_orderkey % 5 >= 3 AND o_orderkey % 100 >= 80 THEN 'high' WHEN o_orderkey % 5 >= 2 OR o_orderkey % 100 >= 72 THEN 'medium' ELSE 'low' END AS level FROM orders")
@@ -586,9 +588,13 @@ def agg04_level(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", E.level(F.col("o_orderkey") % 5, E.confidence((F.col("o_orderkey") % 100) / 100)).alias("level"))
 
 
-@register("SELECT c_custkey, CAST(1.0 AS DOUBLE) AS same, CAST(0.0 AS DOUBLE) AS none FROM customer")
+@register("SELECT c_custkey, round(2.0 * length(c_name) / (2 * length(c_name) + c_custkey % 7), 9) AS longer, round(2.0 * (length(c_name) - c_custkey % 5) / (2 * length(c_name) - c_custkey % 5), 9) AS shorter, CAST(0.0 AS DOUBLE) AS none FROM customer")
 def join02_ratio(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", D.seq_ratio("c_name", "c_name").alias("same"), D.seq_ratio("c_name", F.lit("")).alias("none"))
+    """A name against itself with letters added or cut at the end, and against nothing."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    longer = F.concat(name, F.repeat(F.lit("z"), (k % 7).cast("int")))
+    shorter = F.substring(name, F.lit(1), (F.length(name) - k % 5).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(D.seq_ratio(name, longer), 9).alias("longer"), F.round(D.seq_ratio(name, shorter), 9).alias("shorter"), D.seq_ratio(name, F.lit("")).alias("none"))
 
 
 INLINE = """<html><head><title>T</title><meta property="og:title" content="Blue Fox"><meta name="description" content="Open"><link rel="canonical" href="/home">

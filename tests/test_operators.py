@@ -165,6 +165,15 @@ def test_questions(spark):
     assert got == {1: ("dentists", "Chennai"), 2: ("gyms", "austin texas"), 3: ("opera", ""), 4: ("in", ""), 5: ("restaurants", "tiruchirappalli")}
 
 
+def test_plans_name_the_sites_of_an_industry(spark):
+    rows = [(1, "best dentists near Chennai"), (2, "hotels"), (3, "cafes in austin")]
+    plan = S.plan_rows(S.parse(spark.createDataFrame(rows, "qid int, raw string"), G), G).collect()
+    own = lambda q, grp: [r["query"] for r in sorted(plan, key=lambda r: r["ord"]) if r["qid"] == q and r["grp"] == grp]
+    assert own(1, "industry_directory")[:2] == ['"dentists" "Chennai" site:healthgrades.com', '"dentists" "Chennai" site:zocdoc.com']
+    assert len(own(1, "industry_directory")) == 6 and len(own(1, "directory")) == 11 + 1 and not own(2, "industry_directory")
+    assert own(2, "contact") == ["hotels phone address website"] and "cafes in austin delivery contact number" in own(3, "services")
+
+
 def test_budget_takes_groups_in_turn(spark):
     rows = [(0, f"q{i}", ("places", "social", "odd")[i % 3], i, i) for i in range(12)]
     plan = spark.createDataFrame(rows, "qid int, query string, grp string, priority int, ord int")
