@@ -42,8 +42,9 @@ BLOCK = 64
 FIRST, FEW = 1, 3
 #: A query whose largest weight is less is led by no feature.
 LED = 0.3
-#: Features that so large a share of the examples hold, at most so many, have their lists written out in full.
-COMMON, COMMON_MOST = 0.05, 256
+#: Features that so large a share of the examples hold, at most so many, have their lists written out in full,
+#: and are multiplied with so many queries at a time.
+COMMON, COMMON_MOST, TOGETHER = 0.05, 256, 64
 #: Chi-squared that ties a feature to toxicity: chance gives it to fewer than one of ten million features.
 CHI = 60.0
 #: Share of the toxic examples that must hold a tied feature, so that no one group of near copies makes one.
@@ -164,7 +165,8 @@ class Index:
         self.built, self.query = True, np.zeros(self.features)
         example = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))
         order = np.argsort(self.feature, kind="stable")  # by feature, then example
-        self.by_example, self.by_weight = example[order], self.weight[order]
+        self.by_example, self.by_weight = example[order], self.weight[order].astype(np.float32)
+        self.posting = np.stack([self.by_example, self.by_weight.view(np.int32)], 1).reshape(-1).view(np.int64)  # both at once, as one number
         feature = self.feature[order]
         self.lists = np.searchsorted(feature, np.arange(self.features + 1))
         block = self.by_example // BLOCK
@@ -189,24 +191,30 @@ class Index:
         at = spans(lo, hi)
         return np.add.reduceat(self.weight[at] * query[self.feature[at]], np.cumsum(hi - lo) - (hi - lo)) if len(examples) else np.zeros(0)
 
-    def by_feature(self, f: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    def heads(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common features add to the cosine of each query with each example, in single precision."""
+        weight = np.zeros((len(queries), len(self.full)), np.float32)
+        for i, (f, w) in enumerate(queries):
+            row = self.row[f]
+            weight[i, row[row >= 0]] = w[row >= 0]
+        return weight @ self.full
+
+    def by_feature(self, f: np.ndarray, w: np.ndarray, head: np.ndarray, k: int) -> np.ndarray:
         """The examples that may be among the k nearest, by the lists of all features, in single precision."""
-        row = self.row[f]
-        head = np.zeros(len(self.full), np.float32)
-        head[row[row >= 0]] = w[row >= 0]
-        rare = row < 0
+        rare = self.row[f] < 0
         lo, hi = self.lists[f[rare]], self.lists[f[rare] + 1]
-        weight = np.repeat(w[rare], hi - lo)
-        lo, hi = lo.tolist(), hi.tolist()
-        sim = np.bincount(runs(self.by_example, lo, hi), weight * runs(self.by_weight, lo, hi), len(self.ids)) + head @ self.full
+        weight = np.repeat(w[rare].astype(np.float32), hi - lo)
+        found = runs(self.posting, lo.tolist(), hi.tolist())
+        sim = np.bincount(found.view(np.int32)[::2], weight * found.view(np.float32)[1::2], len(self.ids)) + head
         return np.flatnonzero(sim >= max(np.partition(sim, -k)[-k] if k < len(sim) else 0, 1e-5) - 1e-5)
 
-    def nearest(self, f: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(example numbers, cosines) of the k nearest with a cosine above 0, ties by number."""
+    def nearest(self, f: np.ndarray, w: np.ndarray, k: int, head: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(example numbers, cosines) of the k nearest with a cosine above 0, ties by number; `head` is the query's row of heads()."""
         n, query = len(self.ids), self.query
+        head = self.heads([(f, w)])[0] if head is None else head
         query[f] = w
         if w.max() < LED:  # bounds of many like weights are like in all blocks
-            number = self.by_feature(f, w, k)
+            number = self.by_feature(f, w, head, k)
             return self.chosen(number, self.compared(query, number), f, k)
         lo, hi = self.bounds[f], self.bounds[f + 1]
         weight = np.repeat(w, hi - lo)
@@ -224,7 +232,7 @@ class Index:
             number = np.concatenate((number, members(rest)))
             sim = np.concatenate((sim, self.compared(query, members(rest))))
         else:
-            number = self.by_feature(f, w, k)
+            number = self.by_feature(f, w, head, k)
             sim = self.compared(query, number)
         return self.chosen(number, sim, f, k)
 
@@ -236,9 +244,16 @@ class Index:
         some = some[np.lexsort((number[some], -sim[some]))][:k]
         return number[some], sim[some]
 
-    def score(self, f: np.ndarray, w: np.ndarray) -> tuple[float, list[int]]:
+    def scores(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, list[int]]]:
+        """score() of each query."""
+        for i in range(0, len(queries), TOGETHER):
+            some = queries[i : i + TOGETHER]
+            for (f, w), head in zip(some, self.heads(some), strict=True):
+                yield self.score(f, w, head)
+
+    def score(self, f: np.ndarray, w: np.ndarray, head: np.ndarray | None = None) -> tuple[float, list[int]]:
         """Calibrated vote in 0..1 and the ids of the nearest examples."""
-        at, sims = self.nearest(f, w, self.neighbours) if len(f) else (np.zeros(0, int), np.zeros(0))
+        at, sims = self.nearest(f, w, self.neighbours, head) if len(f) else (np.zeros(0, int), np.zeros(0))
         if not len(at):
             return self.without, []
         near = np.clip(sims, 0, 1)
@@ -365,14 +380,13 @@ def score(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = SA
         index.build()
         memo: dict[bytes, tuple[float, list[int]]] = {}
         for b in rows_of(batches, 1000):
-            out = []
-            for f, w in vocabulary.vectors(b.column(1)):
-                key = hashlib.blake2b(f.tobytes() + w.tobytes(), digest_size=16).digest()
-                if key not in memo:
-                    if len(memo) > 20_000:
-                        memo.clear()
-                    memo[key] = index.score(f, w)
-                out.append(memo[key])
+            queries = list(vocabulary.vectors(b.column(1)))
+            keys = [hashlib.blake2b(f.tobytes() + w.tobytes(), digest_size=16).digest() for f, w in queries]
+            if len(memo) > 20_000:
+                memo.clear()
+            fresh = {key: q for key, q in zip(keys, queries, strict=True) if key not in memo}
+            memo.update(zip(fresh, index.scores(list(fresh.values())), strict=True))
+            out = [memo[key] for key in keys]
             s = np.array([x for x, _ in out], float)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32)), pa.array([e for _, e in out], pa.list_(pa.int64()))], names=["doc_id", "score", "predicted", "evidence"])
 
