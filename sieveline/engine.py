@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import normalize as N
+from sieveline.operators import dedupe as D
 from sieveline.operators import evidence as E
+from sieveline.operators import filters as L
 from sieveline.operators import retrieval as R
 from sieveline.plans import search as S
-from sieveline.plans.dims import Gazetteer
+from sieveline.plans.dims import LIST_FIELDS, SCALAR_FIELDS, Gazetteer
 
 
 def flag(value: str | None, default: bool = False) -> bool:
@@ -61,13 +63,39 @@ class Engine:
         questions = self.spark.createDataFrame([(0, raw)], "qid int, raw string")
         return S.balanced(S.one_each(S.plan_rows(S.parse(questions, self.gazetteer), self.gazetteer)), self.settings.query_budget)
 
-    def run(self, evidence: DataFrame, limit: int = 200) -> dict[str, DataFrame]:
-        """verified, conflicts, entities by reliability, and the top evidence of a body of evidence."""
-        groups = E.verified(E.append(evidence), N.canonical(F.col("field"), F.col("value")))
-        won = E.winners(groups)
-        score = E.entity_reliability(won, tuple(E.COVERAGE[i][1] for i in range(len(E.COVERAGE))) + ("business_name", "review_count"))
+    def run(self, evidence: DataFrame, limit: int = 200, category: str = "", location: str = "", errors: int = 0) -> dict[str, DataFrame]:
+        """The whole run over evidence, whose `ord` numbers rows across entities: entities are voted on, gated where a category
+        or place is given, matched and merged; the evidence of merged ones is voted on again as that of their first.
+
+        verified, conflicts: of all merged entities; same: (entity_id, head); entities: at most `limit`, by reliability;
+        report: one row of counts, coverage and limitations; index: chunks of the entities' texts; chunks: the top evidence."""
+        scalars = (*(c for _, c in E.COVERAGE), "business_name", "review_count")
         limit = min(max(limit or 200, 1), 5000)
-        return {"verified": won, "conflicts": E.conflicts(groups), "entities": score.orderBy(F.desc("reliability_score"), "entity_id").limit(limit), "chunks": R.evidence_top(evidence)}
+        rows = E.append(evidence)
+        canon = N.canonical(F.col("field"), F.col("value"))
+        records = wide(E.winners(E.verified(rows, canon))).join(rows.groupBy("entity_id").agg(F.min("ord").alias("ord"), F.array_join(F.sort_array(F.collect_set("source_url")), " ").alias("urls")), "entity_id")
+        if category or location:
+            e = {c: F.col(c) for c in ("business_name", "website", "urls", *L.STRONG_FIELDS)}
+            records = records.where(L.keeps_entity(e, F.lit("web"), F.lit(category), F.lit(location), self.gazetteer))
+        cluster = D.clusters(records)
+        heads = cluster.join(records.select("ord", "entity_id"), "ord").join(records.select(F.col("ord").alias("cluster"), F.col("entity_id").alias("head")), "cluster")
+        same = heads.select("entity_id", "head")
+        rows = rows.join(same, "entity_id").drop("entity_id").withColumnRenamed("head", "entity_id")
+        groups = E.verified(rows, canon)
+        won = E.winners(groups)
+        lists = E.list_fields(rows.where(F.col("field").isin(*LIST_FIELDS)).withColumn("values", F.array("value")), won.where("field = 'business_name'").select("entity_id", F.col("value").alias("name")))
+        lists = lists.groupBy("entity_id").pivot("field", list(LIST_FIELDS)).agg(F.first("values"))
+        entities = wide(won).join(E.entity_reliability(won, scalars), "entity_id").join(lists, "entity_id", "left").orderBy(F.desc("reliability_score"), "entity_id").limit(limit)
+        sums = entities.agg(F.count("*").alias("businesses_found")).crossJoin(same.agg(F.count_if(F.col("entity_id") != F.col("head")).alias("duplicate_records_removed"))).crossJoin(E.verified_count(won.join(entities.select("entity_id"), "entity_id")))  # one row each
+        report = sums.crossJoin(E.coverage(entities)).withColumn("limitations", E.limitations(F.col("records_with_phone_number"), F.col("records_with_address"), F.col("records_with_rating"), F.lit(errors)))
+        text = F.concat_ws("\n", *(F.concat(F.lit(f"{c}: "), F.when(N.filled(F.col(c)) != "", F.col(c)).otherwise("N/A")) for c in SCALAR_FIELDS), F.concat(F.lit("services: "), F.array_join(F.coalesce("services", F.array().cast("array<string>")), ", ")))
+        index = R.index(entities.select("entity_id", text.alias("text"), F.col("website").alias("source")), size=self.settings.chunk, overlap=self.settings.overlap)
+        return {"verified": won, "conflicts": E.conflicts(groups), "same": same, "entities": entities, "report": report, "index": index, "chunks": R.evidence_top(rows)}
+
+
+def wide(won: DataFrame) -> DataFrame:
+    """Winners as one row an entity with a column for each scalar field."""
+    return won.groupBy("entity_id").pivot("field", list(SCALAR_FIELDS)).agg(F.first("value"))
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.catalog import ORACLES, QUERIES, QUESTION, G, q, q_host, q_list, q_name, q_plain, q_terms, register, table
+from sieveline.engine import Engine
 from sieveline.functions import normalize as N
 from sieveline.operators import dedupe as D
 from sieveline.operators import evidence as E
@@ -721,3 +722,21 @@ def rag01_embedded_index(spark, sf_dir):
 def srt05_early_stop(spark, sf_dir):
     """The first 200 records that pass a gate, in order."""
     return table(spark, sf_dir, "customer").where(F.col("c_nationkey") % 2 == 0).select("c_custkey").orderBy("c_custkey").limit(200)
+
+
+# a whole run: two records of each nation with one phone become one, and every second nation has an email
+
+
+@register("""WITH c AS (SELECT n_nationkey AS k, n_name, round(0.725 * 0.65 + 2 * 0.08 + 2 * 0.04, 3) AS two, round(0.5 * 0.65 + 0.08 + 0.04, 3) AS one FROM nation),
+s AS (SELECT 'a' || k AS entity_id, n_name AS business_name, CASE WHEN k % 2 = 0 THEN 'm' || k || '@x.example' END AS email, CAST(round(CASE WHEN k % 2 = 0 THEN 0.35 * 3 / 9 + 0.65 * (two + two + one) / 3 ELSE 0.35 * 2 / 9 + 0.65 * two END, 3) AS DOUBLE) AS reliability_score FROM c)
+SELECT s.*, (SELECT count(*) FROM c) AS businesses_found, (SELECT count(*) FROM c) AS duplicate_records_removed, (SELECT count(*) FROM c) AS businesses_verified, '100%' AS records_with_phone_number,
+  (SELECT CAST(CAST(round_even(100.0 * count(*) FILTER (k % 2 = 0) / count(*), 0) AS INTEGER) AS VARCHAR) || '%' FROM c) AS records_with_email FROM s""")
+def api01_run(spark, sf_dir):
+    k = F.col("n_nationkey")
+    key, phone = k.cast("string"), F.concat(F.lit("+1 555 010 "), F.lpad((k + 1000).cast("string"), 4, "0"))
+    fact = lambda who, n, field, value, kind, rel: F.struct(F.concat(F.lit(who), key).alias("entity_id"), (k * 10 + n).cast("long").alias("ord"), F.lit(field).alias("field"), value.alias("value"), F.concat(F.lit(f"https://{who}.example/"), key).alias("source_url"), F.lit(kind).alias("source_type"), F.lit(rel).alias("reliability"))
+    facts = [fact(who, n + i, field, value, kind, rel) for who, n, kind, rel in (("a", 0, "official_website", 0.95), ("b", 5, "search_result", 0.5)) for i, (field, value) in enumerate((("business_name", F.col("n_name")), ("phone", phone)))]
+    facts.append(fact("b", 8, "email", F.when(k % 2 == 0, F.concat(F.lit("m"), key, F.lit("@x.example"))).otherwise(""), "search_result", 0.5))
+    out = Engine(spark).run(table(spark, sf_dir, "nation").select(F.explode(F.array(*facts)).alias("f")).select("f.*"))
+    counts = out["report"].select("businesses_found", "duplicate_records_removed", "businesses_verified", "records_with_phone_number", "records_with_email")
+    return out["entities"].select("entity_id", "business_name", "email", "reliability_score").crossJoin(counts)  # one row

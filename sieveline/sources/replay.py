@@ -6,6 +6,7 @@ the empty scan of a source without its key."""
 
 from __future__ import annotations
 
+import io
 import json
 import time
 from collections.abc import Iterator
@@ -33,12 +34,15 @@ class ReplayReader(DataSourceReader):
         queries = json.loads(self.options.get("queries", "[]"))
         return [Page(q, p) for q in queries for p in range(1, int(self.options.get("pages", "1")) + 1)] or [Page("", 0)]
 
-    def fetch(self, query: str, page: int) -> str | None:
+    def fetch(self, query: str, page: int, until: float) -> str | None:
+        """The page's body, or TimeoutError once the monotonic clock is past `until`."""
         from pyarrow import fs
 
         files, base = fs.FileSystem.from_uri(self.options["path"])
         with files.open_input_stream(base) as f:
-            for line in f.read().decode().splitlines():
+            for line in io.BufferedReader(f):  # line by line, only as far as the page
+                if time.monotonic() >= until:
+                    raise TimeoutError
                 row = json.loads(line)
                 if row["query"] == query and row["page"] == page:
                     return row["body"]
@@ -48,15 +52,15 @@ class ReplayReader(DataSourceReader):
         """The page's body, or its error as a row: a failed or late page costs its rows, not the scan."""
         if not partition.page:
             return
-        began = time.monotonic()
         try:
-            body = self.fetch(partition.query, partition.page)
+            body = self.fetch(partition.query, partition.page, time.monotonic() + self.deadline)
+        except TimeoutError:
+            yield partition.query, partition.page, None, "deadline"
+            return
         except (OSError, ValueError) as e:
             yield partition.query, partition.page, None, type(e).__name__
             return
-        if time.monotonic() - began > self.deadline:
-            yield partition.query, partition.page, None, "deadline"
-        elif body is not None:
+        if body is not None:
             yield partition.query, partition.page, body, None
 
 

@@ -17,14 +17,18 @@ def distinct_stream(rows: DataFrame, keys: list[str], time: str, delay: str) ->
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def verify_into(path: str) -> Callable[[DataFrame, int], None]:
+def verify_into(path: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: appends a batch's evidence under its batch number, so that a repeated batch replaces
-    itself, and writes the winners of the entities it touches as that batch's version of them."""
+    itself, and writes the winners of the entities it touches as that batch's version of them. Evidence lies in
+    `buckets` folders by entity, so that a batch reads back only the folders of its entities."""
 
     def sink(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/evidence/batch={number}")
-        every = spark.read.parquet(f"{path}/evidence").where(F.col("batch") <= number).drop("batch")
+        own = batch.withColumn("bucket", F.pmod(F.xxhash64("entity_id"), F.lit(buckets)).cast("int"))
+        own.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/evidence/batch={number}")
+        batch = spark.read.schema(own.schema).parquet(f"{path}/evidence/batch={number}")
+        busy = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most `buckets` numbers
+        every = spark.read.schema(own.withColumn("batch", F.lit(number)).schema).parquet(f"{path}/evidence").where((F.col("batch") <= number) & F.col("bucket").isin(busy)).drop("batch", "bucket")
         touched = batch.select("entity_id").distinct()
         own = every.join(touched, "entity_id", "left_semi")
         E.winners(E.verified(own, N.canonical(F.col("field"), F.col("value")))).write.mode("overwrite").parquet(f"{path}/winners/batch={number}")

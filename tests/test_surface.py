@@ -61,6 +61,8 @@ def test_replayed_pages(spark, tmp_path):
     replay.register(spark)
     read = spark.read.format("sieveline_replay").option("path", f"file://{path}").option("queries", '["a", "c"]').option("pages", "2")
     assert sorted((r["query"], r["body"]) for r in read.load().collect()) == [("a", "a1"), ("a", "a2")]
+    late = read.option("deadline_seconds", "0").load().collect()
+    assert {r["error"] for r in late} == {"deadline"} and len(late) == 4
     assert read.option("enabled", "false").load().count() == 0
     bad = spark.read.format("sieveline_replay").option("path", "file:///none").option("queries", '["a"]').load().collect()
     assert [r["error"] for r in bad] == ["FileNotFoundError"]
@@ -74,3 +76,17 @@ def test_settings_and_engine(spark):
     assert 0 < e.plan("plumbers in austin").count() <= 36
     out = e.run(E.page_evidence(spark.read.parquet(f"{SMALL}/pages.parquet")), 5)
     assert out["entities"].count() == 5 and out["verified"].count() > 5
+    report = out["report"].first()
+    assert report["businesses_found"] == 5 and report["records_with_phone_number"] == "0%" and len(report["limitations"]) == 3
+    assert out["index"].select("entity_id").distinct().count() == 5
+
+
+def test_batches_read_only_their_buckets(spark, tmp_path):
+    sink = I.verify_into(str(tmp_path), buckets=8)
+    rows = lambda who, value: spark.createDataFrame([(who, 1, "email", value, f"http://{value}", "unknown", 0.4)], E.SCHEMA)
+    sink(rows("a", "x@y.z"), 0)
+    (next((tmp_path / "evidence" / "batch=0").glob("bucket=*")) / "broken.parquet").write_text("no parquet")
+    other = next(c for c in "bcdefgh" if not list((tmp_path / "evidence" / "batch=0").glob(f"bucket={spark.range(1).selectExpr(f'pmod(xxhash64(\'{c}\'), 8) b').first()['b']}")))
+    sink(rows(other, "p@q.r"), 1)
+    out = spark.read.parquet(f"{tmp_path}/winners").collect()
+    assert {r["entity_id"] for r in out} == {"a", other}
