@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.catalog import ORACLES, QUERIES, QUESTION, G, q, q_host, q_list, q_name, q_plain, q_terms, register, table
@@ -84,9 +84,15 @@ def agg06_list_union(spark, sf_dir):
     return E.list_fields(rows, names).select("entity_id", F.array_join("values", "|").alias("values"), "confidence", "verified_level", "evidence_count")
 
 
-@register("SELECT c_custkey, 'cut, trim' AS value FROM customer")
+@register("""SELECT k AS c_custkey, CASE WHEN k % 3 = 0 THEN 'cut ' || k || ' ;trim| ' || ['Menu', 'Fix'][k % 2 + 1] || ', ' || ['http://a', 'See menu', 'ab', 'Wax'][k % 4 + 1] || ', ' || n
+ELSE 'cut ' || k || ', trim' || CASE WHEN k % 2 = 1 THEN ', Fix' ELSE '' END || CASE WHEN k % 4 = 3 THEN ', Wax' ELSE '' END END AS value FROM (SELECT c_custkey AS k, c_name AS n FROM customer)""")
 def agg07_clean_list(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(E.clean_list(F.lit("services"), F.array(F.lit(" cut ;trim| Menu"), F.lit("http://a"), F.lit("ab"), F.col("c_name")), F.col("c_name")), ", ").alias("value"))
+    """Services lose menu words, links, scraps and the entity's name; awards stay whole."""
+    k = F.col("c_custkey")
+    pick = lambda n, *words: F.element_at(F.array(*map(F.lit, words)), (k % n + 1).cast("int"))
+    values = F.array(F.concat(F.lit(" cut "), k, F.lit(" ;trim| "), pick(2, "Menu", "Fix")), pick(4, "http://a", "See menu", "ab", "Wax"), F.col("c_name"))
+    field = F.when(k % 3 == 0, "awards").otherwise("services")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(E.clean_list(field, values, F.col("c_name")), ", ").alias("value"))
 
 
 SCALAR_PAIR = ("language", "business_name")
@@ -295,20 +301,30 @@ def _questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(QUESTIONS), "qid int, raw string")
 
 
-@register("SELECT * FROM (VALUES (1, 'plumbers', 'united states'), (2, 'gyms', 'austin texas'), (3, 'cafes', 'london'), (4, 'hotels', ''), (5, 'dentists', 'Chennai')) t(qid, category, location)")
+@register("SELECT k AS qid, ['plumbers', 'dentists', 'sushi bars'][(k // 3) % 3 + 1] AS category, ['united states', 'Chennai', 'Springfield', 'tamil nadu', ''][k % 5 + 1] AS location FROM (SELECT c_custkey AS k FROM customer)")
 def qry01_parse(spark, sf_dir):
-    return S.parse(_questions(spark), G).select("qid", "category", "location")
+    """Questions of every noise word, category, preposition and place in turn."""
+    pick = lambda i, *words: F.element_at(F.array(*map(F.lit, words)), (i + 1).cast("int"))
+    k = F.col("c_custkey")
+    place = F.when(k % 5 < 4, F.concat(pick(F.expr("c_custkey div 9") % 4, " in ", " near ", " Around ", " within "), pick(k % 5, "Usa", "Chennai", "Springfield", "tamilnadu", ""))).otherwise("")
+    raw = F.concat(pick(k % 3, "Find ", "best ", ""), pick(F.expr("c_custkey div 3") % 3, "plumers", "dentists", "sushi bars"), place)
+    return S.parse(table(spark, sf_dir, "customer").select(k.alias("qid"), raw.alias("raw")), G).select("qid", "category", "location")
 
 
-@register("SELECT * FROM (VALUES ('texas'), ('england')) t(region)")
+@register("SELECT c_custkey, ['texas', 'england', 'oslo', 'ontario', 'tamil nadu', 'uk'][c_custkey % 6 + 1] AS region FROM customer WHERE c_custkey % 6 NOT IN (2, 5)")
 def qry07_regions(spark, sf_dir):
-    places = spark.createDataFrame([("austin",), ("LONDON",), ("oslo",)], "location string")
-    return S.regions_of(places, G).select("region")
+    place = F.element_at(F.array(*map(F.lit, ("austin", "LONDON", "oslo", "ontario", "Coimbatore", "uk"))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return S.regions_of(table(spark, sf_dir, "customer").select("c_custkey", place.alias("location")), G).select("c_custkey", "region")
 
 
-@register("SELECT 2 AS qid, c || ' in austin texas' AS query, CAST(i * 1000 AS INTEGER) AS ord FROM (VALUES ('gyms', 0), ('gym', 1), ('fitness centre', 2), ('health club', 3)) t(c, i)")
+@register("""WITH c AS (SELECT c_custkey AS qid, [['gyms', 'gym', 'fitness centre', 'health club'], ['sushi bars']][c_custkey % 2 + 1] AS cs, [['austin', 'austin texas', 'texas'], ['oslo'], ['chennai', 'coimbatore', 'madurai', 'salem']][c_custkey % 3 + 1] AS ls FROM customer)
+SELECT qid, cs[i] || ' in ' || ls[j] AS query, CAST((i - 1) * 1000 + j - 1 AS INTEGER) AS ord FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS j FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS i FROM c))""")
 def qry11_grid(spark, sf_dir):
-    return S.query_grid(S.parse(_questions(spark), G).where("qid = 2"), G).select("qid", "query", "ord")
+    """A known or unknown category, at a place with other names, an unknown one, or a region with towns."""
+    k = F.col("c_custkey")
+    category = F.when(k % 2 == 0, "gyms").otherwise("sushi bars")
+    location = F.when(k % 3 == 0, "austin").when(k % 3 == 1, "oslo").otherwise("tamil nadu")
+    return S.query_grid(table(spark, sf_dir, "customer").select(k.alias("qid"), category.alias("category"), location.alias("location")), G).select("qid", "query", "ord")
 
 
 @register()
@@ -351,12 +367,26 @@ def rag03_lexical(spark, sf_dir):
     return R.lexical_top(docs, QUESTION, 6, "doc_id").select("doc_id", "score")
 
 
-@register()
+def _answer_sql(mode: str, top: str) -> str:
+    return f"""WITH t AS ({top}), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, source, text) AS r FROM t), b AS (SELECT * FROM r WHERE r <= 5)
+SELECT (SELECT string_agg(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 350), chr(10) ORDER BY r) FROM b) AS answer, (SELECT string_agg(source, ',' ORDER BY m) FROM (SELECT source, min(r) AS m FROM b GROUP BY source)) AS sources, {q(mode)} AS retrieval_mode"""
+
+
+@register(_answer_sql("lexical", f"SELECT text, source, {LEXICAL} AS score FROM documents ORDER BY score DESC, doc_id DESC LIMIT 6"))
 def rag04_answer(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chunk"), "source")
     return R.answer(None, R.lexical_top(docs, QUESTION, 6, "doc_id")).withColumn("sources", F.array_join("sources", ","))
 
 
+@register(_answer_sql("dense", "SELECT text, source, round(CAST(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS DOUBLE), 4) AS score FROM embeddings e JOIN documents ON vec_id = doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) v ORDER BY score DESC, vec_id LIMIT 6"))
+def rag04_dense_answer(spark, sf_dir):
+    """Where chunks have vectors, the dense hits answer and the lexical ones are left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chunk"), "source")
+    vectors = table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id"))
+    dense = R.dense_top(vectors, _query_vector(spark, sf_dir), 6)
+    return R.answer(dense, R.lexical_top(docs, QUESTION, 6, "doc_id")).withColumn("sources", F.array_join("sources", ","))
+
+
 SESSIONS = "s AS (SELECT 'u' || user_id AS query, arg_max(event_id, ts) AS run_id, min(ts) AS created_at, max(ts) AS last_used, count(*) AS access_count FROM events GROUP BY 1)"
 
 
@@ -427,11 +457,12 @@ def src07_search_hits(spark, sf_dir):
     return P.search_hits(_payloads(table(spark, sf_dir, "customer"))).drop("provider")
 
 
-@register("SELECT c_custkey AS pid, c_name AS title, 'http://a/' || c_custkey AS url, 'text' AS snippet, 1 AS rank FROM customer")
+@register("SELECT pid, CASE WHEN i = 1 THEN c_name ELSE c_mktsegment END AS title, 'http://a/' || pid || '/' || i AS url, 'text ' || i AS snippet, CAST(i AS INTEGER) AS rank FROM (SELECT c_custkey AS pid, c_name, c_mktsegment, unnest(range(1, c_custkey % 2 + 2)) AS i FROM customer)")
 def src08_content_hits(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    body = F.to_json(F.struct(F.array(F.struct(F.col("c_name").alias("title"), F.concat(F.lit("http://a/"), F.col("c_custkey")).alias("url"), F.lit("text").alias("content"))).alias("results")))
-    return P.content_hits(c.select(F.col("c_custkey").alias("pid"), F.lit(1).alias("page"), body.alias("body"))).drop("provider")
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    one = lambda i: F.struct(F.when(i == 1, F.col("c_name")).otherwise(F.col("c_mktsegment")).alias("title"), F.concat(F.lit("http://a/"), k, F.lit("/"), i).alias("url"), F.concat(F.lit("text "), i).alias("content"))
+    body = F.to_json(F.struct(F.transform(F.sequence(F.lit(1), (k % 2 + 1).cast("int")), one).alias("results")))
+    return P.content_hits(c.select(k.alias("pid"), F.lit(1).alias("page"), body.alias("body"))).drop("provider")
 
 
 @register("SELECT s_suppkey FROM (SELECT s_suppkey, s_suppkey % 100 * 0.01 - 0.5 AS lat, s_suppkey % 37 * 0.01 AS lon FROM supplier) WHERE 2 * 6371000 * asin(sqrt(pow(sin(radians(lat - 0.1) / 2), 2) + cos(radians(0.1)) * cos(radians(lat)) * pow(sin(radians(lon - 0.1) / 2), 2))) <= 18000")
@@ -440,10 +471,13 @@ def src09_circle(spark, sf_dir):
     return P.within_circle(s, 0.1, 0.1).select("s_suppkey")
 
 
-@register("SELECT c_custkey, 'austin, texas|austin, texas, United States|austin, United States|austin|austin texas|texas' AS tries FROM customer")
+@register("""WITH d AS (SELECT * FROM (VALUES (0, 'austin', 'texas', 'United States', ['austin', 'austin texas', 'texas']), (1, 'springfield', '', '', ['springfield']), (2, 'london', 'england', 'United Kingdom', ['london', 'london uk', 'united kingdom', 'england']), (3, 'texas', 'Texas', 'United States', ['texas'])) t(i, l, p, c, a))
+SELECT c_custkey, concat_ws('|', CASE WHEN p <> '' AND lower(p) <> l THEN l || ', ' || p || CASE WHEN c <> '' THEN '|' || l || ', ' || p || ', ' || c ELSE '' END END, CASE WHEN c <> '' THEN l || ', ' || c END, array_to_string(a, '|')) AS tries FROM customer JOIN d ON c_custkey % 4 = i""")
 def src10_geocode(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    return c.select("c_custkey", F.array_join(P.geocode_names(F.lit("austin"), F.lit("texas"), S.country_name(S.country_of(F.lit("texas"), G)), S.aliases(F.lit("austin"), G)), "|").alias("tries"))
+    pick = lambda *words: F.element_at(F.array(*map(F.lit, words)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    place, parent = pick("austin", "springfield", "london", "texas"), pick("texas", "", "england", "Texas")
+    tries = P.geocode_names(place, parent, S.country_name(S.country_of(parent, G)), S.aliases(place, G))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(tries, "|").alias("tries"))
 
 
 def _facts(rows: DataFrame) -> DataFrame:
@@ -527,10 +561,24 @@ def ext03_leads(spark, sf_dir):
     return X.leads(table(spark, sf_dir, "pages"), F.lit("cafes"), F.lit("austin"))
 
 
-@register()
+@register("""WITH p AS (SELECT page_id AS k, url, CASE WHEN contains(url, '#') THEN 'official_website' WHEN url LIKE '%.html' THEN 'business_directory' WHEN contains(url, '?') THEN 'content_lead' ELSE 'unknown' END AS st,
+  CASE WHEN contains(url, '#') THEN 0.95 WHEN url LIKE '%.html' THEN 0.75 WHEN contains(url, '?') THEN 0.36 ELSE 0.4 END::DOUBLE AS rel FROM pages), r AS (
+SELECT k, 'business_name' AS field, 'Fox ' || k AS value, 'search_result' AS source_type, 0.45 AS reliability FROM p WHERE k % 4 <> 0
+UNION ALL SELECT k, 'website', url, st, rel FROM p WHERE url <> ''
+UNION ALL SELECT k, 'phone', '+1 (555) 123-' || (1000 + k % 9000), 'search_result', 0.45 FROM p WHERE k % 2 = 0
+UNION ALL SELECT k, 'email', 'm' || k || '@a.org', 'search_result', 0.45 FROM p WHERE k % 3 = 0
+UNION ALL SELECT k, 'rating', (k % 5 + 1) || '.5', 'search_result', 0.45 FROM p WHERE k % 5 = 1
+UNION ALL SELECT k, 'review_count', CAST(k AS VARCHAR), 'search_result', 0.45 FROM p WHERE k % 7 = 1)
+SELECT k AS hit_id, field, value, source_type, CAST(reliability AS DOUBLE) AS reliability FROM r""")
 def ext01_hit_facts(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    hits = p.select(F.col("page_id").alias("hit_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), "url", F.lit("call +1 (555) 123-4567").alias("snippet"), E.source_type(F.col("url")).alias("source_type"))
+    """Hits of list pages and of entities, whose snippets hold a phone, an email, a rating or reviews by their number."""
+    k = F.col("page_id")
+    some = lambda test, *parts: F.when(test, F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts)))
+    snippet = F.concat_ws(" ; ", some(k % 2 == 0, "call +1 (555) 123-", (k % 9000 + 1000)), some(k % 3 == 0, "mail m", k, "@a.org now"), some(k % 5 == 1, (k % 5 + 1), ".5 out of 5"), some(k % 7 == 1, k, " reviews"))
+    url = F.col("url")
+    kind = F.when(url.contains("#"), "official_website").when(url.endswith(".html"), "business_directory").when(url.contains("?"), "content_lead").otherwise("unknown")
+    title = F.when(k % 4 == 0, "Best Restaurants of the town - Guide").otherwise(F.concat(F.lit("Fox "), k, F.lit(" - Home")))
+    hits = table(spark, sf_dir, "pages").select(k.alias("hit_id"), title.alias("title"), "url", snippet.alias("snippet"), kind.alias("source_type"))
     return X.hit_facts(hits.withColumn("reliability", E.reliability(F.col("source_type"))))
 
 
@@ -598,49 +646,61 @@ def join02_ratio(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(D.seq_ratio(name, longer), 9).alias("longer"), F.round(D.seq_ratio(name, shorter), 9).alias("shorter"), D.seq_ratio(name, F.lit("")).alias("none"))
 
 
-INLINE = """<html><head><title>T</title><meta property="og:title" content="Blue Fox"><meta name="description" content="Open"><link rel="canonical" href="/home">
-<script type="application/ld+json">[{"@type":"Dentist","name":"LD Fox","telephone":"555","aggregateRating":{"ratingValue":4.5,"reviewCount":12}},{"@type":"Thing","name":"no"}]</script><script type="application/ld+json">{bad</script></head>
-<body><ul><li>Repair services</li><li>Other</li></ul><a href="https://facebook.com/x?y">f</a><img src="i.png"><img src="data:x"></body></html>"""
-
-
 def _inline(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("http://a.com/p").alias("url"), F.lit(INLINE).alias("html"))
-    rows = X.html_facts(pages).where(F.col("field").isin(*fields))
-    return rows.select("page_id", "field", F.array_join("values", "|").alias("value"))
+    """Facts of a page made for each row of pages: which parts it has, and what they say, goes by page_id."""
+    k = F.col("page_id")
+    say = lambda *parts: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in parts))
+    some = lambda test, *parts: F.when(test, say(*parts)).otherwise("")
+    item = say('{"@type":', F.when(k % 2 == 0, '["Thing","Dentist"]').otherwise('"Thing"'), ',"name":"LD ', k, '"', some(k % 3 == 0, ',"telephone":"555 ', k, '"'), some(k % 5 > 0, ',"aggregateRating":{"ratingValue":', k % 5, '.5,"reviewCount":', k, "}"), "}")
+    item = F.when(k % 4 == 0, item).when(k % 4 == 1, say("[", item, "]")).when(k % 4 == 2, say('{"@graph":[', item, "]}")).otherwise(say("{bad", item))
+    host = F.element_at(F.array(*map(F.lit, ("www.facebook.com", "shop.example", "x.com"))), (k % 3 + 1).cast("int"))
+    service = F.element_at(F.array(*map(F.lit, ("Repair services", "Menu", "Opening", "Home delivery"))), (k % 4 + 1).cast("int"))
+    html = say(
+        "<html><head><title>T ", k, "</title>", some(k % 3 != 0, '<meta property="og:title" content="Blue ', k, '">'), some(k % 4 < 2, '<meta name="description" content="Open ', k, '">'), some(k % 4 == 2, '<meta property="og:description" content="Shut ', k, '">'),
+        some(k % 2 == 0, '<link rel="canonical" href="/home/', k, '">'), '<script type="application/ld+json">', item, "</script></head><body><ul><li>", service, " ", k, "</li><li>Repair ", "x" * 80, "</li></ul><h2>Emergency ", k % 3, "</h2><h3>Emergency ", k % 3, "</h3>",
+        '<a href="https://', host, "/p", k, '?a=1">f</a><a href="https://', host, "/p", k, '?b=2">g</a><img src="', F.when(k % 2 == 0, say("i", k, ".png")).otherwise("data:x"), '"></body></html>',
+    )
+    rows = X.html_facts(table(spark, sf_dir, "pages").select("page_id", F.lit("http://a.com/p").alias("url"), html.alias("html")))
+    return rows.where(F.col("field").isin(*fields)).select("page_id", "field", F.array_join("values", "|").alias("value"))
 
 
 def _inline_sql(*pairs: tuple[str, str]) -> str:
-    rows = ", ".join(f"({q(k)}, {q(v)})" for k, v in pairs)
-    return f"SELECT page_id, field, value FROM pages, (VALUES {rows}) t(field, value)"
+    return " UNION ALL ".join(f"SELECT page_id, {q(field)} AS field, {value} AS value FROM (SELECT page_id, page_id AS k FROM pages) WHERE {test}" for field, value, test in pairs)
 
 
-@register(_inline_sql(("business_name", "LD Fox"), ("phone", "555")))
+LD_READ = "k % 4 <> 3 AND (k % 2 = 0 OR k % 3 = 0)"  # well formed, and of a known type or with a telephone
+
+
+@register(_inline_sql(("business_name", "'LD ' || k", LD_READ), ("phone", "'555 ' || k", f"{LD_READ} AND k % 3 = 0")))
 def ext04_linked_data(spark, sf_dir):
     return _inline(spark, sf_dir, "business_name", "phone")
 
 
-@register(_inline_sql(("rating", "4.5"), ("review_count", "12")))
+@register(_inline_sql(("rating", "k % 5 || '.5'", f"{LD_READ} AND k % 5 > 0"), ("review_count", "CAST(k AS VARCHAR)", f"{LD_READ} AND k % 5 > 0")))
 def ext06_structured(spark, sf_dir):
     return _inline(spark, sf_dir, "rating", "review_count")
 
 
-@register(_inline_sql(("social_profiles", "https://facebook.com/x"), ("images_urls", "http://a.com/i.png")))
+@register(_inline_sql(("social_profiles", "CASE k % 3 WHEN 0 THEN 'https://www.facebook.com/p' ELSE 'https://x.com/p' END || k", "k % 3 <> 1"), ("images_urls", "'http://a.com/i' || k || '.png'", "k % 2 = 0")))
 def ext08_links(spark, sf_dir):
     return _inline(spark, sf_dir, "social_profiles", "images_urls")
 
 
-@register(_inline_sql(("services", "Repair services"), ("specialties", "Repair services")))
+SERVICES = "CASE k % 4 WHEN 0 THEN 'Repair services ' || k || '|' WHEN 1 THEN 'Menu ' || k || '|' WHEN 3 THEN 'Home delivery ' || k || '|' ELSE '' END || 'Emergency ' || k % 3"
+
+
+@register(_inline_sql(("services", SERVICES, "true"), ("specialties", SERVICES, "true")))
 def ext09_services(spark, sf_dir):
     return _inline(spark, sf_dir, "services", "specialties")
 
 
-@register(_inline_sql(("title", "Blue Fox"), ("description", "Open"), ("website", "http://a.com/home")))
+@register(_inline_sql(("title", "CASE WHEN k % 3 = 0 THEN 'T ' ELSE 'Blue ' END || k", "true"), ("description", "CASE WHEN k % 4 = 2 THEN 'Shut ' ELSE 'Open ' END || k", "k % 4 < 3"), ("website", "CASE WHEN k % 2 = 0 THEN 'http://a.com/home/' || k ELSE 'http://a.com' END", "true")))
 def ext11_meta(spark, sf_dir):
     return _inline(spark, sf_dir, "title", "description", "website")
 
 
 def _result_pages(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Result pages of one hit a page, parsed in Arrow batches."""
+    """Result pages of one to three hits, some without link or note, parsed in Arrow batches."""
     from collections.abc import Iterator
 
     import pyarrow as pa
@@ -653,17 +713,27 @@ def _result_pages(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32()), strict=True)], names=["page_id", "title", "url", "snippet", "rank"])
 
-    a = F.concat(F.lit('<div class="result"><a class="result__a" href="https://duckduckgo.com/l/?uddg=http%3A%2F%2Fx.y%2F'), F.col("page_id"), F.lit('">Hit</a><p class="result__snippet">S</p></div>'))
-    b = F.concat(F.lit('<li class="b_algo"><h2><a href="http://x.y/'), F.col("page_id"), F.lit('">Hit</a></h2><p>S</p></li>'))
-    return table(spark, sf_dir, "pages").select("page_id", (a if kind == "a" else b).alias("html")).mapInArrow(read, "page_id long, title string, url string, snippet string, rank int")
+    k = F.col("page_id")
+    hits = F.sequence(F.lit(1), (k % 3 + 1).cast("int"))
+    missing = lambda i: (i == 2) & (k % 4 == 0)  # a hit without its link
+    target = lambda i: F.when(k % 2 == 0, F.concat(F.lit("https://duckduckgo.com/l/?uddg=http%3A%2F%2Fx.y%2F"), k, F.lit("-"), i)).otherwise(F.concat(F.lit("http://x.y/"), k, F.lit("-"), i))
+    note = lambda i, mark: F.when(k % 5 == 0, "").otherwise(F.concat(F.lit(mark), i, F.lit(" of "), k, F.lit("</p>")))
+    one = {
+        "a": lambda i: F.concat(F.lit('<div class="result"><a class="result__a"'), F.when(missing(i), "").otherwise(F.concat(F.lit(' href="'), target(i), F.lit('"'))), F.lit(">Hit "), i, F.lit("</a>"), note(i, '<p class="result__snippet">'), F.lit("</div>")),
+        "b": lambda i: F.concat(F.lit('<li class="b_algo"><h2>'), F.when(missing(i), "").otherwise(F.concat(F.lit('<a href="http://x.y/'), k, F.lit("-"), i, F.lit('">Hit '), i, F.lit("</a>"))), F.lit("</h2>"), note(i, "<p>"), F.lit("</li>")),
+    }[kind]
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(hits, one), "").alias("html")).mapInArrow(read, "page_id long, title string, url string, snippet string, rank int")
 
 
-@register("SELECT page_id, 'Hit' AS title, 'http://x.y/' || page_id AS url, 'S' AS snippet, 1 AS rank FROM pages")
+RESULT_HITS = "SELECT page_id, 'Hit ' || i AS title, 'http://x.y/' || page_id || '-' || i AS url, CASE WHEN page_id % 5 = 0 THEN '' ELSE i || ' of ' || page_id END AS snippet, CAST(i AS INTEGER) AS rank FROM (SELECT page_id, unnest(range(1, page_id % 3 + 2)) AS i FROM pages) WHERE NOT (i = 2 AND page_id % 4 = 0)"
+
+
+@register(RESULT_HITS)
 def src05_result_list_a(spark, sf_dir):
     return _result_pages(spark, sf_dir, "a")
 
 
-@register("SELECT page_id, 'Hit' AS title, 'http://x.y/' || page_id AS url, 'S' AS snippet, 1 AS rank FROM pages")
+@register(RESULT_HITS)
 def src06_result_list_b(spark, sf_dir):
     return _result_pages(spark, sf_dir, "b")
 
@@ -740,3 +810,38 @@ def api01_run(spark, sf_dir):
     out = Engine(spark).run(table(spark, sf_dir, "nation").select(F.explode(F.array(*facts)).alias("f")).select("f.*"))
     counts = out["report"].select("businesses_found", "duplicate_records_removed", "businesses_verified", "records_with_phone_number", "records_with_email")
     return out["entities"].select("entity_id", "business_name", "email", "reliability_score").crossJoin(counts)  # one row
+
+
+# lists of leads, and pairs, whose outcome SQL can state
+
+
+@register("SELECT page_id, CAST(i - 1 AS INTEGER) AS ord, names[i] AS name FROM (SELECT page_id, names, unnest(range(1, len(names) + 1)) AS i FROM (SELECT page_id, list_filter(['Fox ' || page_id, CASE WHEN page_id % 3 = 0 THEN 'Owl ' || page_id END, CASE WHEN page_id % 3 = 0 THEN 'Elk ' || page_id END, CASE WHEN page_id % 2 = 0 THEN 'Hen House ' || page_id END], lambda x: x IS NOT NULL) AS names FROM pages))")
+def ext03_marked_leads(spark, sf_dir):
+    """Marked elements first, then headings, items and links; numbers, sentences, lower case and long names go."""
+    k = F.col("page_id").cast("string")
+    html = F.concat(F.lit('<ul><li>lower words</li>'), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<li>Hen House "), k, F.lit(" is a place</li>"))).otherwise("<li>A Name Of Many More Words Than Eight Words</li>"), F.lit("</ul><a>Fox "), k, F.lit("</a>"), F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<strong>Owl "), k, F.lit(" | Elk "), k, F.lit("</strong>"))).otherwise(""), F.lit('<div class="listing-name">1. Fox '), k, F.lit("</div>"))
+    return X.leads(table(spark, sf_dir, "pages").select("page_id", html.alias("html")), F.lit("cafes"), F.lit("austin"))
+
+
+@register("SELECT page_id, CAST(i AS INTEGER) AS ord, CASE WHEN i = 0 THEN 'Fox ' ELSE 'Hen ' END || page_id AS name FROM (SELECT page_id, unnest(range(CASE WHEN page_id % 4 < 2 THEN 2 ELSE 1 END)) AS i FROM pages)")
+def ext05_nested_leads(spark, sf_dir):
+    """Objects inside a list, a department, a review and an offer, in lists or alone, wrapped as items or not."""
+    k = F.col("page_id")
+    one = lambda name: F.concat(F.lit(f'{{"name":"{name} '), k, F.lit('"}'))
+    inner = F.when(k % 4 == 0, F.concat(F.lit('"itemListElement":[{"item":'), one("Fox"), F.lit("},"), one("Hen"), F.lit("]"))).when(k % 4 == 1, F.concat(F.lit('"department":'), one("Hen"), F.lit(',"itemListElement":'), one("Fox"))).when(k % 4 == 2, F.concat(F.lit('"review":'), one("Fox"))).otherwise(F.concat(F.lit('"makesOffer":[{"item":'), one("Fox"), F.lit("}]")))
+    html = F.concat(F.lit('<script type="application/ld+json">{"@type":"ItemList",'), inner, F.lit("}</script>"))
+    return X.leads(table(spark, sf_dir, "pages").select("page_id", html.alias("html")), F.lit("cafes"), F.lit("austin"))
+
+
+@register("""WITH c AS (SELECT c_custkey AS k, length(c_name) AS n, length(c_mktsegment) AS m, c_custkey % 40 AS x, c_custkey % 4 AS y FROM customer),
+r AS (SELECT k, 2.0 * n / (2 * n + x) AS ns, 2.0 * (m - y) / (2 * m - y) AS ad FROM c), b AS (SELECT *, greatest(ns * 0.55 + ad * 0.45, ns * 0.75) AS s FROM r)
+SELECT k AS ord, round(CAST(ns AS DOUBLE), 6) AS name_score, round(CAST(ad AS DOUBLE), 6) AS address_score, round(CAST(CASE WHEN k % 5 = 0 THEN CASE WHEN ns > 0.45 THEN 0.99 WHEN k % 7 = 0 THEN greatest(s, 0.96, 0.94) ELSE greatest(s, 0.96) END WHEN k % 7 = 0 THEN greatest(s, 0.94) ELSE s END AS DOUBLE), 6) AS score FROM b""")
+def join01_alike_pairs(spark, sf_dir):
+    """A name with up to 39 letters more, an address with up to three less, one phone in five alike, one site in seven."""
+    k, name, address = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    same = lambda n, text: F.when(k % n == 0, text).otherwise(k.cast("string"))
+    pairs = table(spark, sf_dir, "customer").select(
+        k.alias("ord"), name.alias("l_k_name"), F.concat(name, F.repeat(F.lit("z"), (k % 40).cast("int"))).alias("r_k_name"), address.alias("l_k_address"), F.substring(address, F.lit(1), (F.length(address) - k % 4).cast("int")).alias("r_k_address"),
+        same(5, "5550100").alias("l_k_phone"), F.when(k % 5 == 0, "5550100").otherwise("").alias("r_k_phone"), same(7, "s.example").alias("l_k_site"), F.when(k % 7 == 0, "s.example").otherwise("").alias("r_k_site"),
+    )
+    return D.pair_scores(pairs).select("ord", F.round("name_score", 6).alias("name_score"), F.round("address_score", 6).alias("address_score"), F.round("score", 6).alias("score"))
