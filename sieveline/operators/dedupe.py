@@ -167,11 +167,16 @@ def merged(records: DataFrame, cluster: DataFrame, scalars: tuple[str, ...] = SC
     return j.groupBy("cluster").agg(*aggs, F.count("*").alias("records"))
 
 
-def first_of(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """rows with the first of each key."""
+def first_of(rows: DataFrame, key: str | list[str], order: str) -> DataFrame:
+    """rows with the first of each key, which may be of several columns."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_r = 1").drop("_r")
 
 
+def ordered_distinct(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """(value, ord): different values with the place of the first; combined before the shuffle."""
+    return rows.groupBy(F.col(value).alias("value")).agg(F.min(order).alias("ord"))
+
+
 def lead_score(lead: Column, place: Column) -> Column:
     """Shared name words, 0.7 by the lead's and 0.3 by the place's; a contained name gives 0.82, an equal one 1."""
     a, b = N.name_tokens(lead, N.LEAD_IGNORED, True), N.name_tokens(place, N.LEAD_IGNORED, True)
@@ -221,3 +226,11 @@ def top_hits(scored: DataFrame, keep: int, key: str = "entity_id") -> DataFrame:
     """The `keep` best-scored hits of each entity, ties by rank then url."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), "rank", "url")
     return scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep)
+
+
+def entity_hits(entities: DataFrame, hits: DataFrame, category: Column, location: Column, keep: int, least: float = 0.45) -> DataFrame:
+    """entities(entity_id, name, website) with the `keep` hits(entity_id, title, snippet, url, rank) that are surest about each."""
+    from sieveline.operators.filters import hit_score
+
+    score = hit_score(F.col("title"), F.col("snippet"), F.col("url"), F.col("name"), F.col("website"), category, location)
+    return top_hits(hits.join(entities, "entity_id").withColumn("score", score).where(F.col("score") >= least), keep)

@@ -146,3 +146,14 @@ def limitations(phone: Column, address: Column, rating: Column, n_errors: Column
         (n_errors > 0, "Some sources failed or were late; the report rests on partial evidence."),
     )
     return F.array_compact(F.array(*(F.when(test, text) for test, text in rules)))
+
+
+def field_reports(won: DataFrame) -> DataFrame:
+    """(entity_id, field, report): a field's level and evidence count as a JSON object."""
+    return won.select("entity_id", "field", F.to_json(F.struct(F.col("verified_level").alias("value"), F.col("evidence_count").alias("n"))).alias("report"))
+
+
+def flat_json(won: DataFrame, value: str = "value") -> DataFrame:
+    """(entity_id, flat): an entity's fields as one JSON object, keys in order; an entity has a few fields only."""
+    pairs = F.sort_array(F.collect_list(F.struct("field", value)))
+    return won.groupBy("entity_id").agg(F.to_json(F.map_from_entries(pairs)).alias("flat"))

@@ -38,7 +38,7 @@ def emails(text: Column) -> Column:
 
 
 def phones(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(N.filled(text), F.lit(PHONE), F.lit(0)), N.clean_phone)))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(N.filled(text), F.lit(f"(?=[+(0-9])(?:{PHONE})"), F.lit(0)), N.clean_phone)))
 
 
 def hours(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,14 +34,25 @@ def dense_top(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id
 
 def lexical_score(question: Column, chunk: Column) -> Column:
     a = N.terms(question)
-    both = F.size(F.array_intersect(a, N.terms(chunk)))
-    score = both / F.greatest(F.size(a), F.lit(1)) + F.least(both, F.lit(6)) * 0.05
+    return _overlap_score(F.size(F.array_intersect(a, N.terms(chunk))), F.size(a))
+
+
+def _overlap_score(both: Column, asked: Column) -> Column:
+    score = both / F.greatest(asked, F.lit(1)) + F.least(both, F.lit(6)) * 0.05
     return F.when(both > 0, F.round(score, 6)).otherwise(0.0)
 
 
 def lexical_top(chunks: DataFrame, question: str, k: int, order: str = "chunk_id") -> DataFrame:
     """The k best chunks, later ones first among equals; all chunks score 0 where no word is shared."""
-    return chunks.withColumn("score", lexical_score(F.lit(question), F.col("chunk"))).orderBy(F.desc("score"), F.desc(order)).limit(k)
+    words = [w for w in dict.fromkeys(re.findall("[a-z0-9]{2,}", question.lower())) if w not in N.STOP_WORDS]
+    # only the question's words are taken from a chunk
+    form = f"(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])"
+    both = F.size(F.array_distinct(F.regexp_extract_all(F.lower(N.filled(F.col("chunk"))), F.lit(form), F.lit(0)))) if words else F.lit(0)
+    return chunks.withColumn("score", _overlap_score(both, F.lit(len(words)))).orderBy(F.desc("score"), F.desc(order)).limit(k)
+
+
+def answer_line(chunk: Column) -> Column:
+    return F.substring(N.spaced(chunk), 1, 350)
 
 
 def answer(dense: DataFrame | None, lexical: DataFrame) -> DataFrame:
@@ -54,7 +66,7 @@ def answer(dense: DataFrame | None, lexical: DataFrame) -> DataFrame:
     first = F.min_by("mode", "r")
     rows = best.agg(F.sort_array(F.collect_list(F.struct("r", "mode", "chunk", "source"))).alias("h"), first.alias("retrieval_mode"))
     own = F.filter("h", lambda x: x["mode"] == F.col("retrieval_mode"))
-    return rows.select(F.array_join(F.transform(own, lambda x: F.substring(N.spaced(x["chunk"]), 1, 350)), "\n").alias("answer"), F.array_distinct(F.transform(own, lambda x: x["source"])).alias("sources"), "retrieval_mode")
+    return rows.select(F.array_join(F.transform(own, lambda x: answer_line(x["chunk"])), "\n").alias("answer"), F.array_distinct(F.transform(own, lambda x: x["source"])).alias("sources"), "retrieval_mode")
 
 
 def generate(context: str, question: str, *backends: Callable[[str, str], str | None]) -> str:
@@ -85,7 +97,7 @@ def lru(rows: DataFrame, most: int = 3) -> DataFrame:
     return rows.orderBy(F.desc("last_used"), "run_id").limit(most)
 
 
-def touch(rows: DataFrame, run_id: str, now: Column) -> DataFrame:
+def touch(rows: DataFrame, run_id: str | Column, now: Column) -> DataFrame:
     hit = F.col("run_id") == run_id
     return rows.withColumn("last_used", F.when(hit, now).otherwise(F.col("last_used"))).withColumn("access_count", F.when(hit, F.col("access_count") + 1).otherwise(F.col("access_count")))
 
@@ -93,8 +105,9 @@ def touch(rows: DataFrame, run_id: str, now: Column) -> DataFrame:
 def resolve(rows: DataFrame, run_id: str | None, query: str | None) -> DataFrame:
     """(run_id, found_by): the id given, else the session of the query, else the current one, else none."""
     given = F.lit(run_id).cast("string")
-    by_query = F.max(F.when(F.col("query") == F.lower(F.trim(F.lit(query or ""))), F.col("run_id")))
-    current = F.max_by("run_id", "last_used")
+    run = F.col("run_id").cast("string")
+    by_query = F.max(F.when(F.col("query") == F.lower(F.trim(F.lit(query or ""))), run))
+    current = F.max_by(run, "last_used")
     got = rows.agg(by_query.alias("q"), current.alias("c"))
     return got.select(F.coalesce(given, "q", "c").alias("run_id"), F.when(given.isNotNull(), "id").when(F.col("q").isNotNull(), "query").when(F.col("c").isNotNull(), "current").otherwise("none").alias("found_by"))
 

@@ -167,14 +167,13 @@ def srt01_rank_hits(spark, sf_dir):
 
 @register("WITH d AS (SELECT c_mktsegment AS value, min(c_custkey) AS ord FROM customer GROUP BY 1) SELECT value, ord FROM d")
 def srt06_ordered_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("value")).agg(F.min("c_custkey").alias("ord"))
+    return D.ordered_distinct(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey")
 
 
 @register("SELECT c_custkey AS id, c_name AS name, 'map' AS kind FROM customer UNION ALL SELECT s_suppkey, s_name, 'web' FROM supplier UNION ALL SELECT p_partkey, p_name, 'lead' FROM part")
 def set01_union(spark, sf_dir):
-    c, s, p = (table(spark, sf_dir, t) for t in ("customer", "supplier", "part"))
-    of = lambda d, k, n, kind: d.select(F.col(k).alias("id"), F.col(n).alias("name"), F.lit(kind).alias("kind"))
-    return of(c, "c_custkey", "c_name", "map").unionByName(of(s, "s_suppkey", "s_name", "web")).unionByName(of(p, "p_partkey", "p_name", "lead"))
+    of = lambda t, k, n: table(spark, sf_dir, t).select(F.col(k).alias("id"), F.col(n).alias("name"))
+    return P.all_feeds(map=of("customer", "c_custkey", "c_name"), web=of("supplier", "s_suppkey", "s_name"), lead=of("part", "p_partkey", "p_name"))
 
 
 @register(f"SELECT conv_id, turn, len(list_intersect({q_terms('text')}, {q_terms(q(QUESTION))})) AS both_n, len(list_distinct(list_concat({q_terms('text')}, {q_terms(q(QUESTION))}))) AS any_n FROM conversations")
@@ -186,7 +185,7 @@ def set02_token_sets(spark, sf_dir):
 @register("SELECT p_partkey FROM part WHERE p_size % 5 <> 0")
 def set03_except(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    return p.join(p.where("p_size % 5 = 0").select("p_partkey"), "p_partkey", "left_anti").select("p_partkey")
+    return P.unseen(p, p.where("p_size % 5 = 0"), "p_partkey").select("p_partkey")
 
 
 # joins and deduplication
@@ -200,13 +199,13 @@ def join06_first_wins(spark, sf_dir):
 @register("SELECT r_name AS provider, p_type AS query, CAST(p.range AS INTEGER) AS page FROM region, (SELECT DISTINCT p_type FROM part), range(1, 3) p")
 def join07_cross(spark, sf_dir):
     kinds = table(spark, sf_dir, "part").select(F.col("p_type").alias("query")).distinct()
-    return table(spark, sf_dir, "region").select(F.col("r_name").alias("provider")).join(F.broadcast(kinds)).withColumn("page", F.explode(F.array(F.lit(1), F.lit(2))))
+    return P.fetch_grid(table(spark, sf_dir, "region").select(F.col("r_name").alias("provider")), kinds, 2)
 
 
-@register("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@register("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 23 = 0)")
 def join08_anti(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
+    seen = table(spark, sf_dir, "orders").where("o_orderkey % 23 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return P.unseen(table(spark, sf_dir, "customer"), seen, "c_custkey").select("c_custkey", "c_name")
 
 
 @register("SELECT c_custkey FROM customer WHERE c_custkey % 5 IN (0, 2, 3)")
@@ -270,9 +269,9 @@ def join11_top_hits(spark, sf_dir):
     return D.top_hits(o, 3).select("entity_id", "rank", "rn")
 
 
-@register("SELECT DISTINCT user_id, event_type FROM events")
+@register("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL")
 def join12_seen_ids(spark, sf_dir):
-    return table(spark, sf_dir, "events").dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
+    return D.first_of(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
 
 
 # planning
@@ -403,8 +402,8 @@ def rag09_lru(spark, sf_dir):
 @register(f"WITH {SESSIONS}, t AS (SELECT * REPLACE (CASE WHEN query = 'u1' THEN access_count + 1 ELSE access_count END AS access_count) FROM s) SELECT query, access_count FROM t")
 def rag10_touch(spark, sf_dir):
     rows = _sessions(spark, sf_dir)
-    run = rows.where("query = 'u1'").select("run_id").first()
-    return R.touch(rows, str(run["run_id"]) if run else "", F.current_timestamp().cast("timestamp_ntz")).select("query", "access_count")
+    found = R.resolve(rows, None, "U1").select(F.col("run_id").alias("found"))  # one row
+    return R.touch(rows.crossJoin(found), F.col("found"), F.current_timestamp().cast("timestamp_ntz")).select("query", "access_count")
 
 
 @register(f"WITH {SESSIONS} SELECT query, run_id FROM s ORDER BY created_at DESC, run_id LIMIT 3")
@@ -412,17 +411,21 @@ def rag11_fifo(spark, sf_dir):
     return R.fifo(_sessions(spark, sf_dir)).select("query", "run_id")
 
 
-@register(f"WITH {SESSIONS} SELECT (SELECT run_id FROM s WHERE query = 'u1') AS run_id, 'query' AS found_by")
+@register(f"""WITH {SESSIONS} SELECT 'given' AS way, 'r9' AS run_id, 'id' AS found_by UNION ALL SELECT 'by query', (SELECT CAST(run_id AS VARCHAR) FROM s WHERE query = 'u1'), 'query'
+UNION ALL SELECT 'unknown query', (SELECT CAST(arg_max(run_id, last_used) AS VARCHAR) FROM s), 'current' UNION ALL SELECT 'no session', NULL, 'none'""")
 def rag12_resolve(spark, sf_dir):
-    got = R.resolve(_sessions(spark, sf_dir), None, " U1 ")
-    return got.select(F.col("run_id").cast("long").alias("run_id"), "found_by")
+    rows = _sessions(spark, sf_dir)
+    ways = {"given": (rows, "r9", " U1 "), "by query": (rows, None, " U1 "), "unknown query": (rows, None, "nobody"), "no session": (rows.where("query = ''"), None, "U1")}
+    found = {way: R.resolve(*asked).select(F.col("run_id").cast("string").alias("run_id"), "found_by") for way, asked in ways.items()}
+    return P.all_feeds(**found).withColumnRenamed("kind", "way")
 
 
-@register(f"WITH {GROUPS} SELECT count(DISTINCT entity_id) AS found, count(DISTINCT entity_id) FILTER (verified_level IN ('medium', 'high')) AS sure, length('x') AS n FROM wn")
+@register(f"""WITH {GROUPS}, c AS (SELECT count(DISTINCT entity_id) AS found, count(DISTINCT entity_id) FILTER (verified_level IN ('medium', 'high')) AS sure FROM wn)
+SELECT found, sure, 'Found ' || found || ' distinct businesses for pages; ' || sure || ' have a field verified at medium or high level.' AS start FROM c""")
 def rag08_summary(spark, sf_dir):
     w = _winners(spark, sf_dir).agg(F.count_distinct("entity_id").alias("found"), F.count_distinct(F.when(F.col("verified_level").isin("medium", "high"), F.col("entity_id"))).alias("sure"))
     text = R.summary("pages", F.col("found"), F.col("sure"))
-    return w.select("found", "sure", F.regexp_count(text, F.lit("Found")).cast("long").alias("n"))
+    return w.select("found", "sure", F.regexp_extract(text, r"^.*? level\.", 0).alias("start"))
 
 
 # feeds, caches and sinks
@@ -529,9 +532,10 @@ def src18_latest(spark, sf_dir):
     return P.latest(e.where("fetched_at % 2 = 0"), e.where("fetched_at % 2 = 1"))
 
 
-@register("SELECT '{\"event\":\"business\",\"payload\":{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}}' AS value FROM customer")
+@register("SELECT '{\"event\":\"' || ['business', 'status', 'conflict', 'removed'][c_custkey % 4 + 1] || '\",\"payload\":{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}}' AS value FROM customer")
 def snk01_events(spark, sf_dir):
-    return P.to_events(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "business")
+    kind = F.element_at(F.array(*map(F.lit, ("business", "status", "conflict", "removed"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return P.to_events(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), kind)
 
 
 @register("SELECT c_custkey AS business_key, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS payload, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'r1,r2' WHEN c_custkey % 3 = 0 THEN 'r2' ELSE 'r1' END AS seen, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS created_at FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
@@ -748,7 +752,7 @@ def src20_detail_fallback(spark, sf_dir):
 
 @register(f"WITH {GROUPS} SELECT entity_id, field, '{{\"value\":\"' || verified_level || '\",\"n\":' || evidence_count || '}}' AS report FROM wn")
 def snk02_report_json(spark, sf_dir):
-    return _winners(spark, sf_dir).select("entity_id", "field", F.to_json(F.struct(F.col("verified_level").alias("value"), F.col("evidence_count").alias("n"))).alias("report"))
+    return E.field_reports(_winners(spark, sf_dir))
 
 
 @register("SELECT doc_id, count(*) AS chunks, min(length(chunk)) AS shortest FROM (SELECT doc_id, substr(t, i * 680 + 1, 800) AS chunk FROM (SELECT doc_id, t, unnest(range(CAST(ceil(length(t) / 680.0) AS BIGINT))) AS i FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)) WHERE length(t) > 0) GROUP BY doc_id")
@@ -759,7 +763,7 @@ def snk06_index(spark, sf_dir):
 
 @register("SELECT doc_id, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 350) AS line FROM documents")
 def rag05_answer_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(N.spaced(F.col("text")), 1, 350).alias("line"))
+    return table(spark, sf_dir, "documents").select("doc_id", R.answer_line(F.col("text")).alias("line"))
 
 
 @register(f"WITH {GROUPS}, c AS (SELECT count(*) AS n FROM (SELECT * FROM ev WHERE value <> '' AND field = 'business_name' LIMIT 40)) SELECT (SELECT n FROM c) AS retrieved, count(DISTINCT entity_id) AS found FROM wn")
@@ -770,9 +774,7 @@ def rag14_research_summary(spark, sf_dir):
 
 @register(f"WITH {GROUPS} SELECT entity_id, '{{' || string_agg('\"' || field || '\":\"' || verified_level || '\"', ',' ORDER BY field) || '}}' AS flat FROM wn GROUP BY entity_id")
 def evd02_flat_json(spark, sf_dir):
-    """An entity's fields as one JSON object, keys in order."""
-    pairs = F.sort_array(F.collect_list(F.struct("field", "verified_level")))
-    return _winners(spark, sf_dir).groupBy("entity_id").agg(F.to_json(F.map_from_entries(pairs)).alias("flat"))
+    return E.flat_json(_winners(spark, sf_dir), "verified_level")
 
 
 @register("SELECT c_custkey AS qid, 'gyms' AS category, ['austin texas', 'chennai', 'london', ''][c_custkey % 4 + 1] AS location FROM customer")
@@ -791,7 +793,7 @@ def rag01_embedded_index(spark, sf_dir):
 @register("SELECT c_custkey FROM customer WHERE c_nationkey % 2 = 0 ORDER BY c_custkey LIMIT 200")
 def srt05_early_stop(spark, sf_dir):
     """The first 200 records that pass a gate, in order."""
-    return table(spark, sf_dir, "customer").where(F.col("c_nationkey") % 2 == 0).select("c_custkey").orderBy("c_custkey").limit(200)
+    return P.until_goal(table(spark, sf_dir, "customer"), F.col("c_nationkey") % 2 == 0, 200, "c_custkey").select("c_custkey")
 
 
 # a whole run: two records of each nation with one phone become one, and every second nation has an email
@@ -845,3 +847,39 @@ def join01_alike_pairs(spark, sf_dir):
         same(5, "5550100").alias("l_k_phone"), F.when(k % 5 == 0, "5550100").otherwise("").alias("r_k_phone"), same(7, "s.example").alias("l_k_site"), F.when(k % 7 == 0, "s.example").otherwise("").alias("r_k_site"),
     )
     return D.pair_scores(pairs).select("ord", F.round("name_score", 6).alias("name_score"), F.round("address_score", 6).alias("address_score"), F.round("score", 6).alias("score"))
+
+
+@register("""WITH h AS (SELECT c_custkey AS entity_id, i, c_custkey AS k, (i * 7 + c_custkey) % 5 AS rank FROM customer, range(5) t(i)),
+s AS (SELECT entity_id, rank, CASE i WHEN 0 THEN 0.44 + 0.10 WHEN 1 THEN 0.44 + 0.35 WHEN 2 THEN 0.22 WHEN 3 THEN 0 ELSE 0.44 END + CASE WHEN k % 3 = 0 OR i = 2 THEN 0.25 ELSE 0 END AS score FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, rank) AS rn FROM s WHERE score >= 0.45)
+SELECT entity_id, rank, CAST(score AS DOUBLE) AS score, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= 3""")
+def join11_entity_hits(spark, sf_dir):
+    """Five hits of each entity: on a profile host, on its own, with half its name, with none, with its name alone."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    near = F.when(k % 3 == 0, "in Austin").otherwise("")
+    hit = lambda i, title, snippet, url: F.struct(title.alias("title"), snippet.alias("snippet"), F.lit(url).alias("url"), ((i * 7 + k) % 5).alias("rank"))
+    hits = F.array(hit(0, name, near, "https://justdial.com/x"), hit(1, name, near, "https://own.example/a"), hit(2, F.lit("Customer of Austin"), F.lit(""), "https://z.example/b"), hit(3, F.lit("Other"), near, "https://z.example/c"), hit(4, name, near, "https://z.example/d"))
+    c = table(spark, sf_dir, "customer")
+    rows = c.select(k.alias("entity_id"), F.explode(hits).alias("h")).select("entity_id", "h.*")
+    entities = c.select(k.alias("entity_id"), name.alias("name"), F.lit("https://own.example").alias("website"))
+    return D.entity_hits(entities, rows, F.lit("cafes"), F.lit("austin"), 3).select("entity_id", "rank", "score", "rn")
+
+
+@register("""WITH f AS (SELECT l_suppkey % 5 AS search, l_partkey AS place_id, l_linenumber AS category, l_orderkey AS pos FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY search, place_id ORDER BY category, pos) AS r FROM f),
+n AS (SELECT search, place_id, row_number() OVER (PARTITION BY search ORDER BY category, pos, place_id) AS place_no FROM o WHERE r = 1) SELECT search, place_id, CAST(place_no AS INTEGER) AS place_no FROM n WHERE place_no <= 70""")
+def src09_first_places(spark, sf_dir):
+    """Places of five searches, seen in many pages and categories: each once, the first 70 of a search."""
+    found = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("search"), F.col("l_partkey").alias("place_id"), F.col("l_linenumber").alias("category"), F.col("l_orderkey").alias("pos")).agg(F.lit(0).alias("offset"))
+    return P.first_places(found, 70).select("search", "place_id", "place_no")
+
+
+@register("SELECT c_custkey, CAST(o * 20 AS INTEGER) AS \"offset\" FROM customer, range(4) t(o)")
+def src09_offsets(spark, sf_dir):
+    return P.place_pages(table(spark, sf_dir, "customer").select("c_custkey"), 70)
+
+
+@register("SELECT doc_id, count(*) AS chunks, count(*) FILTER (length(chunk) % 5 <> 0) AS vectors FROM (SELECT doc_id, substr(t, i * 680 + 1, 800) AS chunk FROM (SELECT doc_id, t, unnest(range(CAST(ceil(length(t) / 680.0) AS BIGINT))) AS i FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents)) WHERE length(t) > 0) GROUP BY doc_id")
+def rag13_failed_embeddings(spark, sf_dir):
+    """Chunks whose embedding fails stay in the index without a vector."""
+    rows = R.index(table(spark, sf_dir, "documents"), embed=lambda c: F.when(F.length(c) % 5 != 0, F.array(F.length(c).cast("double"))))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count("embedding").alias("vectors"))

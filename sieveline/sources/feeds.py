@@ -5,6 +5,8 @@ table, and everything here reads payloads from such a table."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,6 +132,38 @@ def first_feed(main: DataFrame, backup: DataFrame, key: str) -> DataFrame:
     return main.unionByName(backup.join(main.select(key).distinct(), key, "left_anti"))
 
 
+def all_feeds(**feeds: DataFrame) -> DataFrame:
+    """Rows of all feeds with `kind`, the name of theirs; none is lost."""
+    return reduce(DataFrame.unionByName, (d.withColumn("kind", F.lit(k)) for k, d in feeds.items()))
+
+
+def fetch_grid(providers: DataFrame, wanted: DataFrame, pages: int) -> DataFrame:
+    """Each provider with each wanted query and page. Providers are a list of a deployment and the queries a run's budget."""
+    return wanted.crossJoin(providers).withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(pages))))
+
+
+def unseen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not among those seen; a null key was never seen."""
+    return rows.join(seen.select(key), key, "left_anti")
+
+
+def place_pages(searches: DataFrame, limit: int, size: int = 20, most: int = 100) -> DataFrame:
+    """searches with `offset`, a row for each page of results below the limit."""
+    return searches.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(max(min(limit, most), 1) - 1), F.lit(size))))
+
+
+def first_places(found: DataFrame, limit: int, search: str = "search", place: str = "place_id", order: tuple[str, ...] = ("category", "offset", "pos")) -> DataFrame:
+    """Different places of a search in the order of its pages, `limit` at most, with `place_no` from 1."""
+    order = (*order, place)
+    once = found.withColumn("_r", F.row_number().over(Window.partitionBy(search, place).orderBy(*order))).where("_r = 1").drop("_r")
+    return once.withColumn("place_no", F.row_number().over(Window.partitionBy(search).orderBy(*order))).where(F.col("place_no") <= limit)
+
+
+def until_goal(records: DataFrame, passes: Column, goal: int, order: str) -> DataFrame:
+    """The first `goal` records in order that pass: a top-k in each task, so no record behind them is moved."""
+    return records.where(passes).orderBy(order).limit(goal)
+
+
 def within_circle(points: DataFrame, lat: float, lon: float, metres: float = 18_000) -> DataFrame:
     """points(lat, lon) within a great-circle distance; a box on the columns prunes first."""
     deg = metres / 111_000
@@ -148,9 +182,9 @@ def geocode_names(location: Column, parent: Column, country: Column, aliases: Co
 # sinks
 
 
-def to_events(rows: DataFrame, event: str) -> DataFrame:
+def to_events(rows: DataFrame, event: str | Column) -> DataFrame:
     """One JSON line a row: the event's name and the row."""
-    return rows.select(F.to_json(F.struct(F.lit(event).alias("event"), F.struct(*rows.columns).alias("payload"))).alias("value"))
+    return rows.select(F.to_json(F.struct((event if isinstance(event, Column) else F.lit(event)).alias("event"), F.struct(*rows.columns).alias("payload"))).alias("value"))
 
 
 def business_key(phone: Column, website: Column, name: Column, address: Column) -> Column:
