@@ -9,7 +9,8 @@ The model is fitted on at most `sample` labelled rows, those of smallest hash: a
 
 Defined results: null and empty texts have all-zero features and are scored like any other; rows
 without usable labels do not teach; without two classes of labels every score is `cut`; an empty
-table gives an empty result; columns other than doc_id and text are never read by the score."""
+table gives an empty result; columns other than doc_id and text are never read by the score, and columns of
+docs named score or predicted are replaced."""
 
 from __future__ import annotations
 
@@ -131,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = 0
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
     got = rows.select("doc_id", "text", "label").mapInArrow(measure, "doc_id long, label int, x array<double>")
-    got = got.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r")).select("r.*").toPandas()  # an id counts once
+    got = got.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r")).orderBy("doc_id").select("r.*").toPandas()  # an id counts once; in order, so that reruns draw the same pairs
     x = np.array(got["x"].tolist(), float).reshape(-1, len(NAMES))
     return bradley_terry(x, got["label"].to_numpy(), cut=cut)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import re
 import tarfile
 import zlib
@@ -231,3 +232,61 @@ def test_media_columns_read_back(spark, tmp_path):
         assert hashlib.sha256(png).hexdigest() == r["digest"] and len(png) == r["length"]
         assert io.open(folder / r["shard"], "rb").read()[r["offset"] :][: r["length"]] == png
     assert media.media_columns(df.limit(0)).count() == 0
+
+
+def plain_quality(text):
+    """The features of quality.NAMES, character by character."""
+    b = text.encode()
+    words = b.split()
+    if not words:
+        return [0.0] * len(quality.NAMES)
+    n, solid = len(words), sum(c not in b" \t\n\x0b\x0c\r" for c in b)
+    upper, digits = sum(65 <= c <= 90 for c in b), sum(48 <= c <= 57 for c in b)
+    letters = upper + sum(97 <= c <= 122 or c >= 192 for c in b)
+    lines = [x for x in b.split(b"\n") if x]
+    top, kinds = max(words.count(w) for w in words), len(set(words))
+    return [
+        sum(chr(c) in "#$%&*+/<=>@[\\]^_`{|}~" for c in b) / solid, b.count(b"!") / n, b.count(b"|") / n, upper / max(letters, 1), digits / solid,
+        sum(words[i] == words[i - 1] for i in range(1, n)) / n, 1 - len(set(lines)) / len(lines), (top - 1) / (n + 10), 1 - (math.log(kinds) / math.log(n) if n > 1 else 1),
+        sum(len(w) <= 3 for w in words) / n, sum(len(w) > 14 for w in words) / n, min(1.0, (b.count(b".") + b.count(b"?")) / n), 1 / (1 + n / 8),
+    ]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="aB9 \n\t!|#.?é\x1c", max_size=60))
+def test_quality_features_against_plain_version(text):
+    assert np.allclose(quality.features(text.encode()), plain_quality(text))
+
+
+def test_op7_against_plain_version(spark):
+    from sieveline.llm.registry import op7_quality_classifier
+
+    small = DATA.replace("0.01", "0.001")
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    m = quality.fit(docs, labels)
+    again = quality.fit(docs.repartition(7), labels)
+    assert (m.weights == again.weights).all() and m.threshold == again.threshold
+    got = {r["doc_id"]: r for r in op7_quality_classifier(spark, small).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        z = [min(8, max(-8, (x - mean) / scale)) for x, mean, scale in zip(plain_quality(r["text"] or ""), m.mean, m.scale, strict=True)]
+        want = 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, m.weights, strict=True)) - m.threshold)) * 3 / 7)
+        g = got[r["doc_id"]]
+        assert abs(g["score"] - want) < 1e-9 and g["predicted"] == int(g["score"] >= 0.7) and g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    clash = quality.score(docs.selectExpr("doc_id", "text", "'x' as score", "1 as predicted"), labels)
+    assert clash.columns == ["doc_id", "text", "score", "predicted"] and dict(clash.dtypes)["score"] == "double"
+
+
+def test_quality_ties_at_the_cut():
+    """Equal texts of both labels: no cut lies between them, and all score exactly the cut."""
+    x = np.tile(quality.features(b"same words here."), (6, 1))
+    assert np.allclose(quality.bradley_terry(x, np.array([1, 0, 1, 0, 1, 0]), pairs=100).score(x), 0.7)
+
+
+def test_clashing_names_are_replaced_or_ignored(spark):
+    pages = spark.createDataFrame([(1, "http://A.com/x", "z", 5), (2, None, "z", 5)], "page_id long, url string, host string, verdict int")
+    got = {r["page_id"]: r for r in urls.judge(pages).collect()}
+    assert (got[1]["host"], got[1]["path"], got[1]["verdict"], got[2]["host"]) == ("a.com", "/x", "allow", "")
+    docs = spark.createDataFrame([(1, "abc", 9), (2, None, 9)], "doc_id long, text string, n_bytes int")
+    assert {r["doc_id"]: r["n_bytes"] for r in media.media_columns(docs).select("doc_id", "n_bytes").collect()} == {1: 3, 2: 0}
