@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import lattice, lmscore, media, mixing, neardup, packing, pii, quality, toxicity, urls
+from sieveline.llm import chat, lattice, lmscore, media, mixing, neardup, packing, pii, quality, toxicity, urls
 from sieveline.llm._shared import ensure_workers
 
 
@@ -70,9 +70,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    escaped = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.digests(chat.read_back(chat.format_conversations(turns.unionByName(escaped))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_minhash_near_dedup, op4_pii, op5_lm_scoring, op6_embedding_near_dedup, op7_quality_classifier, op8_source_mixing, op9_media_columns, op10_toxicity)}
+    return {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_minhash_near_dedup, op4_pii, op5_lm_scoring, op6_embedding_near_dedup, op7_quality_classifier, op8_source_mixing, op9_media_columns, op10_toxicity, op13_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": urls.ORACLE_SQL}
+    return {"op1_url_filters": urls.ORACLE_SQL, "op13_chat_formatting": chat.ORACLE_SQL}
