@@ -54,7 +54,7 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:

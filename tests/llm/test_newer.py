@@ -1,14 +1,20 @@
 """Importance resampling, cross-tokenizer alignment and chat formatting against plain versions."""
 
 import hashlib
+import math
 import random
+import re
+import zlib
+from collections import Counter
 from itertools import groupby
 
+import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sieveline.llm import chat
+from sieveline.llm import align, chat, resample
 
 TURN = "conv_id long, turn long, role string, text string, turns int, formatted string"
 BITS = ["</s>", "[INST]", "[/INST]", "<s>", "[SEP]", "[ROLE] ", " [/ROLE]", "<\\/s>", "<\\\\s>", "[\\INST]", "\\", "<", "[", "]", "a", "é", "\n", " ", "[/SYS]", "SEP]", "/s>", "𝄞"]
@@ -70,3 +76,120 @@ def test_chat_runs_without_python(spark):
     df = chat.digests(chat.read_back(chat.format_conversations(spark.createDataFrame([(1, 0, "user", "a", 0, "")], TURN))))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_resample(docs, target, most, buckets, percent, least, seed):
+    """doc_id -> rows (n_words, n_features, weight, score, rank), in order."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: WORDS.findall((t or "").translate(lower))
+    found = lambda t: [zlib.crc32(" ".join(w[i : i + k]).encode()) % buckets for w in [words(t)] for k in range(1, most + 1) for i in range(len(w) - k + 1)]
+    s, t = Counter(b for _, x in docs for b in found(x)), Counter(b for x in target for b in found(x))
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + buckets) / ((s[b] + 1) * (t.total() + buckets))))
+    rows = []
+    for doc, text in docs:
+        f = found(text)
+        weight = sum(map(gain, f)) // len(f) if f else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if doc is None else doc}".encode()).hexdigest()[:8], 16)
+        rows.append([doc, len(words(text)), len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))])
+    able = sorted((r for r in rows if r[1] >= least), key=lambda r: (-r[4], r[0] is None, r[0] or 0))
+    ranks = {id(r): i + 1 for i, r in enumerate(able[: percent * len(able) // 100])}
+    return sorted(((*r, ranks.get(id(r))) for r in rows), key=str)
+
+
+@pytest.mark.parametrize(("most", "percent", "least"), [(1, 10, 20), (3, 50, 2), (2, 100, 0)])
+def test_resampling_is_the_plain_one(spark, most, percent, least, monkeypatch):
+    rng = random.Random(most)
+    words = ["a", "B", "été", "1x", "zz", "Ａ", " ", "x\x00y", "it's", "q@r", "", "\n"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(i, text(rng.randint(0, 60))) for i in range(150)] + [(None, "a a B"), (None, None), (900, ""), (901, "a" * 5000), (902, text(9000)), (903, None)]
+    target = [text(30) for _ in range(9)] + [None, ""]
+    df = spark.createDataFrame([(i, t, 0, "k") for i, t in docs], "doc_id long, text string, rank int, kind string").repartition(4)
+    aim = spark.createDataFrame([(t,) for t in target], "text string")
+    monkeypatch.setattr(resample, "PIECE", 700)
+    monkeypatch.setattr(resample, "CHUNK", 3000)
+    got = resample.resample(df, aim, resample.Features(most, 97), percent, least, 5)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == plain_resample(docs, target, most, 97, percent, least, 5)
+
+
+def test_resampling_of_nothing_and_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, "a b " * 20)] * 6 + [(2, "a " * 30)] * 4, "doc_id long, text string").repartition(3)
+    none = df.where("doc_id is null").select("text")
+    got = resample.resample(df, none, percent=50).collect()
+    assert sorted(r["rank"] for r in got if r["rank"]) == [1, 2, 3, 4, 5] and len({(r["doc_id"], r["score"]) for r in got}) == 2
+    assert resample.resample(df.where("false"), df.select("text")).count() == 0
+
+
+def test_pieces_are_cut_between_words():
+    text = "aa bb-cc  dd " * 500
+    for most in (1, 3):
+        parts = list(resample.pieces(text, most, 100))
+        assert "".join(own for own, _ in parts) == text and len(parts) > 50
+        after = [len(WORDS.findall(tail)) for _, tail in parts]
+        assert after[-1] == 0 and set(after[:-2]) == {most - 1}
+        assert sum(len(WORDS.findall(own)) for own, _ in parts) == 2000
+    assert list(resample.pieces("x" * 1000, 2, 100)) == [("x" * 1000, "")]
+
+
+def plain_align(docs, one, two):
+    """Rows of the contract from sets of byte ends."""
+    per, pairs = [], Counter()
+    for doc, text in docs:
+        want = b" " + (text or "").encode()
+        a, b = (one.encode([" " + (text or "")])[0], two.encode([text or ""])[0]) if text else ([], [])
+        if not text or b"".join(one.pieces[i] for i in a) != want or b"".join(two.pieces[i] for i in b) != want:
+            per.append((doc, 0, 0, 0, [], ""))
+            continue
+        ends = lambda side, ids: [sum(len(side.pieces[i]) for i in ids[: k + 1]) for k in range(len(ids))]
+        ea, eb = ends(one, a), ends(two, b)
+        links = [(x, y) for x, p in zip(a, ea, strict=True) for y, q in zip(b, eb, strict=True) if p == q]
+        groups, low = [], 0
+        for end in sorted(set(ea) & set(eb)):
+            part = lambda ids, e: ",".join(str(i) for i, p in zip(ids, e, strict=True) if low < p <= end)  # noqa: E731, B023
+            groups.append(f"{part(a, ea)}|{part(b, eb)}")
+            low = end
+        pairs.update(links)
+        per.append((doc, len(a), len(b), len(groups), links, hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    most = {}
+    for (_, y), n in pairs.items():
+        most[y] = max(most.get(y, 0), n)
+    return sorted(((d, na, nb, g, len(ls), sum(pairs[x] == most[x[1]] for x in ls), sum(pairs[x] for x in ls), h) for d, na, nb, g, ls, h in per), key=str)
+
+
+A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def sides():
+    return align.Side.at(A, "byte_level"), align.Side.at(B, "pieces")
+
+
+ODD = [None, "", " ", "a", "  a  b\n\n\tc ", "<|endoftext|> x </s> <s> <0x0A> <unk>", "x▁y", "▁", "naïve — 𝄞𝄞 日本語テキスト", "\x00\x01", "a" * 3000, " " * 2000 + "b", "it's they'll 123 4567", "﻿z​", "é é ﬁ ①", "\r\n\r\n"]
+
+
+def test_alignment_is_the_plain_one(spark, sides, monkeypatch):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(25).collect()]
+    docs = [(i, (t or "")[:900]) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(ODD)] + [(None, "of the"), (7, "of the"), (7, "of the")]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], "doc_id long, text string, block int, kind string").repartition(3)
+    want = plain_align(docs, *sides)
+    for size in (align.BLOCK_CHARS, 2000):
+        monkeypatch.setattr(align, "BLOCK_CHARS", size)
+        got = align.align(df, A, B, with_groups=True)
+        assert sorted((tuple(r)[:8] for r in got.collect()), key=str) == want
+        assert all(hashlib.sha256(r["groups"].encode()).hexdigest() == r["groups_sha256"] if r["n_a"] else r["groups"] == r["groups_sha256"] == "" for r in got.collect())
+    assert align.align(df.where("false"), A, B).count() == 0
+
+
+def test_both_encoders_of_a_vocabulary_agree(sides):
+    rng = random.Random(1)
+    texts = [" " + t for t in ODD if t] + ["".join(rng.choice(["a", "B ", " ", "\n", "'s", "é", "𝄞", "9", ".", "ſ", " ", "的", "\t"]) for _ in range(200)) for _ in range(300)]
+    plain = [sides[0].slow.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sides[0].fast is not None and sides[0].encode(texts) == plain
+
+
+def test_ends_are_merged():
+    assert align.merge_ends([1, 3, 4], [2, 3, 4]) == ([(0, 2, 0, 2), (2, 3, 2, 3)], [(1, 1), (2, 2)])
+    assert align.merge_ends([2, 2, 3], [2, 3, 3]) == ([(0, 2, 0, 1), (2, 3, 1, 3)], [(0, 0), (1, 0), (2, 1), (2, 2)])
+    assert align.merge_ends([], []) == ([], [])
