@@ -184,8 +184,14 @@ def _block(rows: list[tuple], block: int, sides: tuple[Side, Side], with_groups:
 
 
 def _shaped(df: pd.DataFrame, kind: str, block: int) -> pd.DataFrame:
+    """All columns of TOLD: what df lacks is null; texts and bytes as plain objects."""
     df["kind"], df["block"] = kind, block
-    return df.reindex(columns=[c.split()[0] for c in TOLD.split(", ")]).astype({c: "Int64" for c in ("at", "doc_id", "n_a", "n_b", "n_groups", "n_links", "a", "b", "n")})
+    for name, kind_of in (c.split() for c in TOLD.split(", ")):
+        if name not in df:
+            df[name] = pd.Series([None] * len(df), dtype="Int64" if kind_of in ("int", "long") else object)
+        else:
+            df[name] = df[name].astype("Int64" if kind_of in ("int", "long") else object)
+    return df
 
 
 def align_blocks(docs: DataFrame, a: str, b: str, with_groups: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import chat, lattice, lmscore, media, mixing, neardup, packing, pii, quality, toxicity, urls
+from sieveline.llm import align, chat, lattice, lmscore, media, mixing, neardup, packing, pii, quality, resample, toxicity, urls
 from sieveline.llm._shared import ensure_workers
 
 
@@ -70,6 +70,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = resample.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), resample.Features(1, 10_000), percent=10, least_words=20, seed=2024)
+    return got.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = align.align(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_best_a")
+
+
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     escaped = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -77,8 +87,8 @@ def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_minhash_near_dedup, op4_pii, op5_lm_scoring, op6_embedding_near_dedup, op7_quality_classifier, op8_source_mixing, op9_media_columns, op10_toxicity, op13_chat_formatting)}
+    return {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_minhash_near_dedup, op4_pii, op5_lm_scoring, op6_embedding_near_dedup, op7_quality_classifier, op8_source_mixing, op9_media_columns, op10_toxicity, op11_importance_resampling, op12_tokenizer_alignment, op13_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": urls.ORACLE_SQL, "op13_chat_formatting": chat.ORACLE_SQL}
+    return {"op1_url_filters": urls.ORACLE_SQL, "op11_importance_resampling": resample.ORACLE_SQL, "op13_chat_formatting": chat.ORACLE_SQL}
