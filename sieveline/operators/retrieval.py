@@ -1,4 +1,4 @@
-"""Evidence retrieval: chunks, dense and lexical top-k, answers and sessions."""
+"""Evidence retrieval: chunks, dense and lexical top-k, answers."""
 
 from __future__ import annotations
 
@@ -86,36 +86,5 @@ def evidence_top(evidence: DataFrame, limit: int = 40, fields: tuple[str, ...] =
     return rows.orderBy(F.desc("reliability"), F.desc(N.filled(F.col("value")) != ""), "entity_id", "ord", "field").limit(limit)
 
 
-def sessions(log: DataFrame) -> DataFrame:
-    """log(query, run_id, at, chunk_count) -> a session for each query, its latest run, uses counted."""
-    q = log.withColumn("query", F.lower(F.trim("query")))
-    return q.groupBy("query").agg(F.max_by("run_id", "at").alias("run_id"), F.min("at").alias("created_at"), F.max("at").alias("last_used"), F.count("*").alias("access_count"), F.max_by("chunk_count", "at").alias("chunk_count"))
-
-
-def lru(rows: DataFrame, most: int = 3) -> DataFrame:
-    """The sessions that stay: the `most` last used."""
-    return rows.orderBy(F.desc("last_used"), "run_id").limit(most)
-
-
-def touch(rows: DataFrame, run_id: str | Column, now: Column) -> DataFrame:
-    hit = F.col("run_id") == run_id
-    return rows.withColumn("last_used", F.when(hit, now).otherwise(F.col("last_used"))).withColumn("access_count", F.when(hit, F.col("access_count") + 1).otherwise(F.col("access_count")))
-
-
-def resolve(rows: DataFrame, run_id: str | None, query: str | None) -> DataFrame:
-    """(run_id, found_by): the id given, else the session of the query, else the current one, else none."""
-    given = F.lit(run_id).cast("string")
-    run = F.col("run_id").cast("string")
-    by_query = F.max(F.when(F.col("query") == F.lower(F.trim(F.lit(query or ""))), run))
-    current = F.max_by(run, "last_used")
-    got = rows.agg(by_query.alias("q"), current.alias("c"))
-    return got.select(F.coalesce(given, "q", "c").alias("run_id"), F.when(given.isNotNull(), "id").when(F.col("q").isNotNull(), "query").when(F.col("c").isNotNull(), "current").otherwise("none").alias("found_by"))
-
-
-def fifo(rows: DataFrame, most: int = 3) -> DataFrame:
-    """The sessions a first-in-first-out store keeps."""
-    return rows.orderBy(F.desc("created_at"), "run_id").limit(most)
-
-
 def summary(query: str, n_entities: Column, n_verified: Column) -> Column:
     return F.format_string("Found %d distinct businesses for %s; %d have a field verified at medium or high level. Only retrieved public evidence is used, and conflicts are shown.", n_entities, F.lit(query), n_verified)

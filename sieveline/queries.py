@@ -15,6 +15,8 @@ from sieveline.operators import evidence as E
 from sieveline.operators import extract as X
 from sieveline.operators import filters as L
 from sieveline.operators import retrieval as R
+from sieveline.operators import sessions
+from sieveline.operators.sessions import Replay
 from sieveline.plans import search as S
 from sieveline.plans.dims import GROUP_ORDER
 from sieveline.sources import feeds as P
@@ -386,37 +388,80 @@ def rag04_dense_answer(spark, sf_dir):
     return R.answer(dense, R.lexical_top(docs, QUESTION, 6, "doc_id")).withColumn("sources", F.array_join("sources", ","))
 
 
-SESSIONS = "s AS (SELECT 'u' || user_id AS query, arg_max(event_id, ts) AS run_id, min(ts) AS created_at, max(ts) AS last_used, count(*) AS access_count FROM events GROUP BY 1)"
+# session stores: the SQL replays the log one entry at a time; a state's lists go from the first to go to the last
 
+def _replayed(users: str, kind: str, fifo: bool = False) -> str:
+    """CTEs log and run: the store of three sessions after each entry of events."""
+    renewed = "s" if fifo else "list_append(list_filter(s, lambda x: x <> q), q)"
+    return f"""RECURSIVE log AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, event_id, ts, 'u' || {users} AS q, {kind} AS kind FROM events),
+run AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS s, '' AS outcome, NULL::VARCHAR AS evicted
+ UNION ALL SELECT l.i, CASE WHEN kind = 'clear' THEN [] WHEN list_contains(s, q) THEN {renewed} WHEN kind = 'register' THEN list_append(CASE WHEN len(s) >= 3 THEN s[2:] ELSE s END, q) ELSE s END,
+  CASE WHEN kind = 'clear' THEN 'cleared' WHEN list_contains(s, q) THEN CASE kind WHEN 'register' THEN 'updated' WHEN 'lookup' THEN 'hit' ELSE 'touched' END WHEN kind = 'register' THEN 'registered' ELSE 'missed' END,
+  CASE WHEN kind = 'register' AND NOT list_contains(s, q) AND len(s) >= 3 THEN s[1] END
+ FROM run JOIN log l ON l.i = run.i + 1),
+told AS (SELECT * FROM run JOIN log USING (i)),
+s AS (SELECT q AS query, arg_max(event_id, i) FILTER (outcome IN ('registered', 'updated')) AS run_id, min(ts) AS created_at, max(ts) AS last_used, count(*) AS access_count
+ FROM told t WHERE q IN (SELECT unnest(s) FROM run WHERE i = (SELECT max(i) FROM run)) AND outcome IN ('registered', 'updated'{"" if fifo else ", 'hit', 'touched'"})
+ AND i >= (SELECT max(i) FROM told o WHERE o.q = t.q AND outcome = 'registered') GROUP BY q)"""
 
-def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return R.sessions(e.select(F.concat(F.lit(" U"), F.col("user_id")).alias("query"), F.col("event_id").alias("run_id"), F.col("ts").alias("at"), F.lit(1).alias("chunk_count")))
 
+KIND = "CASE WHEN event_id % 997 = 0 THEN 'clear' WHEN event_type IN ('signup', 'purchase') THEN 'register' WHEN event_type = 'click' THEN 'touch' ELSE 'lookup' END"
 
-@register(f"WITH {SESSIONS} SELECT query, run_id, access_count FROM s ORDER BY last_used DESC, run_id LIMIT 3")
+
+def _replay(spark: SparkSession, sf_dir: str, users: str = "user_id", kind: str = "'register'", rule: str = "lru") -> Replay:
+    """The store after events, an entry each: a user's query is his session; touches name its run."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("ts").alias("at"), F.expr(kind).alias("kind"), F.expr(f"concat(' U', {users})").alias("query"), F.expr(f"concat('r', {users})").alias("run_id"), F.lit(1).alias("chunk_count"), "event_id")
+    return Replay(e, 3, rule)
+
+
+def _sessions(spark: SparkSession, sf_dir: str, users: str = "user_id") -> DataFrame:
+    """Live sessions whose runs are the entries that registered them."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("ts").alias("at"), F.lit("register").alias("kind"), F.expr(f"concat(' U', {users})").alias("query"), F.col("event_id").alias("run_id"), F.lit(1).alias("chunk_count"))
+    return Replay(e).sessions().withColumn("run_id", F.col("run_id").cast("long"))
+
+
+@register(f"WITH {_replayed('user_id', chr(39) + 'register' + chr(39))} SELECT query, run_id, access_count, created_at, last_used FROM s")
 def rag09_lru(spark, sf_dir):
-    return R.lru(_sessions(spark, sf_dir)).select("query", "run_id", "access_count")
+    return _sessions(spark, sf_dir).select("query", "run_id", "access_count", "created_at", "last_used")
+
 
+@register(f"WITH {_replayed('user_id % 7', KIND)} SELECT event_id, outcome, evicted FROM told")
+def rag09_outcomes(spark, sf_dir):
+    return _replay(spark, sf_dir, "user_id % 7", KIND).outcomes().select("event_id", "outcome", F.when(F.col("outcome") == "registered", F.get("evicted", F.lit(0)).getField("query")).alias("evicted"))
 
-@register(f"WITH {SESSIONS}, t AS (SELECT * REPLACE (CASE WHEN query = 'u1' THEN access_count + 1 ELSE access_count END AS access_count) FROM s) SELECT query, access_count FROM t")
+
+@register(f"WITH {_replayed('user_id % 7', KIND)} SELECT query, access_count, created_at, last_used FROM s")
+def rag10_listed(spark, sf_dir):
+    return _replay(spark, sf_dir, "user_id % 7", KIND).sessions().select("query", "access_count", "created_at", "last_used")
+
+
+@register(f"WITH {_replayed('user_id % 4', chr(39) + 'register' + chr(39))}, t AS (SELECT * REPLACE (CASE WHEN query = 'u1' OR (SELECT count(*) FROM s WHERE query = 'u1') = 0 AND last_used = (SELECT max(last_used) FROM s) THEN access_count + 1 ELSE access_count END AS access_count) FROM s) SELECT query, access_count FROM t")
 def rag10_touch(spark, sf_dir):
-    rows = _sessions(spark, sf_dir)
-    found = R.resolve(rows, None, "U1").select(F.col("run_id").alias("found"))  # one row
-    return R.touch(rows.crossJoin(found), F.col("found"), F.current_timestamp().cast("timestamp_ntz")).select("query", "access_count")
+    """One more use of the session of u1, or of the current one where u1 has none."""
+    rows = _sessions(spark, sf_dir, "user_id % 4")
+    found = sessions.resolve(rows, None, "U1").select(F.col("run_id").alias("found"))  # one row
+    return sessions.touch(rows.crossJoin(found), F.col("found"), F.current_timestamp().cast("timestamp_ntz")).select("query", "access_count")
 
 
-@register(f"WITH {SESSIONS} SELECT query, run_id FROM s ORDER BY created_at DESC, run_id LIMIT 3")
+@register(f"WITH {_replayed('user_id', chr(39) + 'register' + chr(39), True)} SELECT query, run_id, created_at, last_used FROM s")
 def rag11_fifo(spark, sf_dir):
-    return R.fifo(_sessions(spark, sf_dir)).select("query", "run_id")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("ts").alias("at"), F.lit("register").alias("kind"), F.expr("concat('U', user_id)").alias("query"), F.col("event_id").alias("run_id"), F.lit(1).alias("chunk_count"))
+    return Replay(e, 3, "fifo").sessions().select("query", F.col("run_id").cast("long").alias("run_id"), "created_at", "last_used")
+
+
+@register(f"WITH {_replayed('user_id % 7', KIND, True)} SELECT event_id, outcome, evicted FROM told")
+def rag11_outcomes(spark, sf_dir):
+    return _replay(spark, sf_dir, "user_id % 7", KIND, "fifo").outcomes().select("event_id", "outcome", F.when(F.col("outcome") == "registered", F.get("evicted", F.lit(0)).getField("query")).alias("evicted"))
 
 
-@register(f"""WITH {SESSIONS} SELECT 'given' AS way, 'r9' AS run_id, 'id' AS found_by UNION ALL SELECT 'by query', (SELECT CAST(run_id AS VARCHAR) FROM s WHERE query = 'u1'), 'query'
-UNION ALL SELECT 'unknown query', (SELECT CAST(arg_max(run_id, last_used) AS VARCHAR) FROM s), 'current' UNION ALL SELECT 'no session', NULL, 'none'""")
+@register(f"""WITH {_replayed('user_id % 4', chr(39) + 'register' + chr(39))}, asked AS (SELECT 'u' || unnest(range(4)) AS query), c AS (SELECT CAST(arg_max(run_id, last_used) AS VARCHAR) AS run_id FROM s)
+SELECT 'given' AS way, 'r9' AS run_id, 'id' AS found_by UNION ALL SELECT a.query, coalesce(CAST(s.run_id AS VARCHAR), c.run_id), CASE WHEN s.run_id IS NULL THEN 'current' ELSE 'query' END FROM asked a CROSS JOIN c LEFT JOIN s USING (query)
+UNION ALL SELECT 'unknown query', c.run_id, 'current' FROM c UNION ALL SELECT 'no session', NULL, 'none'""")
 def rag12_resolve(spark, sf_dir):
-    rows = _sessions(spark, sf_dir)
-    ways = {"given": (rows, "r9", " U1 "), "by query": (rows, None, " U1 "), "unknown query": (rows, None, "nobody"), "no session": (rows.where("query = ''"), None, "U1")}
-    found = {way: R.resolve(*asked).select(F.col("run_id").cast("string").alias("run_id"), "found_by") for way, asked in ways.items()}
+    """Three of the four queries have a live session, the fourth falls back to the current one."""
+    rows = _sessions(spark, sf_dir, "user_id % 4")
+    ways = {"given": (rows, "r9", " U1 "), "unknown query": (rows, None, "nobody"), "no session": (rows.where("query = ''"), None, "U1")} | {f"u{i}": (rows, None, f" U{i} ") for i in range(4)}
+    found = {way: sessions.resolve(*asked).select(F.col("run_id").cast("string").alias("run_id"), "found_by") for way, asked in ways.items()}
     return P.all_feeds(**found).withColumnRenamed("kind", "way")
 
 
