@@ -45,12 +45,13 @@ def byte_characters() -> dict[str, int]:
 
 
 class Side:
-    """A tokenizer: ids of texts, and each id's bytes, their number and its decimal form."""
+    """A tokenizer: ids of texts, and each id's bytes, their number, and its decimal form."""
 
     def __init__(self, pieces: list[bytes]):
         self.lengths = np.array([len(p) for p in pieces], np.int64)
-        self.pieces = np.array([*pieces, b""], object)[:-1]
-        self.names = [str(i) for i in range(len(pieces))]
+        self.pieces = pieces
+        names = [str(i) for i in range(len(pieces))]
+        self.cells, self.digits = _cells(names), np.array(list(map(len, names)))
 
     @staticmethod
     def at(path: str, kind: str) -> Side:
@@ -141,45 +142,84 @@ def merge_ends(a: list[int], b: list[int]) -> tuple[list[tuple[int, int, int, in
     return groups, links
 
 
-def _written(groups: list[tuple[int, int, int, int]], a: list[str], b: list[str]) -> str:
-    """a1,a2|b1;a3|b2,b3: the ids of each group in order."""
-    return ";".join([f"{a[p]}|{b[r]}" if q - p == 1 and s - r == 1 else f"{','.join(a[p:q])}|{','.join(b[r:s])}" for p, q, r, s in groups])
+def merge_runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """merge_ends for strictly rising ends: the places (in a, in b) of the ends they share. Both lists one after the other are two
+    rising runs, which a stable sort merges in one pass, as two pointers would, equal ends next to each other."""
+    order = np.argsort(np.concatenate((a, b)), kind="stable")
+    ends = np.concatenate((a, b))[order]
+    at = np.flatnonzero(ends[1:] == ends[:-1])
+    return order[at], order[at + 1] - len(a)
+
+
+def _cells(names: list[str]) -> np.ndarray:
+    """Each name as bytes with a place for the sign after it, padded by zeros."""
+    wide = max(map(len, names)) + 1
+    out = np.zeros((len(names), wide), np.uint8)
+    for i, name in enumerate(names):
+        out[i, : len(name)] = np.frombuffer(name.encode(), np.uint8)
+    return out
+
+
+def _written(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, sides: tuple[Side, Side]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends): `a1,a2|b1;a3|b2,b3;` for the ids a and b whose groups end at at_a and at_b, and where each group's text ends."""
+    last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+    last_a[at_a] = last_b[at_b] = True
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    place_a = np.arange(len(a)) + np.concatenate(([0], at_b + 1))[group_a]  # after the b of the groups before
+    place_b = np.arange(len(b)) + (at_a + 1)[group_b]  # after the a of its own group
+    wide = max(s.cells.shape[1] for s in sides)
+    text = np.zeros((len(a) + len(b), wide), np.uint8)
+    for place, ids, side, last, sign in ((place_a, a, sides[0], last_a, b"|"), (place_b, b, sides[1], last_b, b";")):
+        rows = np.zeros((len(ids), wide), np.uint8)
+        rows[:, : side.cells.shape[1]] = side.cells[ids]
+        rows[np.arange(len(ids)), side.digits[ids]] = np.where(last, sign[0], b","[0])
+        text[place] = rows
+    kept = text != 0
+    lengths = np.cumsum(kept.sum(1))
+    return text[kept], lengths[place_b[at_b]]
 
 
 def _block(rows: list[tuple], block: int, sides: tuple[Side, Side], with_groups: bool) -> Iterator[pd.DataFrame]:
     """The rows of one block of (doc_id, text)."""
     one, two = sides
-    ids_a = one.encode([" " + t for _, t in rows])
-    ids_b = two.encode([t for _, t in rows])
-    told, pairs, where = [], [], []
-    for k, (doc, text) in enumerate(rows):
-        a, b = ids_a[k], ids_b[k]
-        ids_a[k] = ids_b[k] = None
+    texts = [t for _, t in rows]
+    ids_a, ids_b = one.encode([" " + t for t in texts]), two.encode(texts)
+    good = np.zeros(len(rows), bool)
+    for k, text in enumerate(texts):
         want = b" " + text.encode()
-        if not text or b"".join(one.pieces[a].tolist()) != want or b"".join(two.pieces[b].tolist()) != want:
-            told.append((k, doc, 0, 0, 0, 0, "", ""))
-            continue
-        groups, links = merge_ends(np.cumsum(one.lengths[a]).tolist(), np.cumsum(two.lengths[b]).tolist())
-        text_of = _written(groups, [one.names[i] for i in a], [two.names[i] for i in b])
-        at = np.array(links, np.int64).reshape(-1, 2)
-        pairs.append(np.array(a, np.int64)[at[:, 0]] << 32 | np.array(b, np.int64)[at[:, 1]])
-        where.append(np.full(len(at), k, np.int32))
-        told.append((k, doc, len(a), len(b), len(groups), len(links), hashlib.sha256(text_of.encode()).hexdigest(), text_of if with_groups else ""))
-    cols = ["at", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups"]
-    yield _shaped(pd.DataFrame(told, columns=cols), "document", block)
-    if not pairs:
+        good[k] = bool(text) and b"".join(map(one.pieces.__getitem__, ids_a[k])) == want and b"".join(map(two.pieces.__getitem__, ids_b[k])) == want
+    flat = lambda ids: np.fromiter((x for k in np.flatnonzero(good).tolist() for x in ids[k]), np.int64)
+    many = lambda ids: np.array([len(x) for x in ids], np.int64) * good
+    n_a, n_b, a, b = many(ids_a), many(ids_b), flat(ids_a), flat(ids_b)
+    del ids_a, ids_b
+    # a document's ends go on from those before it: both sides of it are as long
+    ends_a, ends_b = np.cumsum(one.lengths[a]), np.cumsum(two.lengths[b])
+    doc_a, doc_b = np.repeat(np.arange(len(rows)), n_a), np.repeat(np.arange(len(rows)), n_b)
+    if (one.lengths[a] > 0).all() and (two.lengths[b] > 0).all():
+        group_a, group_b = link_a, link_b = merge_runs(ends_a, ends_b)
+    else:  # a vocabulary with tokens of no bytes
+        groups, links = merge_ends(ends_a.tolist(), ends_b.tolist())
+        group_a, group_b = np.array([(q - 1, s - 1) for _, q, _, s in groups], np.int64).reshape(-1, 2).T
+        link_a, link_b = np.array(links, np.int64).reshape(-1, 2).T
+    text, cuts = _written(a, b, group_a, group_b, sides)
+    n_groups, n_links = np.bincount(doc_a[group_a], minlength=len(rows)), np.bincount(doc_a[link_a], minlength=len(rows))
+    upto = np.concatenate(([0], cuts))[np.concatenate(([0], np.cumsum(n_groups)))].tolist()
+    said = [text[x : max(x, y - 1)].tobytes() for x, y in zip(upto, upto[1:], strict=False)]  # without the last sign
+    digests = [hashlib.sha256(x).hexdigest() if ok else "" for x, ok in zip(said, good.tolist(), strict=True)]
+    told = {"at": np.arange(len(rows)), "doc_id": [d for d, _ in rows], "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digests}
+    yield _shaped(pd.DataFrame(told | ({"groups": [x.decode() for x in said]} if with_groups else {})), "document", block)
+    if not len(link_a):
         return
     # equal (pair, document) are counted, then each pair's documents are one row
-    pair, doc = np.concatenate(pairs), np.concatenate(where)
-    kinds, which = np.unique(pair, return_inverse=True)
-    held, times = np.unique(which.astype(np.int64) * len(rows) + doc, return_counts=True)
+    kinds, which = np.unique(a[link_a] << 32 | b[link_b], return_inverse=True)
+    held, times = np.unique(which.astype(np.int64) * len(rows) + doc_a[link_a], return_counts=True)
     which, doc = np.divmod(held, len(rows))
     cuts = np.searchsorted(which, np.arange(len(kinds) + 1))
-    docs, many = doc.astype("<u2").tobytes(), times.astype("<u4").tobytes()
+    docs, many_times = doc.astype("<u2").tobytes(), times.astype("<u4").tobytes()
     edges = cuts.tolist()
     link = pd.DataFrame({"a": kinds >> 32, "b": kinds & 0xFFFFFFFF, "n": np.add.reduceat(times, cuts[:-1])})
     link["docs"] = [docs[2 * x : 2 * y] for x, y in zip(edges, edges[1:], strict=False)]
-    link["times"] = [many[4 * x : 4 * y] for x, y in zip(edges, edges[1:], strict=False)]
+    link["times"] = [many_times[4 * x : 4 * y] for x, y in zip(edges, edges[1:], strict=False)]
     yield _shaped(link, "links", block)
 
 

@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 from itertools import groupby
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -193,3 +195,28 @@ def test_ends_are_merged():
     assert align.merge_ends([1, 3, 4], [2, 3, 4]) == ([(0, 2, 0, 2), (2, 3, 2, 3)], [(1, 1), (2, 2)])
     assert align.merge_ends([2, 2, 3], [2, 3, 3]) == ([(0, 2, 0, 1), (2, 3, 1, 3)], [(0, 0), (1, 0), (2, 1), (2, 2)])
     assert align.merge_ends([], []) == ([], [])
+    rng = random.Random(2)
+    for n in (0, 1, 5, 40, 300):
+        a, b = (sorted(rng.sample(range(1, 400), n)) for _ in range(2))
+        ga, gb = align.merge_runs(np.array(a, np.int64), np.array(b, np.int64))
+        assert list(zip(ga.tolist(), gb.tolist(), strict=True)) == align.merge_ends(a, b)[1]
+
+
+def test_tokens_without_bytes(sides):
+    """Each side's vocabulary gets a token of no bytes, which then ends where the one before it does."""
+
+    class Odd(align.Side):
+        def __init__(self, side):
+            super().__init__([*side.pieces, b""])
+            self.side = side
+
+        def encode(self, texts):
+            return [[x for i, t in enumerate(ids) for x in ([t, len(self.pieces) - 1] if i % 3 == 0 else [t])] for ids in self.side.encode(texts)]
+
+    odd = Odd(sides[0]), Odd(sides[1])
+    docs = [(i, t) for i, t in enumerate(["of the people", "", None, "a  b", "x▁y", "it's 12"])]
+    per = plain_align(docs, *odd)
+    got = pd.concat(align._block([(d, t or "") for d, t in docs], 0, odd, False))
+    rows = got[got["kind"] == "document"]
+    assert [tuple(r) for r in rows[["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]].to_numpy().tolist()] == [(*r[:5], r[7]) for r in per]
+    assert got["n"].sum() == rows["n_links"].sum() > rows["n_groups"].sum()
