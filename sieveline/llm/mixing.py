@@ -232,14 +232,17 @@ def mix_blocks(docs: DataFrame, **how) -> DataFrame:
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus, in the columns of docs: a row for each text and pass, its text the words taken
     in that pass (the text itself where that is all of them) and n_chars, if there, their length."""
+    # rows of equal id, text and source are interchangeable, others are not: numbers run inside these three
     got = takes(docs, **how).where("taken > 0")
-    same = Window.partitionBy("doc_id", "text_hash").orderBy("source")
-    got = got.withColumn("__sv_n", F.row_number().over(same)).select("doc_id", "text_hash", "__sv_n", "size", F.explode(whole(F.col("segments"), F.col("size"))).alias("__sv_take"))
+    got = got.withColumn("__sv_n", F.row_number().over(Window.partitionBy("doc_id", "text_hash", "source").orderBy("taken")))
+    got = got.select(F.col("doc_id").alias("__sv_id"), F.col("text_hash").alias("__sv_h"), F.col("source").alias("__sv_source"), "__sv_n", F.col("size").alias("__sv_size"), F.explode(whole(F.col("segments"), F.col("size"))).alias("__sv_take"))
     own = docs.columns
-    rows = docs.withColumn("__sv_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    rows = rows.withColumn("__sv_n", F.row_number().over(Window.partitionBy("doc_id", "__sv_h").orderBy("source")))
-    got = got.select(F.col("doc_id").alias("__sv_id"), F.col("text_hash").alias("__sv_h"), "__sv_n", F.col("size").alias("__sv_size"), "__sv_take")
-    j = rows.join(got, (rows["doc_id"].eqNullSafe(got["__sv_id"])) & (rows["__sv_h"] == got["__sv_h"]) & (rows["__sv_n"] == got["__sv_n"])).select(*[rows[c] for c in own], "__sv_size", "__sv_take")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # texts without words, which nothing is taken of, may be many of one kind
+    rows = docs.where(text.rlike(r"[^\x20\x09-\x0D]")).withColumn("__sv_h", F.xxhash64(text))
+    rows = rows.withColumn("__sv_n", F.row_number().over(Window.partitionBy("doc_id", "__sv_h", "source").orderBy("source")))
+    same = rows["doc_id"].cast("long").eqNullSafe(got["__sv_id"]) & (rows["__sv_h"] == got["__sv_h"]) & rows["source"].cast("string").eqNullSafe(got["__sv_source"]) & (rows["__sv_n"] == got["__sv_n"])
+    j = rows.join(got, same).select(*[rows[c] for c in own], "__sv_size", "__sv_take")
 
     @F.pandas_udf(StringType())
     def cut(text: pd.Series, first: pd.Series, last: pd.Series, size: pd.Series) -> pd.Series:

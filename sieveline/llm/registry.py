@@ -57,7 +57,9 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.takes(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    drawn = lambda field: F.size(F.array_distinct(F.transform("segments", lambda s: s[field]))).cast("long")
+    got = mixing.takes(_read(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "source_size", "target", "taken", "source", F.when(F.col("taken") > 0, drawn("shard")).otherwise(0).alias("n_shards"), F.when(F.col("taken") > 0, drawn("slot")).otherwise(0).alias("n_slots"))
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sieveline.llm import align, chat, resample
+from sieveline.llm import align, chat, mixing, resample
 
 TURN = "conv_id long, turn long, role string, text string, turns int, formatted string"
 BITS = ["</s>", "[INST]", "[/INST]", "<s>", "[SEP]", "[ROLE] ", " [/ROLE]", "<\\/s>", "<\\\\s>", "[\\INST]", "\\", "<", "[", "]", "a", "é", "\n", " ", "[/SYS]", "SEP]", "/s>", "𝄞"]
@@ -220,3 +220,15 @@ def test_tokens_without_bytes(sides):
     rows = got[got["kind"] == "document"]
     assert [tuple(r) for r in rows[["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]].to_numpy().tolist()] == [(*r[:5], r[7]) for r in per]
     assert got["n"].sum() == rows["n_links"].sum() > rows["n_groups"].sum()
+
+
+def test_words_come_from_their_own_source(spark):
+    """Equal rows in two sources, of which the larger one gives to some rows only: what is mixed is what was taken, source by source."""
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, words(i), "a") for i in range(400)] + [(i, words(i), "b") for i in range(20)] + [(i, words(i), None) for i in range(5)] + [(1, words(1), "b")] * 3 + [(7, "", "a"), (None, None, "b"), (None, words(9), "a")]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, source string, shard string")
+    taken = {r["source"]: r["n"] for r in mixing.takes(df).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    count = F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "))
+    mixed = {r["source"]: r["n"] for r in mixing.mix_documents(df).withColumn("n", count).groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    blocks = {r["source"]: r["n"] for r in mixing.mix_blocks(df).groupBy("source").agg(F.sum("n_words").alias("n")).collect()}
+    assert mixed == blocks == {k: v for k, v in taken.items() if v} and len(mixed) == 3
