@@ -1,19 +1,31 @@
 """Entity matching and merging.
 
-Records are folded in `ord` order: a record joins the first cluster whose representative it matches
-by `threshold`, and the representative fills its gaps from it. The fold is exact within components of a
-superset graph: a match needs an equal phone or site, or a name ratio of NAME_LEAST at least (below it
-0.55 name + 0.45 address cannot reach the threshold), and a representative's values come from its members.
-
-Name candidates without comparing all pairs: a ratio bounds how far lengths differ, and names so alike share
-a letter pair, or a letter if they are short; only such different names are compared, once each."""
+Records are folded in `ord` order: a record joins the first cluster whose representative it matches by `threshold`, and the
+representative fills its gaps from it. The fold is exact within components of any superset of the matches. A first, cheap one links
+equal phones, sites and names, by stars around the least record of each, and names alike by 0.745, below which no address helps.
+Only components of more than LARGE records, a chain's name for instance, are split by a second one, in which an equal name links nothing:
+
+- an equal phone or site: a star;
+- names and addresses both alike, compared once for each pair of different (name, address) combinations;
+- for representatives whose name and address come from two records: names alike with a record that lacks an address, where
+  its phone and site component has one, and addresses alike with one that lacks a name.
+
+Combinations alike are found from one side's different texts. From 0.55 name + 0.45 address >= 0.86 follows name >= 0.745 and address >= 0.689,
+and one of the two sides is surer: name >= 0.872 or address >= 0.844. On that side r, texts of n and m letters match in M of them, 2M >= r(n + m), in
+at most n + m - 2M + 1 blocks, so they share 3M - n - m - 1 letter pairs, each counted with its occurrence. So of the letter pairs in order of
+rarity over all texts, a beginning of each text holds two shared ones (one where texts are short, a single letter where they are
+tiny): texts meet where such a pair is equal. An edit distance over (1 - r)(n + m) rules a pair out before it is scored. A word that
+many texts share is in few beginnings, unless it is most of the text. Meeting places of more than MOST texts are dealt in blocks,
+each pair of parts a group of its own, so that no task holds a hot one. The combinations of alike texts then meet, and the other side
+decides; every pair of different texts is scored once. Records of one name are compared by address, one with the other: no shorter test is exact."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -22,10 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from sieveline.functions import normalize as N
+from sieveline.functions.stored import stored
+from sieveline.functions.workers import reach
 from sieveline.plans.dims import LIST_FIELDS, SCALAR_FIELDS
 
 THRESHOLD = 0.86
-NAME_LEAST = 0.745
+MOST = 2000
+LARGE = 20_000
 # fixed values: hosts of map sites, which identify no entity
 MAP_HOSTS = ("openstreetmap.org", "google.com", "maps.google.com", "google.co.in")
 
@@ -74,28 +89,124 @@ def key_dedupe(records: DataFrame) -> DataFrame:
     return k.withColumn("cluster", F.least(F.when(F.col("k_phone") != "", low("k_phone")).otherwise(own), F.when(F.col("k_site") != "", low("k_site")).otherwise(own)))
 
 
-def superset_edges(records: DataFrame, least: float = NAME_LEAST) -> DataFrame:
-    """(a, b) of records that could ever match: equal phone, equal site, or names alike.
+def _least_matched(n: Column, m: Column, r: float) -> Column:
+    return F.ceil((n + m) * (r / 2) - 1e-9)
 
-    Equal keys link to the least ord of their group, not to each other. Different names are compared once
-    each: those that share one of their positional grams, within the length a ratio allows."""
-    k = keyed(records)
-    stars = None
-    for c in ("k_phone", "k_site", "k_name"):
-        g = k.where(F.col(c) != "").select(F.col("ord").alias("a"), F.min("ord").over(Window.partitionBy(c)).alias("b")).where("a <> b")
-        stars = g if stars is None else stars.unionByName(g)
-    names = k.where("k_name <> ''").groupBy("k_name").agg(F.min("ord").alias("ord")).withColumn("n", F.length("k_name"))
-    # without a shared letter pair every matching block is one letter, and of blocks in order at most one side may be
-    # adjacent: equal letters <= (n + m + 1) / 3, which NAME_LEAST allows only up to n + m = 8
-    letters = F.array_distinct(F.split("k_name", ""))
-    pairs_of = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n") - 1, F.lit(1))), lambda i: F.substring("k_name", i, F.lit(2)))
-    grams = F.array_distinct(F.when(F.col("n") < 8, F.concat(letters, pairs_of)).otherwise(pairs_of))
-    filed = names.withColumn("gram", F.explode(grams))
-    l, r = filed.alias("l"), filed.alias("r")
-    near = (F.col("l.ord") > F.col("r.ord")) & (F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * (least / (2 - least)))
-    pairs = l.join(r, (F.col("l.gram") == F.col("r.gram")) & near).groupBy(F.col("l.ord").alias("a"), F.col("r.ord").alias("b"), F.col("l.k_name").alias("x"), F.col("r.k_name").alias("y")).count()
-    alike = pairs.where((seq_ratio("x", "y") >= least) | (seq_ratio("y", "x") >= least)).select("a", "b")
-    return stars.select("a", "b").unionByName(alike)
+
+def _least_shared(n: Column, r: float) -> Column:
+    """How many letter pairs a string of n letters shares at least with any other whose ratio to it is r or more."""
+    others = F.sequence(F.ceil(n * (r / (2 - r)) - 1e-9), F.floor(n * ((2 - r) / r) + 1e-9))
+    return F.array_min(F.transform(others, lambda m: _least_matched(n, m, r) * 3 - n - m - 1))
+
+
+def _numbered(parts: Column) -> Column:
+    """Each part with its occurrence, so that equal ones are told apart."""
+    return F.transform(parts, lambda p, i: F.concat(p, F.size(F.filter(F.slice(parts, F.lit(1), i), lambda q: q == p)).cast("string")))
+
+
+def _letter_pairs(text: Column) -> Column:
+    n = F.length(text)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))
+    return F.when(n >= 2, _numbered(pairs)).otherwise(F.array().cast("array<string>"))
+
+
+def _rarest(strings: DataFrame) -> DataFrame:
+    """strings(text) -> (text, grams): the letter pairs of each, rarest over all strings first."""
+    each = strings.select("text", F.explode_outer(_letter_pairs(F.col("text"))).alias("gram"))
+    seen = each.groupBy("gram").agg(F.count("*").alias("n"))
+    ranked = each.join(seen, "gram", "left").groupBy("text").agg(F.array_sort(F.collect_list(F.when(F.col("gram").isNotNull(), F.struct("n", "gram")))).alias("g"))
+    return ranked.select("text", F.transform("g", lambda x: x["gram"]).alias("grams"))
+
+
+def _meeting_places(grams: Column, text: Column, r: float) -> Column:
+    """Where a string meets all that are alike by r: pairs of its first letter pairs, single ones if it is short, letters if it is tiny."""
+    n, size = F.length(text), F.size(grams)
+    least = _least_shared(n, r)
+    first = F.slice(grams, F.lit(1), F.least(size, size - least + 2))  # two shared ones are among them
+    none = F.array().cast("array<string>")
+    pairs = F.flatten(F.transform(first, lambda a, i: F.transform(F.slice(first, i + 2, size), lambda b: F.concat(F.least(a, b), F.lit("&"), F.greatest(a, b)))))
+    single = F.when(least < 2, F.slice(grams, F.lit(1), F.least(size, F.greatest(size - least + 1, F.lit(0))))).otherwise(none)
+    letters = F.when(least < 1, F.transform(_numbered(F.split(text, "")), lambda x: F.concat(F.lit("'"), x))).otherwise(none)
+    return F.concat(pairs, single, letters)
+
+
+def _at_most(x: Column, y: Column) -> Column:
+    """What the ratio of two texts is at most, by the edits between them."""
+    return 1 - F.levenshtein(x, y) / (F.length(x) + F.length(y))
+
+
+def alike_texts(texts: DataFrame, r: float, most: int = MOST) -> DataFrame:
+    """(x, y, ratio), x < y: different texts(text, need) of a ratio of r or more in either direction, one of the two needed."""
+    known = _rarest(texts.select("text")).join(texts, "text").select("text", "need", F.explode(_meeting_places(F.col("grams"), F.col("text"), r)).alias("place"))
+    sizes = known.groupBy("place").agg(F.count("*").alias("size"), F.max("need").alias("any")).where("size > 1 and any")
+    sized = known.join(sizes, "place").withColumn("parts", F.ceil(F.col("size") / most).cast("int")).withColumn("part", F.pmod(F.xxhash64("text"), F.col("parts")).cast("int"))
+    dealt = sized.select("text", "need", "place", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    dealt = dealt.withColumn("block", F.concat_ws("/", F.least("part", "with"), F.greatest("part", "with")))
+    l, q = dealt.alias("l"), dealt.alias("q")
+    once = (F.col("l.part") != F.col("q.part")) | (F.col("l.part") == F.col("l.with"))
+    near = once & (F.col("l.text") < F.col("q.text")) & (F.col("l.need") | F.col("q.need")) & (_at_most(F.col("l.text"), F.col("q.text")) >= r - 1e-9)
+    pairs = l.join(q, (F.col("l.place") == F.col("q.place")) & (F.col("l.block") == F.col("q.block")) & near).select(F.col("l.text").alias("x"), F.col("q.text").alias("y")).distinct()
+    return pairs.withColumn("ratio", F.greatest(seq_ratio("x", "y"), seq_ratio("y", "x"))).where(F.col("ratio") >= r - 1e-9)
+
+
+def _alike(combos: DataFrame, own: str, r: float, other: str, passes: Callable[[Column, Column], Column], most: int) -> DataFrame:
+    """(a, b) of combos(ord, own, other) alike by r in own whose ratios on both sides pass."""
+    texts = combos.select(F.col(own).alias("text")).distinct()
+    pairs = alike_texts(texts.withColumn("need", F.lit(True)), r, most)
+    same = texts.select(F.col("text").alias("x"), F.col("text").alias("y"), F.lit(1.0).alias("ratio"))
+    end = lambda i, o: combos.select(F.col("ord").alias(i), F.col(own).alias(o), F.col(other).alias(f"{o}_other"))
+    # few rows may meet many: a fixed number of tasks, as small inputs would be joined in one
+    dealt = pairs.unionByName(same).join(end("a", "x"), "x").repartition(int(combos.sparkSession.conf.get("spark.sql.shuffle.partitions")), "y")
+    met = dealt.join(end("b", "y"), "y").where((F.col("x") != F.col("y")) | (F.col("a") > F.col("b")))
+    there = F.array_sort(F.array("x_other", "y_other"))  # one order, so that equal pairs are scored once a worker
+    met = met.where(passes(F.col("ratio"), _at_most(F.col("x_other"), F.col("y_other")))).select("a", "b", "ratio", there[0].alias("p"), there[1].alias("q"))
+    return met.where(passes(F.col("ratio"), F.greatest(seq_ratio("p", "q"), seq_ratio("q", "p")))).select("a", "b")
+
+
+def _star(rows: DataFrame, *key: str) -> DataFrame:
+    return rows.select(F.col("ord").alias("a"), F.min("ord").over(Window.partitionBy(*key)).alias("b")).where("a <> b")
+
+
+def name_edges(records: DataFrame, threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
+    """(a, b): equal phones, sites and names, and names alike enough for `threshold` under the best address."""
+    k = keyed(records).select("ord", "k_name", "k_phone", "k_site")
+    named = k.where("k_name <> ''")
+    texts = named.groupBy(F.col("k_name").alias("text")).agg(F.min("ord").alias("ord"))
+    at = lambda c, o: texts.select(F.col("text").alias(c), F.col("ord").alias(o))
+    alike = alike_texts(texts.select("text", F.lit(True).alias("need")), (threshold - 0.45) / 0.55, most).join(at("x", "a"), "x").join(at("y", "b"), "y").select("a", "b")
+    return _star(k.where("k_phone <> ''"), "k_phone").unionByName(_star(k.where("k_site <> ''"), "k_site")).unionByName(_star(named, "k_name")).unionByName(alike)
+
+
+def superset_edges(records: DataFrame, threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
+    """(a, b) of records that could ever be folded together at `threshold`, which is over 0.75; see the module's text."""
+    k = keyed(records).select("ord", "k_name", "k_address", "k_phone", "k_site")
+    keys = _star(k.where("k_phone <> ''"), "k_phone").unionByName(_star(k.where("k_site <> ''"), "k_site"))
+    both = k.where("k_name <> '' and k_address <> ''")
+    keys = stored(keys.unionByName(_star(both, "k_name", "k_address")), "keys")
+    name, address = (threshold - 0.45) / 0.55, (threshold - 0.55) / 0.45
+    sure_name, sure_address = 1 - (1 - threshold) / 1.1, 1 - (1 - threshold) / 0.9
+    combos = both.groupBy("k_name", "k_address").agg(F.min("ord").alias("ord"))
+    out = keys
+    for own, r, other, mine in (("k_name", sure_name, "k_address", 0.55), ("k_address", sure_address, "k_name", 0.45)):
+        out = out.unionByName(_alike(combos, own, r, other, lambda x, y, w=mine: x * w + y * (1 - w) >= threshold - 1e-9, most))
+    lacking = k.where("(k_name = '') <> (k_address = '') and (k_phone <> '' or k_site <> '')")
+    if lacking.isEmpty():
+        return out
+    # records that lack one of the two, in a component of keys whose other records have it
+    rooted = k.join(components(keys).withColumnRenamed("node", "ord"), "ord")
+    has = rooted.groupBy("root").agg(F.max(F.col("k_name") != "").alias("named"), F.max(F.col("k_address") != "").alias("placed")).where("named and placed")
+    gaps = lacking.join(rooted.join(has, "root").select("ord"), "ord", "left_semi").withColumn("need", F.lit(True))
+    gaps = stored(gaps, "gaps")
+    rows = both.withColumn("need", F.lit(False)).unionByName(gaps)
+    for own, r in (("k_name", name), ("k_address", address)):
+        texts = stored(rows.where(F.col(own) != "").groupBy(F.col(own).alias("text")).agg(F.min("ord").alias("ord"), F.max("need").alias("need")), "texts")
+        ends = alike_texts(texts.select("text", "need"), r, most)
+        at = lambda c, o: texts.select(F.col("text").alias(c), F.col("ord").alias(o))
+        near = ends.join(at("x", "a"), "x").join(at("y", "b"), "y").select("a", "b")
+        met = near.select(F.explode(F.array("a", "b")).alias("ord")).unionByName(texts.where("need").select("ord")).distinct()
+        own_rows = rows.join(texts.join(met, "ord").select(F.col("text").alias(own)), own, "left_semi")
+        out = out.unionByName(near).unionByName(_star(own_rows, own))
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
@@ -119,20 +230,71 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def fold(rows: list[dict], threshold: float = THRESHOLD) -> list[int]:
-    """The cluster (its first record's ord) of each row, rows in ord order with k_ keys."""
-    heads: list[dict] = []
-    out = []
-    for r in rows:
-        home = next((h for h in heads if _score(r, h) >= threshold), None)
-        if home is None:
-            heads.append(dict(r))
-            out.append(r["ord"])
-        else:
+class Heads:
+    """The representatives of one component, in order, found by what a match needs: an equal phone or site, or a name and an address alike."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.heads = threshold, []
+        self.least = {"k_name": (threshold - 0.45) / 0.55 - 1e-9, "k_address": (threshold - 0.55) / 0.45 - 1e-9}
+        self.by_key: dict[tuple[str, str], list[int]] = {}
+        self.by_name: dict[str, dict[str, list[int]]] = {}
+        self.texts: dict[str, dict[str, None]] = {"k_name": {}, "k_address": {}}
+        self.known: dict[tuple[str, str], tuple[int, list[str]]] = {}
+
+    def _file(self, i: int) -> None:
+        h = self.heads[i]
+        for k in ("k_phone", "k_site"):
+            if h[k] and i not in (at := self.by_key.setdefault((k, h[k]), [])):
+                at.append(i)
+        if h["k_name"] and h["k_address"]:
+            at = self.by_name.setdefault(h["k_name"], {}).setdefault(h["k_address"], [])
+            if i not in at:
+                at.append(i)
+            for k in self.texts:
+                self.texts[k].setdefault(h[k])
+
+    def _alike(self, k: str, text: str) -> list[str]:
+        """The heads' texts that are alike; those that came since the last call are looked at."""
+        seen, found = self.known.get((k, text), (0, []))
+        if seen < len(self.texts[k]):
+            found = found + [t for t in islice(self.texts[k], seen, None) if bound(text, t) >= self.least[k] and ratio(text, t) >= self.least[k]]
+            self.known[k, text] = (len(self.texts[k]), found)
+        return found
+
+    def home(self, r: dict) -> int | None:
+        """The first head that r matches."""
+        near = {i for k in ("k_phone", "k_site") if r[k] for i in self.by_key.get((k, r[k]), ())}
+        if r["k_name"] and r["k_address"] and (names := self._alike("k_name", r["k_name"])):
+            streets = dict.fromkeys(self._alike("k_address", r["k_address"]))
+            for n in names:
+                there = self.by_name[n]
+                near.update(i for a in (there if len(there) < len(streets) else streets) if a in there and a in streets for i in there[a])
+        return next((i for i in sorted(near) if _score(r, self.heads[i]) >= self.threshold), None)
+
+    def add(self, r: dict) -> int:
+        """The cluster of the next record."""
+        i = self.home(r)
+        if i is None:
+            self.heads.append(dict(r))
+            self._file(len(self.heads) - 1)
+            return r["ord"]
+        h = self.heads[i]
+        if any(not h[k] and r[k] for k in ("k_name", "k_address", "k_phone", "k_site")):
             for k in ("k_name", "k_address", "k_phone", "k_site"):
-                home[k] = home[k] or r[k]
-            out.append(home["ord"])
-    return out
+                h[k] = h[k] or r[k]
+            self._file(i)
+        return h["ord"]
+
+
+def bound(a: str, b: str) -> float:
+    """What the ratio is at most, by lengths."""
+    return 2 * min(len(a), len(b)) / max(len(a) + len(b), 1)
+
+
+def fold(rows: Iterable[dict], threshold: float = THRESHOLD) -> list[int]:
+    """The cluster (its first record's ord) of each row, rows in ord order with k_ keys."""
+    heads = Heads(threshold)
+    return [heads.add(r) for r in rows]
 
 
 def _score(new: dict, old: dict) -> float:
@@ -143,18 +305,31 @@ def _score(new: dict, old: dict) -> float:
     return 0.99 if phone and name > 0.45 else score
 
 
-def clusters(records: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(ord, cluster) of every record by the ordered fold, component by component."""
+def clusters(records: DataFrame, threshold: float = THRESHOLD, large: int = LARGE, most: int = MOST) -> DataFrame:
+    """(ord, cluster) of every record by the ordered fold, component by component: a task reads its components' records in turn and holds only the heads of one."""
+    reach(records.sparkSession)
     k = keyed(records).select("ord", "k_name", "k_address", "k_phone", "k_site")
-    roots = components(superset_edges(records))
-    grouped = k.join(roots.withColumnRenamed("node", "ord"), "ord")
-    alone = k.join(roots.withColumnRenamed("node", "ord"), "ord", "left_anti").select("ord", F.col("ord").alias("cluster"))
-
-    def run(key: tuple, batches: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
-        rows = sorted(batches.to_pylist(), key=lambda r: r["ord"])
-        return pa.table({"ord": pa.array([r["ord"] for r in rows], pa.int64()), "cluster": pa.array(fold(rows, threshold), pa.int64())})
-
-    return grouped.groupBy("root").applyInArrow(run, "ord long, cluster long").unionByName(alone)
+    roots = components(name_edges(records, threshold, most)).withColumnRenamed("node", "ord")
+    wide = roots.groupBy("root").count().where(F.col("count") > large).select("root")
+    if not wide.isEmpty():
+        hot = roots.join(wide, "root")
+        split = components(superset_edges(records.join(hot.select("ord"), "ord", "left_semi"), threshold, most)).withColumnRenamed("node", "ord")
+        roots = roots.join(wide, "root", "left_anti").select("ord", "root").unionByName(split.select("ord", "root"))
+    placed = k.join(roots, "ord", "left")
+    alone = placed.where("root is null").select("ord", F.col("ord").alias("cluster"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heads = None, Heads(threshold)
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if r["root"] != now:
+                    now, heads = r["root"], Heads(threshold)
+                out.append(heads.add(r))
+            yield pa.record_batch([b.column("ord"), pa.array(out, pa.int64())], ["ord", "cluster"])
+
+    grouped = placed.where("root is not null").repartition("root").sortWithinPartitions("root", "ord")
+    return grouped.mapInArrow(run, "ord long, cluster long").unionByName(alone)
 
 
 def merged(records: DataFrame, cluster: DataFrame, scalars: tuple[str, ...] = SCALAR_FIELDS, lists: tuple[str, ...] = LIST_FIELDS) -> DataFrame:
