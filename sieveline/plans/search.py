@@ -25,12 +25,12 @@ SITE_GROUPS = (
     ("social", 18, ("facebook.com", "instagram.com", "linkedin.com/company", "x.com", "twitter.com", "youtube.com")),
     ("lead_article", 24, ("quora.com", "reddit.com", "medium.com", "blog")),
 )
-# fixed values: sites of an industry, group industry_directory, priority 12; eight at most
+# fixed values: sites of an industry, of which a plan takes the first eight, group industry_directory, priority 12
 INDUSTRY_SITES = {
     "healthcare": ("healthgrades.com", "zocdoc.com", "webmd.com", "doximity.com", "npiprofile.com", "medicare.gov/care-compare"),
     "legal": ("avvo.com", "justia.com", "findlaw.com", "lawyers.com", "martindale.com", "statebar"),
     "trades": ("angi.com", "homeadvisor.com", "thumbtack.com", "buildzoom.com", "contractors-license.org", "justdial.com", "sulekha.com"),
-    "food_hospitality": ("tripadvisor.com", "tripadvisor.in", "zomato.com", "swiggy.com", "eazydiner.com", "restaurant-guru.in", "dineout.co.in", "magicpin.in"),
+    "food_hospitality": ("tripadvisor.com", "tripadvisor.in", "zomato.com", "swiggy.com", "eazydiner.com", "restaurant-guru.in", "dineout.co.in", "magicpin.in", "facebook.com", "instagram.com"),
     "retail": ("justdial.com", "sulekha.com", "indiamart.com", "facebook.com", "instagram.com", "linkedin.com/company"),
     "wellness": ("justdial.com", "sulekha.com", "practo.com", "facebook.com", "instagram.com"),
     "education": ("schools.org.in", "justdial.com", "sulekha.com", "shiksha.com", "facebook.com"),
@@ -43,6 +43,16 @@ INDUSTRY_TEMPLATES = (
 )
 
 
+# fixed values: queries of a discovery, for the question, for a category at one of three places, and for an industry; sites searched for any question
+DISCOVERY_BASE = ("{b}", "{b} phone address website", "{b} contact number address", "{b} official website phone", "{b} business directory", "{b} reviews hours", "{b} Google maps reviews")
+DISCOVERY_PLACE = ("phone address", "contact number", "mobile number", "official website", "opening hours", "ratings reviews", "Google reviews", "site:justdial.com", "site:sulekha.com", "site:facebook.com", "site:instagram.com")
+DISCOVERY_SITES = ("yelp.com", "yellowpages.com", "bbb.org", "justdial.com", "sulekha.com", "indiaonline.in", "cybo.com", "yappe.in", "webindia123.com", "cylex.in", "hotfrog.in", "linkedin.com/company", "facebook.com", "instagram.com", "x.com", "twitter.com", "quora.com")
+DISCOVERY_INDUSTRY = {
+    "healthcare": ("license NPI", "board certified"), "legal": ("bar license", "practice areas"), "trades": ("license insured", "services reviews"), "food_hospitality": ("menu photos reviews", "delivery contact number"),
+    "retail": ("showroom contact number", "catalogue photos reviews"), "wellness": ("appointment phone services", "price list reviews"), "education": ("admission contact number", "affiliation reviews"),
+}
+
+
 def literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv)) if pairs else F.create_map().cast("map<string,string>")
 
@@ -171,7 +181,7 @@ def plan_rows(parsed: DataFrame, g: Gazetteer) -> DataFrame:
     of = lambda t, group, rank, n, **c: F.struct(_filled(t, **c).alias("query"), F.lit(group).alias("grp"), F.lit(rank).alias("priority"), n.alias("ord"))
     cat = lambda rows, **at: lambda c, i: F.array(*(of(t, grp, r, i * 10 + k, c=c, **at) for k, (t, grp, r) in enumerate(rows)))
     by_cat = F.when(first == "", F.transform("cats", cat(NO_PLACE_TEMPLATES))).otherwise(F.transform("cats", cat(PLACE_TEMPLATES, l=first)))
-    own_sites = looked_up(INDUSTRY_SITES, F.col("ind"), F.array().cast("array<string>"))
+    own_sites = F.slice(looked_up(INDUSTRY_SITES, F.col("ind"), F.array().cast("array<string>")), 1, 8)
     near = F.slice(F.filter("places", lambda l: l != ""), 1, 4)
     site = lambda s, l, grp, r, n: F.struct(F.concat(F.lit('"'), F.col("category"), F.lit('" "'), l, F.lit('" site:'), s).alias("query"), F.lit(grp).alias("grp"), F.lit(r).alias("priority"), n.alias("ord"))
     sites = lambda grp, r, own, base: F.transform(near, lambda l, i: F.transform(own, lambda s, k: site(s, l, grp, r, F.lit(base) + i * 100 + k)))
@@ -183,6 +193,20 @@ def plan_rows(parsed: DataFrame, g: Gazetteer) -> DataFrame:
     return p.select("qid", F.explode(every).alias("e")).select("qid", "e.*")
 
 
+def discovery_rows(parsed: DataFrame, g: Gazetteer) -> DataFrame:
+    """(qid, ord, query): the discovery list of each of parsed(qid, category, location), different queries in order. A row is worked on where it lies: no shuffle."""
+    none = F.array().cast("array<string>")
+    base = F.when(F.col("location") == "", F.col("category")).otherwise(F.concat("category", F.lit(" in "), "location"))
+    places = F.when(F.col("location") != "", search_places(F.col("location"), g)).otherwise(none)
+    p = parsed.select("qid", base.alias("b"), industry(F.col("category")).alias("ind"), F.slice(F.filter(F.slice(places, 1, 3), lambda l: l != ""), 1, 3).alias("near"), expansions(F.col("category"), g).alias("cats"))
+    own = F.array(*(_filled(t, b=F.col("b")) for t in DISCOVERY_BASE))
+    there = F.flatten(F.transform("cats", lambda c: F.flatten(F.transform("near", lambda l: F.transform(F.array(*map(F.lit, DISCOVERY_PLACE)), lambda t: F.concat(F.lit('"'), c, F.lit('" "'), l, F.lit('" '), t))))))
+    sites = F.concat(F.array(*map(F.lit, DISCOVERY_SITES)), looked_up(INDUSTRY_SITES, F.col("ind"), none))
+    more = looked_up(DISCOVERY_INDUSTRY, F.col("ind"), none)
+    every = F.concat(own, there, F.transform(sites, lambda s: F.concat("b", F.lit(" site:"), s)), F.transform(more, lambda t: F.concat("b", F.lit(" "), t)))
+    return p.select("qid", F.posexplode(F.array_distinct(every)).alias("ord", "query"))
+
+
 def one_each(plan: DataFrame, text: str = "query", key: str = "qid") -> DataFrame:
     """One row of each text, of least priority, then least ord."""
     w = Window.partitionBy(key, text).orderBy("priority", "ord")

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.catalog import ORACLES, QUERIES, QUESTION, G, q, q_host, q_list, q_name, q_plain, q_terms, register, table
+from sieveline.catalog import ORACLES, QUERIES, QUESTION, G, industry_sql, q, q_host, q_list, q_name, q_plain, q_terms, register, table
 from sieveline.engine import Engine
 from sieveline.functions import normalize as N
 from sieveline.operators import dedupe as D
@@ -15,10 +15,11 @@ from sieveline.operators import evidence as E
 from sieveline.operators import extract as X
 from sieveline.operators import filters as L
 from sieveline.operators import retrieval as R
-from sieveline.operators import sessions
+from sieveline.operators import robots, sessions
 from sieveline.operators.sessions import Replay
 from sieveline.plans import search as S
-from sieveline.plans.dims import GROUP_ORDER
+from sieveline.plans.dims import GROUP_ORDER, Gazetteer
+from sieveline.plans.places import Places, signals
 from sieveline.sources import feeds as P
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -328,6 +329,38 @@ def qry11_grid(spark, sf_dir):
     return S.query_grid(table(spark, sf_dir, "customer").select(k.alias("qid"), category.alias("category"), location.alias("location")), G).select("qid", "query", "ord")
 
 
+WANTED = ("dentists", "plumers", "cafes", "Gyms", "opera", "law firm")
+WHERE = ("austin", "texas", "", "chennai", "usa", "nowhere")
+
+
+def q_expansions(x: str) -> str:
+    """Of WANTED alone."""
+    known = {c: [c, *G.expansions.get(c, ())] for c in ("dentists", "plumbers", "cafes")} | {"Gyms": ["Gyms", *G.expansions["gyms"]], "opera": ["opera"], "law firm": ["law firm"]}
+    return "CASE " + " ".join(f"WHEN {x} = {q(w)} THEN {q_list(known[G.category_corrections.get(w, w)])}" for w in WANTED) + " END"
+
+
+def q_search_places(x: str) -> str:
+    """Of WHERE alone."""
+    named = {w: G.corrections.get(w, w) for w in WHERE}
+    return "CASE " + " ".join(f"WHEN {x} = {q(w)} THEN {q_list(G.regions.get(n) or G.aliases.get(n) or (n,)) if n else '[]::VARCHAR[]'}" for w, n in named.items()) + " END"
+
+
+@register(f"""WITH c AS (SELECT c_custkey AS qid, {q_list(WANTED)}[c_custkey % 6 + 1] AS category, {q_list(WHERE)}[c_custkey // 6 % 6 + 1] AS location FROM customer),
+p AS (SELECT qid, CASE WHEN location = '' THEN category ELSE category || ' in ' || location END AS b, {industry_sql('category')} AS ind, {q_expansions('category')} AS cats, ({q_search_places('location')})[1:3] AS near FROM c),
+e AS (SELECT qid, list_concat({"[" + ", ".join("b || " + q(t[3:]) for t in S.DISCOVERY_BASE) + "]"},
+  flatten(list_transform(cats, lambda c: flatten(list_transform(near, lambda l: list_transform({q_list(S.DISCOVERY_PLACE)}, lambda t: '"' || c || '" "' || l || '" ' || t))))),
+  list_transform(list_concat({q_list(S.DISCOVERY_SITES)}, CASE {" ".join(f"WHEN ind = {q(k)} THEN {q_list(v)}" for k, v in S.INDUSTRY_SITES.items())} ELSE [] END), lambda s: b || ' site:' || s),
+  list_transform(CASE {" ".join(f"WHEN ind = {q(k)} THEN {q_list(v)}" for k, v in S.DISCOVERY_INDUSTRY.items())} ELSE [] END, lambda t: b || ' ' || t)) AS every FROM p),
+n AS (SELECT qid, unnest(every) AS query, generate_subscripts(every, 1) AS i FROM e), d AS (SELECT qid, query, min(i) AS i FROM n GROUP BY ALL)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY i) - 1 AS INTEGER) AS ord, query FROM d""")
+def qry12_discovery(spark, sf_dir):
+    """The discovery list of each customer's question."""
+    k = F.col("c_custkey")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    asked = table(spark, sf_dir, "customer").select(k.alias("qid"), pick(WANTED, k).alias("category"), pick(WHERE, F.floor(k / 6)).alias("location"))
+    return S.discovery_rows(asked, G)
+
+
 @register()
 def qry12_source_plan(spark, sf_dir):
     plan = S.one_each(S.plan_rows(S.parse(_questions(spark), G), G))
@@ -487,6 +520,33 @@ def src02_allowed(spark, sf_dir):
     return P.allowed(table(spark, sf_dir, "pages").select("page_id", "url"), spark.createDataFrame(hosts, "origin string, prefix string")).select("page_id")
 
 
+ROBOTS = ("User-agent: *\nDisallow: /en/\nAllow: /en/a\n", "User-agent: x\nUser-Agent: Sieve\nAllow: /fr/\nDisallow: /\n\nUser-agent: *\nDisallow: /fr\n", "", "", "Disallow: /\nUser-agent: *\nDisallow:\nUser-agent: other\nDisallow: /")
+Q_ORIGIN = "lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1))"
+Q_REST = "regexp_extract(url, '^[A-Za-z]+://[^/?#]+(.*)$', 1)"
+
+
+@register(f"""WITH u AS (SELECT page_id, {Q_ORIGIN} AS origin, {Q_REST} AS path FROM pages), k AS (SELECT *, length(origin) % 5 AS f FROM u)
+SELECT page_id FROM k WHERE CASE f WHEN 0 THEN NOT starts_with(path, '/en/') WHEN 1 THEN starts_with(path, '/fr/') WHEN 2 THEN false ELSE true END""")
+def src02_robots(spark, sf_dir):
+    """Pages that the robots file of their origin lets an agent read: one of five files by origin, the third refused, the fourth missing."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    kind = F.length("origin") % 5
+    files = pages.select(robots.origin_of(F.col("url")).alias("origin")).distinct().where("origin <> ''")
+    files = files.select("origin", F.when(kind == 2, 403).when(kind == 3, 404).otherwise(200).alias("status"), F.element_at(F.array(*map(F.lit, ROBOTS)), (kind + 1).cast("int")).alias("body"))
+    return robots.allowed(pages, files, "sieve/2.0").select("page_id")
+
+
+@register(f"""WITH t AS (SELECT p_partkey, {q_name('p_name')} AS hay, {q_name('p_brand')} AS key FROM part), r AS (SELECT DISTINCT {q_name('p_brand')} AS region, {q_name('p_name')} AS town FROM part WHERE p_partkey % 97 = 0)
+SELECT p_partkey, EXISTS (SELECT 1 FROM r WHERE region = key AND contains(hay, town)) AS has_location,
+  EXISTS (SELECT 1 FROM (SELECT town AS p FROM r UNION SELECT region FROM r) h WHERE contains(' ' || hay || ' ', ' ' || p || ' ') AND p <> key AND p NOT IN (SELECT town FROM r WHERE region = key)) AS wrong_location FROM t""")
+def flt02_place_tables(spark, sf_dir):
+    """Part names as texts, brands as their places, whose towns are the names of every 97th part."""
+    part = table(spark, sf_dir, "part")
+    base = Places.of(spark, Gazetteer({}, {}, {}, (), {}, {}, {}, ()))
+    regions = part.where("p_partkey % 97 = 0").select(F.col("p_brand").alias("region"), F.col("p_partkey").cast("int").alias("ord"), F.col("p_name").alias("town"))
+    return signals(part.select("p_partkey", F.col("p_name").alias("text"), F.col("p_brand").alias("location")), Places(base.corrections, base.aliases, regions, base.others, base.countries)).select("p_partkey", "has_location", "wrong_location")
+
+
 @register("SELECT event_id AS key FROM events WHERE NOT (event_id % 3 = 0 AND event_id % 2 = 0 AND 3000000 - event_id * 700 <= 1209600)")
 def src03_read_through(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"))
