@@ -36,12 +36,18 @@ def sweep() -> None:
             return
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """df written and read back: lineage ends there, and a lost executor costs only the tasks that read the files again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{name}-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(sweep)
     _written.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """df written and read back: lineage ends there, and a lost executor costs only the tasks that read the files again."""
+    spark = df.sparkSession
+    path = new_folder(spark, f"table-{name}")
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sieveline.catalog import ORACLES, QUERIES, QUESTION, G, industry_sql, q, q_host, q_list, q_name, q_plain, q_terms, register, table
 from sieveline.engine import Engine
 from sieveline.functions import normalize as N
+from sieveline.functions.stored import new_folder
 from sieveline.operators import dedupe as D
 from sieveline.operators import evidence as E
 from sieveline.operators import extract as X
@@ -21,6 +22,7 @@ from sieveline.plans import search as S
 from sieveline.plans.dims import GROUP_ORDER, Gazetteer
 from sieveline.plans.places import Places, signals
 from sieveline.sources import feeds as P
+from sieveline.sources.store import Store
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -520,6 +522,30 @@ def src02_allowed(spark, sf_dir):
     return P.allowed(table(spark, sf_dir, "pages").select("page_id", "url"), spark.createDataFrame(hosts, "origin string, prefix string")).select("page_id")
 
 
+@register("""WITH b AS (SELECT CAST(o_custkey AS VARCHAR) AS business_key, o_orderkey % 3 AS run, arg_max(o_orderstatus, o_orderkey) AS payload FROM orders GROUP BY ALL)
+SELECT business_key, arg_max(payload, run) AS payload, string_agg('r' || run, ' ' ORDER BY run) AS runs, CAST(min(run) AS BIGINT) AS created_at, CAST(max(run) AS BIGINT) AS updated_at FROM b GROUP BY 1""")
+def snk04_store(spark, sf_dir):
+    """Three runs of orders merged into one store, a customer each."""
+    store = Store(spark, new_folder(spark, "store"), 16)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("business_key"), F.col("o_orderstatus").alias("payload"), "o_orderkey")
+    for run in range(3):
+        store.merge(orders.where(F.col("o_orderkey") % 3 == run), f"r{run}", run, order="o_orderkey")
+    return store.read().select("business_key", "payload", F.array_join("seen_in_run_ids", " ").alias("runs"), "created_at", "updated_at")
+
+
+AT = ("CAST(c_custkey * 37 % 18000 AS DOUBLE) / 100 - 90", "CAST(c_custkey * 7919 % 36000 AS DOUBLE) / 100 - 180", "CAST(n_nationkey * 711 % 17000 AS DOUBLE) / 100 - 85", "CAST(n_nationkey * 1543 % 36000 AS DOUBLE) / 100 - 180")
+
+
+@register(f"""WITH p AS (SELECT c_custkey, {AT[0]} AS lat, {AT[1]} AS lon FROM customer), c AS (SELECT n_nationkey AS centre, {AT[2]} AS a, {AT[3]} AS o FROM nation),
+d AS (SELECT c_custkey, centre, 2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(lat - a) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin(radians(lon - o) / 2), 2)))) AS m FROM p, c)
+SELECT c_custkey, centre, CAST(round(m) AS BIGINT) AS metres FROM d WHERE m <= 700000""")
+def src09_centres(spark, sf_dir):
+    """Customers within 700 km of each nation's centre, both spread over the globe."""
+    points = table(spark, sf_dir, "customer").select("c_custkey", F.expr(AT[0]).alias("lat"), F.expr(AT[1]).alias("lon"))
+    centres = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("centre"), F.expr(AT[2]).alias("lat"), F.expr(AT[3]).alias("lon"))
+    return P.near_centres(points, centres, 700_000).select("c_custkey", "centre", F.round("metres").cast("long").alias("metres"))
+
+
 ROBOTS = ("User-agent: *\nDisallow: /en/\nAllow: /en/a\n", "User-agent: x\nUser-Agent: Sieve\nAllow: /fr/\nDisallow: /\n\nUser-agent: *\nDisallow: /fr\n", "", "", "Disallow: /\nUser-agent: *\nDisallow:\nUser-agent: other\nDisallow: /")
 Q_ORIGIN = "lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1))"
 Q_REST = "regexp_extract(url, '^[A-Za-z]+://[^/?#]+(.*)$', 1)"

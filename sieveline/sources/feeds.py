@@ -172,6 +172,30 @@ def within_circle(points: DataFrame, lat: float, lon: float, metres: float = 18_
     return points.where(box & (2 * 6_371_000 * F.asin(F.sqrt(a)) <= metres))
 
 
+def near_centres(points: DataFrame, centres: DataFrame, metres: float = 18_000) -> DataFrame:
+    """points(lat, lon, ...) with each of centres(centre, lat, lon) within a great-circle distance, and `metres`.
+
+    Both lie in cells: bands of latitude as high as the distance, cut into about square cells. A centre goes to the cells of three
+    bands that its circle can touch, across the date line and round a pole, a point to its own; equal cells meet and the distance decides.
+    Rows without a place meet none; longitudes count modulo 360."""
+    high = max(metres / 110_000, 1e-6)
+    cells_in = lambda band: F.greatest(F.lit(1), F.floor(F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(band * high - 90), F.abs((band + 1) * high - 90))))) * (360 / high)))
+    cell = lambda lon, band: F.floor((lon + 180) / 360 * cells_in(band))
+    turned = lambda lon: F.pmod(lon + 180, F.lit(360.0)) - 180
+    known = lambda df: df.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+    p = known(points).withColumn("_band", F.floor((F.col("lat") + 90) / high)).withColumn("_cell", cell(turned(F.col("lon")), F.col("_band")))
+    c = known(centres).select("centre", F.col("lat").alias("_lat"), turned(F.col("lon")).alias("_lon"))
+    angle, flat = metres / 6_371_000, F.cos(F.radians("_lat"))
+    wide = F.when(F.sin(F.lit(min(angle, 1.57))) >= flat, 180.0).otherwise(F.degrees(F.asin(F.sin(F.lit(min(angle, 1.57))) / flat)) + 1e-6)
+    own = F.floor((F.col("_lat") + 90) / high)
+    c = c.withColumn("_wide", wide).withColumn("_band", F.explode(F.sequence(own - 1, own + 1)))
+    reach = F.sequence(cell(F.col("_lon") - F.col("_wide"), F.col("_band")), cell(F.col("_lon") + F.col("_wide"), F.col("_band")))
+    c = c.withColumn("_cell", F.explode(F.array_distinct(F.transform(reach, lambda x: F.pmod(x, cells_in(F.col("_band"))))))).drop("_wide")
+    a = F.pow(F.sin(F.radians(F.col("lat") - F.col("_lat")) / 2), 2) + F.cos(F.radians("_lat")) * F.cos(F.radians("lat")) * F.pow(F.sin(F.radians(F.col("lon") - F.col("_lon")) / 2), 2)
+    met = p.join(c, ["_band", "_cell"]).withColumn("metres", 2 * 6_371_000 * F.asin(F.least(F.sqrt(a), F.lit(1.0))))
+    return met.where(F.col("metres") <= metres).drop("_band", "_cell", "_lat", "_lon")
+
+
 def geocode_names(location: Column, parent: Column, country: Column, aliases: Column) -> Column:
     """Names to try for a place: inside its parent, with the country, then its aliases."""
     inside = (N.filled(parent) != "") & (F.lower(F.trim(parent)) != F.lower(F.trim(location)))
