@@ -26,10 +26,12 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def dense_top(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id") -> DataFrame:
-    """The k nearest vectors; a per-partition top-k precedes the merge, so k rows a task move."""
-    q = F.array(*map(F.lit, map(float, query)))
-    return vectors.withColumn("score", F.round(cosine(F.col("embedding"), q), 4)).orderBy(F.desc("score"), key).limit(k)
+def dense_top(vectors: DataFrame, query: list[float] | DataFrame, k: int, key: str = "vec_id") -> DataFrame:
+    """The k nearest vectors to one, given as numbers or as a table of one row with `embedding`; a per-partition top-k precedes the merge, so k rows a task move."""
+    q = F.col("_query") if isinstance(query, DataFrame) else F.array(*map(F.lit, map(float, query)))
+    if isinstance(query, DataFrame):
+        vectors = vectors.crossJoin(F.broadcast(query.select(F.col("embedding").alias("_query"))))
+    return vectors.withColumn("score", F.round(cosine(F.col("embedding"), q), 4)).orderBy(F.desc("score"), key).limit(k).drop("_query")
 
 
 def lexical_score(question: Column, chunk: Column) -> Column:

@@ -17,6 +17,7 @@ from sieveline.operators import extract as X
 from sieveline.operators import filters as L
 from sieveline.operators import retrieval as R
 from sieveline.operators import robots, sessions
+from sieveline.operators.postings import LexicalIndex
 from sieveline.operators.sessions import Replay
 from sieveline.plans import search as S
 from sieveline.plans.dims import GROUP_ORDER, Gazetteer
@@ -385,8 +386,8 @@ def str19_chunk(spark, sf_dir):
     return R.index(table(spark, sf_dir, "documents")).select("doc_id", "chunk_id", "chunk")
 
 
-def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return table(spark, sf_dir, "embeddings").where("vec_id = 0").first()["embedding"]
+def _query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id = 0").limit(1)
 
 
 @register("WITH v AS (SELECT embedding FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(CAST(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS DOUBLE), 4) AS score FROM embeddings e, v ORDER BY score DESC, vec_id LIMIT 6")
@@ -403,6 +404,18 @@ def rag03_lexical(spark, sf_dir):
     return R.lexical_top(docs, QUESTION, 6, "doc_id").select("doc_id", "score")
 
 
+@register(f"""WITH d AS (SELECT doc_id, unnest({q_terms('text')}) AS t FROM documents), a AS (SELECT item_id, {q_terms('text')} AS ts FROM benchmark),
+h AS (SELECT item_id, doc_id, count(*) AS shared, any_value(n) AS n FROM (SELECT item_id, unnest(ts) AS t, len(ts) AS n FROM a) JOIN d USING (t) GROUP BY ALL),
+e AS (SELECT item_id AS qid, doc_id, coalesce(round(shared / n + least(shared, 6) * 0.05, 6), 0) AS score FROM benchmark CROSS JOIN (SELECT doc_id FROM documents) LEFT JOIN h USING (item_id, doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id DESC) AS rn FROM e)
+SELECT qid, doc_id, CAST(score AS DOUBLE) AS score, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= 3""")
+def rag03_index(spark, sf_dir):
+    """The three best documents of each benchmark passage, from a kept index."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("chunk"))
+    index = LexicalIndex.save(docs, new_folder(spark, "postings"), "doc_id", 16)
+    return index.search(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question")), 3)
+
+
 def _answer_sql(mode: str, top: str) -> str:
     return f"""WITH t AS ({top}), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, source, text) AS r FROM t), b AS (SELECT * FROM r WHERE r <= 5)
 SELECT (SELECT string_agg(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 350), chr(10) ORDER BY r) FROM b) AS answer, (SELECT string_agg(source, ',' ORDER BY m) FROM (SELECT source, min(r) AS m FROM b GROUP BY source)) AS sources, {q(mode)} AS retrieval_mode"""
