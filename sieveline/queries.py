@@ -22,6 +22,7 @@ from sieveline.operators.sessions import Replay
 from sieveline.plans import search as S
 from sieveline.plans.dims import GROUP_ORDER, Gazetteer
 from sieveline.plans.places import Places, signals
+from sieveline.sources import events as V
 from sieveline.sources import feeds as P
 from sieveline.sources.store import Store
 
@@ -682,6 +683,29 @@ def snk01_events(spark, sf_dir):
     return P.to_events(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), kind)
 
 
+EVENT_KIND = "CASE o_orderkey % 5 WHEN 0 THEN 'business_removed' WHEN 1 THEN 'source_error' WHEN 2 THEN 'business_enriched' ELSE 'business_discovered' END"
+Q_LOG = f"""log AS (SELECT 'r' || o_custkey % 7 AS run, o_orderkey % 500 AS "at", {EVENT_KIND} AS kind, CAST(o_custkey % 211 AS VARCHAR) AS key, o_orderstatus || o_orderkey AS payload FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY "at", list_position(['source_error', 'business_discovered', 'business_enriched', 'business_removed'], kind), key, payload) AS seq FROM log)"""
+
+
+def _event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cols = ("concat('r', o_custkey % 7) AS run", "o_orderkey % 500 AS at", f"{EVENT_KIND} AS kind", "CAST(o_custkey % 211 AS STRING) AS key", "concat(o_orderstatus, o_orderkey) AS payload")
+    return V.numbered(table(spark, sf_dir, "orders").selectExpr(*cols))
+
+
+@register(f'WITH {Q_LOG} SELECT run, "at", kind, key, payload, seq FROM n')
+def snk01_log(spark, sf_dir):
+    """Orders as events of seven runs, numbered."""
+    return _event_log(spark, sf_dir).select("run", "at", "kind", "key", "payload", F.col("seq").cast("long").alias("seq"))
+
+
+@register(f"""WITH {Q_LOG}, l AS (SELECT run, key, max(seq) AS seq FROM n WHERE kind <> 'source_error' GROUP BY ALL)
+SELECT run, key, payload, seq FROM n JOIN l USING (run, key, seq) WHERE kind <> 'business_removed'""")
+def snk01_replayed(spark, sf_dir):
+    """The entities that a reader of the log holds at its end."""
+    return V.replayed(_event_log(spark, sf_dir)).withColumn("seq", F.col("seq").cast("long"))
+
+
 @register("SELECT c_custkey AS business_key, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS payload, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'r1,r2' WHEN c_custkey % 3 = 0 THEN 'r2' ELSE 'r1' END AS seen, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS created_at FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
 def snk04_upsert(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
