@@ -7,7 +7,8 @@ rows name only shards of tasks that committed. Equal digests of different shards
 address. Metadata columns come from the 33 header bytes of each image by a range read; the payload
 is read by its range and unpacked without loss.
 
-Shards are written by pyarrow.fs, which knows the folder by its URI (local, HDFS, S3, GCS).
+Shards are written by pyarrow.fs, which knows the folder by its URI: file, hdfs, viewfs, s3 (s3a and s3n are the same to it; an endpoint
+set for Spark, fs.s3a.endpoint, is handed over, keys come from the machine's own credentials), gs and abfs. Other schemes are refused.
 
 Defined results: null and empty texts are 64 zero bytes; equal texts have equal values; an empty
 table gives an empty result; a repeated doc_id is described each time."""
@@ -77,6 +78,25 @@ def _member(name: str, size: int) -> bytes:
     return info.tobuf(tarfile.USTAR_FORMAT)
 
 
+SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "gcs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def arrow_uri(folder: str, endpoint: str | None = None) -> str:
+    """A folder as Spark names it, as pyarrow.fs knows it."""
+    if folder.startswith("/"):
+        folder = f"file://{folder}"
+    scheme, _, rest = folder.partition(":")
+    if scheme not in SCHEMES:
+        raise ValueError(f"media shards cannot be written to {folder}: schemes that work are {', '.join(SCHEMES)}")
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    uri = f"{SCHEMES[scheme]}:{rest}"
+    if SCHEMES[scheme] == "s3" and endpoint:
+        bare = endpoint.partition("://")
+        uri += f"?endpoint_override={bare[2] or bare[0]}" + (f"&scheme={bare[0]}" if bare[2] else "")
+    return uri
+
+
 def write_shards(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_bytes, digest, shard, offset, length), lazily: running it writes the shards."""
     ensure_workers(docs.sparkSession)
@@ -156,9 +176,8 @@ def describe(addresses: DataFrame, folder: str) -> DataFrame:
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """docs as stored media: doc_id, n_bytes, the address (digest, shard, offset, length) and all columns of describe()."""
-    folder = new_path(docs.sparkSession, "media")
-    if "://" not in folder:
-        folder = f"file://{folder}" if folder.startswith("/") else folder.replace("file:/", "file:///", 1)
+    hadoop = docs.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    folder = arrow_uri(new_path(docs.sparkSession, "media"), hadoop.get("fs.s3a.endpoint"))
     rows = materialize(write_shards(docs, folder), "manifest")
     first = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("a")).select("digest", "a.*")
     one = materialize(describe(first.sortWithinPartitions("shard", "offset"), folder), "described")

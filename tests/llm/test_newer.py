@@ -11,12 +11,13 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow.fs
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sieveline.llm import align, chat, mixing, resample
+from sieveline.llm import align, chat, media, mixing, resample
 
 TURN = "conv_id long, turn long, role string, text string, turns int, formatted string"
 BITS = ["</s>", "[INST]", "[/INST]", "<s>", "[SEP]", "[ROLE] ", " [/ROLE]", "<\\/s>", "<\\\\s>", "[\\INST]", "\\", "<", "[", "]", "a", "é", "\n", " ", "[/SYS]", "SEP]", "/s>", "𝄞"]
@@ -232,3 +233,14 @@ def test_words_come_from_their_own_source(spark):
     mixed = {r["source"]: r["n"] for r in mixing.mix_documents(df).withColumn("n", count).groupBy("source").agg(F.sum("n").alias("n")).collect()}
     blocks = {r["source"]: r["n"] for r in mixing.mix_blocks(df).groupBy("source").agg(F.sum("n_words").alias("n")).collect()}
     assert mixed == blocks == {k: v for k, v in taken.items() if v} and len(mixed) == 3
+
+
+def test_folders_as_pyarrow_knows_them():
+    want = {"/a/b": "file:///a/b", "file:/a/b": "file:///a/b", "file:///a/b": "file:///a/b", "hdfs://n:8020/a": "hdfs://n:8020/a", "s3a://bucket/a": "s3://bucket/a", "s3n://bucket/a": "s3://bucket/a", "gs://b/a": "gs://b/a"}
+    assert {k: media.arrow_uri(k) for k in want} == want
+    assert media.arrow_uri("s3a://bucket/a", "http://store:9000") == "s3://bucket/a?endpoint_override=store:9000&scheme=http"
+    assert media.arrow_uri("s3a://bucket/a", "store") == "s3://bucket/a?endpoint_override=store"
+    with pytest.raises(ValueError, match="wasb"):
+        media.arrow_uri("wasb://x/y")
+    files, base = pyarrow.fs.FileSystem.from_uri(media.arrow_uri("s3a://bucket/a", "http://store:9000") + "&region=x")
+    assert type(files).__name__ == "S3FileSystem" and base == "bucket/a"
