@@ -15,7 +15,6 @@ from sieveline.operators import dedupe as D
 from sieveline.operators import evidence as E
 from sieveline.operators import extract as X
 from sieveline.operators import filters as L
-from sieveline.operators import retrieval as R
 from sieveline.plans import search as S
 from sieveline.plans.dims import HOST_HINTS, INDUSTRIES, RELIABILITY, Gazetteer
 from sieveline.sources import feeds as P
