@@ -25,6 +25,7 @@ from sieveline.plans.places import Places, signals
 from sieveline.sources import events as V
 from sieveline.sources import feeds as P
 from sieveline.sources.store import Store
+from sieveline.streaming import votes as T
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -75,6 +76,18 @@ def agg03_verify(spark, sf_dir):
     return _winners(spark, sf_dir)
 
 
+@register(f"WITH {GROUPS} SELECT * FROM wn")
+def stm01_vote_state(spark, sf_dir):
+    """The same votes from a stream of the pages' evidence in several batches, whose changes are replayed."""
+    rows, path = E.page_evidence(table(spark, sf_dir, "pages")), new_folder(spark, "stream")
+    rows.write.parquet(path)
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files // 3 + 1).parquet(path)
+    path = new_folder(spark, "votes")
+    T.start(T.vote_changes(source, N.plain(F.col("value"))), path).awaitTermination()
+    return T.current(spark.read.schema(T.CHANGES).parquet(f"{path}/changes")).drop("n_urls")
+
+
 @register(f"WITH {GROUPS} SELECT entity_id, field, CAST(rn - 1 AS INTEGER) AS place, value FROM rk WHERE rn > 1")
 def agg05_conflicts(spark, sf_dir):
     return E.conflicts(_groups(spark, sf_dir)).select("entity_id", "field", "place", "value")
