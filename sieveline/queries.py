@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sieveline.catalog import ORACLES, QUERIES, QUESTION, G, industry_sql, q, q_host, q_list, q_name, q_plain, q_terms, register, table
 from sieveline.engine import Engine
 from sieveline.functions import normalize as N
-from sieveline.functions.stored import new_folder
+from sieveline.functions.stored import bytes_in, new_folder
 from sieveline.operators import dedupe as D
 from sieveline.operators import evidence as E
 from sieveline.operators import extract as X
@@ -83,8 +83,9 @@ def stm01_vote_state(spark, sf_dir):
     rows.write.parquet(path)
     files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files // 3 + 1).parquet(path)
+    parts = T.partitions_for(bytes_in(spark, path), spark.sparkContext.defaultParallelism)
     path = new_folder(spark, "votes")
-    T.start(T.vote_changes(source, N.plain(F.col("value"))), path).awaitTermination()
+    T.start(T.vote_changes(source, N.plain(F.col("value"))), path, partitions=parts).awaitTermination()
     return T.current(spark.read.schema(T.CHANGES).parquet(f"{path}/changes")).drop("n_urls")
 
 

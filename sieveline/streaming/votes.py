@@ -147,9 +147,21 @@ def current(changes: DataFrame) -> DataFrame:
     return last.where("r.op = 'add'").select("entity_id", "field", *[f"r.{c}" for c in cols if c != "op"])
 
 
-def start(changes: DataFrame, path: str, every: str | None = None) -> StreamingQuery:
+def start(changes: DataFrame, path: str, every: str | None = None, partitions: int | None = None) -> StreamingQuery:
     """Runs what is there now, or on and on at an interval, as a stream with `quiet_ms` must: its timers never end.
-    Changes are appended to path/changes, the state's checkpoint lies beside them."""
-    changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    Changes are appended to path/changes, the state's checkpoint lies beside them. `partitions` of the state are fixed by
+    the first start (shuffle partitions, if not given); each is a RocksDB of its own, which takes some 5 MB of disk even if empty."""
+    conf = changes.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     to = changes.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/_checkpoint").option("path", f"{path}/changes")
-    return to.trigger(**({"availableNow": True} if every is None else {"processingTime": every})).start()
+    to, usual = to.trigger(**({"availableNow": True} if every is None else {"processingTime": every})), conf.get("spark.sql.shuffle.partitions")
+    try:
+        conf.set("spark.sql.shuffle.partitions", str(partitions or usual))
+        return to.start()  # the stream keeps a copy of the settings
+    finally:
+        conf.set("spark.sql.shuffle.partitions", usual)
+
+
+def partitions_for(evidence_bytes: int, cores: int) -> int:
+    """State partitions for stored evidence: one for each 64 MB, and one for each core at least."""
+    return max(cores, -(-evidence_bytes // (64 << 20)))

@@ -118,3 +118,12 @@ def test_no_rows(spark, tmp_path):
     spark.createDataFrame([], E.SCHEMA).write.parquet(source)
     run(spark, source, out)
     assert T.current(spark.createDataFrame([], T.CHANGES)).count() == 0
+
+
+def test_state_partitions_are_fixed_by_the_first_start(spark, tmp_path):
+    source, out, usual = str(tmp_path / "in"), str(tmp_path / "out"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.createDataFrame(made(9), E.SCHEMA).coalesce(1).write.parquet(source)
+    q = T.start(T.vote_changes(spark.readStream.schema(E.SCHEMA).parquet(source)), out, partitions=2)
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["numShufflePartitions"] == 2 and spark.conf.get("spark.sql.shuffle.partitions") == usual
+    assert T.partitions_for(0, 8) == 8 and T.partitions_for(64 << 30, 8) == 1024
