@@ -153,6 +153,7 @@ def start(changes: DataFrame, path: str, every: str | None = None, partitions: i
     the first start (shuffle partitions, if not given); each is a RocksDB of its own, which takes some 5 MB of disk even if empty."""
     conf = changes.sparkSession.conf
     conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # a batch writes what it changed
     to = changes.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/_checkpoint").option("path", f"{path}/changes")
     to, usual = to.trigger(**({"availableNow": True} if every is None else {"processingTime": every})), conf.get("spark.sql.shuffle.partitions")
     try:
