@@ -150,7 +150,7 @@ def current(changes: DataFrame) -> DataFrame:
 def start(changes: DataFrame, path: str, every: str | None = None, partitions: int | None = None) -> StreamingQuery:
     """Runs what is there now, or on and on at an interval, as a stream with `quiet_ms` must: its timers never end.
     Changes are appended to path/changes, the state's checkpoint lies beside them. `partitions` of the state are fixed by
-    the first start (shuffle partitions, if not given); each is a RocksDB of its own, which takes some 5 MB of disk even if empty."""
+    the first start (shuffle partitions, if not given); each is a RocksDB of its own, which takes a few MB of disk even if empty."""
     conf = changes.sparkSession.conf
     conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")  # a batch writes what it changed
