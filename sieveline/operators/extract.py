@@ -95,9 +95,9 @@ def ld_facts(item: dict) -> list[tuple[str, list[str]]]:
     return [(f, v) for f, v in out if v and v != [""]]
 
 
-def page_facts(url: str, html: str) -> list[tuple[str, list[str]]]:
-    """(field, values) of a page, but for those of its running text, which `body` holds for text_facts()."""
-    root = H.parse(html)
+def page_facts(url: str, html: str, closed: bool = False) -> list[tuple[str, list[str]]]:
+    """(field, values) of a page, but for those of its running text, which `body` holds for text_facts(). `closed` as in html.parse."""
+    root = H.parse(html, closed)
     out = [x for item in H.linked_data(root) for x in ld_facts(item)]
     name = H.meta(root, "og:title") or H.title(root)
     social, images = H.links(root, url, SOCIAL_HOSTS)
@@ -107,12 +107,12 @@ def page_facts(url: str, html: str) -> list[tuple[str, list[str]]]:
     return [(f, [x for x in v if x]) for f, v in out if any(v)]
 
 
-def html_facts(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> (page_id, ord, field, values): one HTML pass in Arrow batches, then native expressions."""
+def html_facts(pages: DataFrame, closed: bool = False) -> DataFrame:
+    """pages(page_id, url, html) -> (page_id, ord, field, values): one HTML pass in Arrow batches, then native expressions. `closed` as in html.parse."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, k, f, v) for i, u, h in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, (f, v) in enumerate(page_facts(u or "", h or ""))]
+            rows = [(i, k, f, v) for i, u, h in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, (f, v) in enumerate(page_facts(u or "", h or "", closed))]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string())), strict=True)], names=["page_id", "ord", "field", "values"])
 

@@ -249,3 +249,15 @@ def test_caches_and_upserts(spark):
     put = spark.createDataFrame([("a", 30, "3")], "url string, fetched_at long, body string")
     assert {r["url"]: r["body"] for r in P.latest(cache, put).collect()} == {"a": "3", "b": "2"}
     assert "<th>name</th><td>A &amp; B</td>" in P.report_html([{"name": "A & B"}], "q")
+
+
+def test_titles_keep_references_without_a_semicolon(spark):
+    html = "<!-- a & b --><script>x && y</script><title>{}</title><a href='/?a=1&b=2&amp;c=3'>Q &lt R</a>"
+    titles = ["and&amp", "a &amp; b &lt;i&gt; &quot;c&quot;", "a && b & c", "&lt", "&amp;lt;", "R&D &copy 9"]
+    pages = spark.createDataFrame([(i, "http://a.b/", html.format(t)) for i, t in enumerate(titles)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["values"][0] for r in X.html_facts(pages, closed=True).where("field = 'title'").collect()}
+    assert got == dict(enumerate(["and&amp", 'a & b <i> "c"', "a && b & c", "&lt", "&lt;", "R&D &copy 9"]))
+    assert [got[i] for i in range(len(titles))] == values(spark, titles, N.strip_tags)
+    root = H.parse(html.format("x"), closed=True)
+    assert H.find(root, "a")[0].attrs["href"] == "/?a=1&b=2&c=3" and H.find(root, "script")[0].text(hidden=True) == "x && y"
+    assert H.title(H.parse("<title>and&amp</title>")) == "and&"  # HTML's own rule stays the operator's
