@@ -25,7 +25,10 @@ LD_FIELDS = (("name", "business_name"), ("telephone", "phone"), ("email", "email
 LD_TYPES = ("localbusiness", "organization", "physician", "dentist", "legalservice")
 LEAD_TYPES = ("LocalBusiness", "Restaurant", "Store", "MedicalBusiness", "LegalService")
 LEAD_CLASSES = ("business-name", "store-name", "listing-name", "result-title", "vendor-name", "company-name", "merchant-name", "jcn")
+# fixed values: fields that page_facts takes from a page's elements
+PAGE_FIELDS = ("title", "description", "body", "website", "social_profiles", "images_urls", "services", "specialties")
 MOST_TEXT = 50_000
+PAGES = 50
 
 
 def all_of(text: Column, form: str) -> Column:
@@ -69,6 +72,13 @@ def hit_facts(hits: DataFrame) -> DataFrame:
     return rows.where("value <> ''")
 
 
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in parts of PAGES: a Python worker holds the trees, texts and facts of these pages alone."""
+    for b in batches:
+        for lo in range(0, b.num_rows, PAGES):
+            yield b.slice(lo, PAGES)
+
+
 def _texts(value) -> list[str]:
     if isinstance(value, list):
         return [str(x) for x in value if x]
@@ -95,24 +105,27 @@ def ld_facts(item: dict) -> list[tuple[str, list[str]]]:
     return [(f, v) for f, v in out if v and v != [""]]
 
 
-def page_facts(url: str, html: str, closed: bool = False) -> list[tuple[str, list[str]]]:
-    """(field, values) of a page, but for those of its running text, which `body` holds for text_facts(). `closed` as in html.parse."""
+def page_facts(url: str, html: str, closed: bool = False, fields: tuple[str, ...] | None = None) -> list[tuple[str, list[str]]]:
+    """(field, values) of a page, but for those of its running text, which `body` holds for text_facts(). `closed` as in html.parse.
+    With `fields`, only these, numbered among themselves; the page's texts are not built unless one of PAGE_FIELDS is wanted."""
     root = H.parse(html, closed)
     out = [x for item in H.linked_data(root) for x in ld_facts(item)]
+    if fields is not None and not set(fields) & set(PAGE_FIELDS):
+        return [(f, [x for x in v if x]) for f, v in out if f in fields and any(v)]
     name = H.meta(root, "og:title") or H.title(root)
     social, images = H.links(root, url, SOCIAL_HOSTS)
     services = list(dict.fromkeys(t for n in H.find(root, "li", "a", "h2", "h3") if 3 <= len(t := n.text()) <= 80 and any(w in t.lower() for w in SERVICE_WORDS)))[:30]
     out += [("title", [name]), ("description", [H.meta(root, "description") or H.meta(root, "og:description")]), ("body", [root.text()[:MOST_TEXT]]), ("website", [H.canonical(root, url)])]
     out += [("social_profiles", social), ("images_urls", images[:20]), ("services", services), ("specialties", services)]
-    return [(f, [x for x in v if x]) for f, v in out if any(v)]
+    return [(f, [x for x in v if x]) for f, v in out if any(v) and (fields is None or f in fields)]
 
 
-def html_facts(pages: DataFrame, closed: bool = False) -> DataFrame:
-    """pages(page_id, url, html) -> (page_id, ord, field, values): one HTML pass in Arrow batches, then native expressions. `closed` as in html.parse."""
+def html_facts(pages: DataFrame, closed: bool = False, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """pages(page_id, url, html) -> (page_id, ord, field, values): one HTML pass in Arrow batches, then native expressions. `closed` and `fields` as in page_facts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(i, k, f, v) for i, u, h in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, (f, v) in enumerate(page_facts(u or "", h or "", closed))]
+        for b in few_rows(batches):
+            rows = [(i, k, f, v) for i, u, h in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, (f, v) in enumerate(page_facts(u or "", h or "", closed, fields))]
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.string())), strict=True)], names=["page_id", "ord", "field", "values"])
 
@@ -135,7 +148,7 @@ def leads(pages: DataFrame, category: Column, location: Column, most: int = 12)
     from sieveline.operators.filters import lead_name
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few_rows(batches):
             got = [lead_texts(h or "", most) for h in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.string()))], names=["page_id", "texts"])
 

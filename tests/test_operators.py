@@ -261,3 +261,17 @@ def test_titles_keep_references_without_a_semicolon(spark):
     root = H.parse(html.format("x"), closed=True)
     assert H.find(root, "a")[0].attrs["href"] == "/?a=1&b=2&c=3" and H.find(root, "script")[0].text(hidden=True) == "x && y"
     assert H.title(H.parse("<title>and&amp</title>")) == "and&"  # HTML's own rule stays the operator's
+
+
+def test_pages_are_read_few_at_a_time_and_for_wanted_fields_alone(spark, monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2 * X.PAGES + 7))], names=["page_id"])
+    parts = list(X.few_rows(iter([batch, batch.slice(0, 3)])))
+    assert [b.num_rows for b in parts] == [X.PAGES, X.PAGES, 7, 3] and sum((b.column(0).to_pylist() for b in parts), []) == [*range(batch.num_rows), 0, 1, 2]
+    pages = spark.createDataFrame([(i, "http://a.com/p", PAGE) for i in range(3)], "page_id long, url string, html string")
+    for fields in (("phone", "address"), ("title", "phone"), ("services",), ()):
+        want = [(r["page_id"], r["field"], r["values"]) for r in X.html_facts(pages).orderBy("page_id", "ord").collect() if r["field"] in fields]
+        assert [(r["page_id"], r["field"], r["values"]) for r in X.html_facts(pages, fields=fields).orderBy("page_id", "ord").collect()] == want
+    monkeypatch.setattr(X.H, "links", lambda *_: pytest.fail("page texts were built"))
+    assert X.page_facts("http://a.com/p", PAGE, fields=("phone",))
