@@ -1,10 +1,10 @@
-"""Set-up of Python workers."""
+"""Set-up of Python workers, and how many tasks share the work."""
 
 from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reach(spark: SparkSession) -> None:
@@ -13,3 +13,13 @@ def reach(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         env["PYTHONPATH"] = ":".join([root, *paths])
+
+
+def tasks(spark: SparkSession) -> int:
+    """A shuffle width that keeps every core busy."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over all tasks: a small file is few tasks otherwise, however many rows each of its rows becomes."""
+    return df.repartition(tasks(df.sparkSession))

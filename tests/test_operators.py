@@ -275,3 +275,27 @@ def test_pages_are_read_few_at_a_time_and_for_wanted_fields_alone(spark, monkeyp
         assert [(r["page_id"], r["field"], r["values"]) for r in X.html_facts(pages, fields=fields).orderBy("page_id", "ord").collect()] == want
     monkeypatch.setattr(X.H, "links", lambda *_: pytest.fail("page texts were built"))
     assert X.page_facts("http://a.com/p", PAGE, fields=("phone",))
+
+
+def test_grid_and_discovery_rows_are_dealt_over_all_tasks_and_meet_no_others(spark):
+    from sieveline.functions.workers import tasks
+
+    g = Gazetteer(expansions={"a": ("b", "a in b", "b"), "z": ()}, regions={"c": ("d", "b in d", "d")}, category_corrections={"q": "q"}, corrections={"q": "q"}, aliases={"q": ("q",)})
+    asked = spark.createDataFrame([(1, "a", "c"), (1, "a", "c"), (2, "z", "y"), (3, "z", ""), (None, "a", "y")], "qid int, category string, location string").coalesce(1)
+
+    def grid(category, location):
+        out = {}
+        for i, c in enumerate(dict.fromkeys([category, *g.expansions[category]])):
+            for k, l in enumerate(g.regions.get(location) or [location] * (location != "")):
+                out.setdefault(f"{c} in {l}", i * 1000 + k)
+        return out
+
+    order = lambda rows: sorted(rows, key=str)
+    got = S.query_grid(asked, g)
+    assert order(tuple(r) for r in got.select("qid", "query", "ord").collect()) == order((r["qid"], t, o) for r in asked.collect() for t, o in grid(r["category"], r["location"]).items())
+    assert "Aggregate" not in got._jdf.queryExecution().toString()
+    one = S.discovery_rows(asked.limit(1), g).collect()
+    assert sorted(map(tuple, S.discovery_rows(asked.where("qid = 1"), g).collect())) == sorted(map(tuple, one * 2))
+    many = asked.select(F.explode(F.sequence(F.lit(1), F.lit(100))).alias("qid"), "category", "location").coalesce(1)
+    for made in (S.query_grid(many, g), S.discovery_rows(many, g)):
+        assert made.select(F.spark_partition_id().alias("p")).distinct().count() == tasks(spark)
