@@ -35,7 +35,7 @@ from pyspark.sql.types import DoubleType
 
 from sieveline.functions import normalize as N
 from sieveline.functions.stored import stored
-from sieveline.functions.workers import reach
+from sieveline.functions.workers import reach, tasks
 from sieveline.plans.dims import LIST_FIELDS, SCALAR_FIELDS
 
 THRESHOLD = 0.86
@@ -405,7 +405,11 @@ def top_hits(scored: DataFrame, keep: int, key: str = "entity_id") -> DataFrame:
 
 def entity_hits(entities: DataFrame, hits: DataFrame, category: Column, location: Column, keep: int, least: float = 0.45) -> DataFrame:
     """entities(entity_id, name, website) with the `keep` hits(entity_id, title, snippet, url, rank) that are surest about each."""
-    from sieveline.operators.filters import hit_score
-
-    score = hit_score(F.col("title"), F.col("snippet"), F.col("url"), F.col("name"), F.col("website"), category, location)
-    return top_hits(hits.join(entities, "entity_id").withColumn("score", score).where(F.col("score") >= least), keep)
+    from sieveline.operators.filters import hit_text, name_words, score_of
+
+    # each text, name and host is read once, in the tasks of the join and the ranking
+    parts = tasks(hits.sparkSession)
+    h = hits.repartition(parts, "entity_id").withColumns({"_text": hit_text(F.col("title"), F.col("snippet"), F.col("url")), "_host": N.authority(F.col("url"))})
+    e = entities.repartition(parts, "entity_id").withColumns({"_words": name_words(F.col("name")), "_site": N.authority(F.col("website"))})
+    score = score_of(*map(F.col, ("_text", "_words", "_host", "_site", "url")), category, location)
+    return top_hits(h.join(e, "entity_id").withColumn("score", score).where(F.col("score") >= least).drop("_text", "_host", "_words", "_site"), keep)

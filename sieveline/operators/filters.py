@@ -183,10 +183,21 @@ def generic_profile(url: Column, category: Column, location: Column) -> Column:
 
 def hit_score(title: Column, snippet: Column, url: Column, name: Column, website: Column, category: Column, location: Column) -> Column:
     """How surely a hit is about a named entity: 0.22 a name word, 0.25 the place, 0.35 its host, 0.10 a profile host."""
-    text = N.name_key(F.concat_ws(" ", N.filled(title), N.filled(snippet), N.filled(url)))
-    words = F.size(F.filter(N.name_tokens(name, N.HIT_IGNORED), lambda t: text.contains(t)))
-    host, site, loc = N.authority(url), N.authority(website), N.name_key(location)
-    score = words * 0.22 + F.when((loc != "") & text.contains(loc), 0.25).otherwise(0.0) + F.when((site != "") & host.contains(site), 0.35).otherwise(0.0) + F.when(any_in(host, PROFILE_HOSTS), 0.1).otherwise(0.0)
+    return score_of(hit_text(title, snippet, url), name_words(name), N.authority(url), N.authority(website), url, category, location)
+
+
+def hit_text(title: Column, snippet: Column, url: Column) -> Column:
+    return N.name_key(F.concat_ws(" ", N.filled(title), N.filled(snippet), N.filled(url)))
+
+
+def name_words(name: Column) -> Column:
+    return N.name_tokens(name, N.HIT_IGNORED)
+
+
+def score_of(text: Column, words: Column, host: Column, site: Column, url: Column, category: Column, location: Column) -> Column:
+    """hit_score() of hit_text(), name_words() and the hosts of hit and website; where these are columns of a table, no word makes the text anew."""
+    loc = N.name_key(location)
+    score = F.size(F.filter(words, lambda t: text.contains(t))) * 0.22 + F.when((loc != "") & text.contains(loc), 0.25).otherwise(0.0) + F.when((site != "") & host.contains(site), 0.35).otherwise(0.0) + F.when(any_in(host, PROFILE_HOSTS), 0.1).otherwise(0.0)
     return F.when(generic_profile(url, category, location), 0.0).otherwise(F.round(score, 6))
 
 

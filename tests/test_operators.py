@@ -299,3 +299,14 @@ def test_grid_and_discovery_rows_are_dealt_over_all_tasks_and_meet_no_others(spa
     many = asked.select(F.explode(F.sequence(F.lit(1), F.lit(100))).alias("qid"), "category", "location").coalesce(1)
     for made in (S.query_grid(many, g), S.discovery_rows(many, g)):
         assert made.select(F.spark_partition_id().alias("p")).distinct().count() == tasks(spark)
+
+
+def test_entity_hits_read_each_text_once(spark):
+    entities = spark.createDataFrame([(1, "Blue Fox", "https://fox.example"), (2, None, None), (None, "No One", "")], "entity_id int, name string, website string")
+    rows = [(1, "Blue Fox", "in Austin", "https://fox.example/a", 1), (1, "blue", None, "https://yelp.com/b", 0), (1, "other", "", "https://z.example", 2), (1, "Fox Blue", "austin", "u", 3), (2, "x", "austin", "v", 0), (None, "No One", "austin", "w", 0)]
+    hits = spark.createDataFrame(rows, "entity_id int, title string, snippet string, url string, rank int")
+    got = D.entity_hits(entities, hits, F.lit("cafes"), F.lit("austin"), 2, 0.2)
+    score = L.hit_score(*map(F.col, ("title", "snippet", "url", "name", "website")), F.lit("cafes"), F.lit("austin"))
+    want = D.top_hits(hits.join(entities, "entity_id").withColumn("score", score).where("score >= 0.2"), 2)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 3
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("concat_ws") == 1
