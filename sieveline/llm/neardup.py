@@ -220,14 +220,15 @@ def confirmed(lists: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, nu
     wanted = lists.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
     # one text of each set that some list holds; at scale Spark filters the scan by the hashes wanted
     texts = with_row_text(docs.select("text")).select(F.xxhash64("text").alias("text_hash"), "text")
-    texts = texts.join(wanted.hint("shuffle_hash"), "text_hash").select("node", "text")
+    # copies go where the join put them, before their sets are made: sets, larger than texts, are not shuffled for it
+    texts = texts.join(wanted.hint("shuffle_hash"), "text_hash").dropDuplicates(["text_hash"]).select("node", "text")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, 1000):
             h, off = doc_words(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(h[off[i] : off[i + 1]], size).tobytes() for i in range(b.num_rows)], pa.binary())], names=["node", "members"])
 
-    sets = materialize(texts.mapInArrow(fill, "node long, members binary").dropDuplicates(["node"]), "sets")
+    sets = materialize(texts.mapInArrow(fill, "node long, members binary"), "sets")
 
     def link(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
         node = t.column("node").to_numpy()
