@@ -5,6 +5,11 @@ leading zeros and some mantissa bits (16 bits in all). Runs of ROWS registers ar
 that share a band key are candidates; a Jaccard estimate from equal registers, corrected for
 values that agree by chance, drops the hopeless ones, and full shingle sets decide about the rest.
 
+A set of few shingles leaves most buckets empty, and a band of one shingle and five empty buckets would put all short
+texts with one common sentence in one list. Sets of up to SHORT shingles so have the keys of SHORT_BANDS bands whose registers
+each hold the least of another hash over the whole set; sets of larger ones, and of sizes that can be similar to
+these, have the keys of the buckets. Sets too small to be similar enough to any other set have no key.
+
 No pair list is made. Texts of one shingle set are one class from the start. A band key's classes
 are a list; equal lists are one. A list of more than LIST_MOST classes or LIST_SHINGLES shingles is long: it is
 dealt twice at random into parts within these bounds, which joins groups of near copies, and then every class
@@ -15,7 +20,7 @@ spanning forest leave the task; components join them. A long list of near copies
 of texts that share a key and little else costs its square over LIST_MOST.
 
 Two texts at the threshold of 0.85 share none of the 32 keys of 6 registers with a chance of 3e-7, at 0.80 of
-3e-5; no other step loses a link. Shingles and sets are known by 64-bit hashes.
+6e-5 (short texts, with 40 keys: 6e-9 and 5e-6); no other step loses a link. Shingles and sets are known by 64-bit hashes.
 
 Defined results: null and empty texts have 0 shingles and link with nothing; copies link, however
 short; equal rows and repeated ids are judged each; a null doc_id never represents others unless all
@@ -37,6 +42,8 @@ ROWS, BANDS = 6, 32
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
+SHORT = 2 * REGISTERS
+SHORT_BANDS = 40
 LIST_MOST = 2_000
 LIST_SHINGLES = 4_000_000  # 8 bytes each
 
@@ -58,19 +65,32 @@ def registers(sets: np.ndarray, of: np.ndarray, rows: int) -> np.ndarray:
     value = mix(sets ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(12)  # 52 bits, exact as doubles
     least = np.full(rows * REGISTERS, np.uint64(1 << 52), np.uint64)
     np.minimum.at(least, of * REGISTERS + bucket, value)
+    return packed(least).reshape(rows, REGISTERS)
+
+
+def packed(least: np.ndarray) -> np.ndarray:
+    """Hashes of 52 bits as leading zeros and mantissa; EMPTY for 1 << 52."""
     full = least < np.uint64(1 << 52)
     fraction, exponent = np.frexp(np.maximum(least, np.uint64(1)).astype(np.float64))
     zeros = np.minimum(52 - exponent, 62)
     low = ((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.int64)
-    return np.where(full, (zeros << MANTISSA) | low, int(EMPTY)).astype(np.uint16).reshape(rows, REGISTERS)
+    return np.where(full, (zeros << MANTISSA) | low, int(EMPTY)).astype(np.uint16)
+
 
+def short_registers(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(rows, registers) of 16 bits: of each set, none of them empty, the least of each of SHORT_BANDS * ROWS hashes."""
+    least = np.empty((len(starts), len(FACTORS)), np.uint64)
+    for k, factor in enumerate(FACTORS):
+        least[:, k] = np.minimum.reduceat(sets * factor, starts)
+    return packed(least >> np.uint64(12))
 
-def band_keys(regs: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """(rows, bands) of 64-bit keys; 0 where a band has no value at all."""
+
+def band_keys(regs: np.ndarray, columns: np.ndarray, first: int = 1) -> np.ndarray:
+    """(rows, bands) of 64-bit keys, bands numbered from `first`; 0 where a band has no value at all."""
     out = np.zeros((len(regs), len(columns)), np.uint64)
     for b, cols in enumerate(columns):
         part = regs[:, cols]
-        h = np.full(len(regs), np.uint64(b + 1), np.uint64)
+        h = np.full(len(regs), np.uint64(b + first), np.uint64)
         for k in range(part.shape[1]):
             h = mix(h * np.uint64(5) + part[:, k].astype(np.uint64))
         out[:, b] = np.where((part == EMPTY).all(1), np.uint64(0), h | np.uint64(1))
@@ -78,6 +98,8 @@ def band_keys(regs: np.ndarray, columns: np.ndarray) -> np.ndarray:
 
 
 SHALLOW = np.arange(REGISTERS).reshape(BANDS, ROWS)
+WHOLE = np.arange(SHORT_BANDS * ROWS).reshape(SHORT_BANDS, ROWS)
+FACTORS = mix(np.arange(1, WHOLE.size + 1, dtype=np.uint64)) | np.uint64(1)  # a shingle's hash times an odd number is another hash
 
 
 def octaves(n: np.ndarray) -> np.ndarray:
@@ -96,7 +118,23 @@ def estimate(regs: np.ndarray, zeros: np.ndarray, i: int) -> np.ndarray:
     return (same - chance) / (1 - chance)
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
+def set_keys(flat: np.ndarray, lens: np.ndarray, regs: np.ndarray, numerator: int, denominator: int) -> list[np.ndarray]:
+    """The band keys of each set. Of two sets similar enough, both have the keys of short sets or both those of the buckets."""
+    links = (lens > 0) & (denominator * lens >= numerator * (lens + 1))  # most similar is a set of one shingle more
+    short, long = links & (lens <= SHORT), links & (denominator * lens >= numerator * SHORT)
+    out = [np.zeros(0, np.int64)] * len(lens)
+    if short.any():
+        rows, own = np.flatnonzero(short), flat[np.repeat(short, lens)]
+        keys = band_keys(short_registers(own, np.cumsum(lens[rows]) - lens[rows]), WHOLE, BANDS + 1)
+        for i, k in zip(rows.tolist(), keys.astype(np.int64), strict=True):
+            out[i] = k
+    rows = np.flatnonzero(long)
+    for i, k in zip(rows.tolist(), band_keys(regs[rows], SHALLOW).astype(np.int64), strict=True):
+        out[i] = np.concatenate((out[i], k[k != 0]))
+    return out
+
+
+def signatures(docs: DataFrame, size: int, numerator: int = 80, denominator: int = 100) -> DataFrame:
     """(doc_id, n_shingles, node, text_hash, regs, keys) of each row; node is the hash of the set, null without one."""
     ensure_workers(docs.sparkSession)
     fields = "doc_id long, text_hash long, n_shingles long, node long, regs binary, keys array<long>"
@@ -108,13 +146,13 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             lens = np.array([len(s) for s in sets], np.int64)
             flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), lens)
             regs = registers(flat, of, len(sets))
-            keys = band_keys(regs, SHALLOW).astype(np.int64)
+            keys = set_keys(flat, lens, regs, numerator, denominator)
             ends = np.concatenate(([0], np.cumsum(lens)))
             sums = np.concatenate(([np.uint64(0)], np.cumsum(mix(flat + np.uint64(7)))))  # a set's sum of mixed hashes names it
             node = mix((sums[ends[1:]] - sums[ends[:-1]]) ^ lens.astype(np.uint64)).astype(np.int64)
             empty = lens == 0
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(lens), pa.array(node, mask=empty), pa.array([None if e else r.tobytes() for e, r in zip(empty, regs, strict=True)], pa.binary()), pa.array([k[k != 0] for k in keys], pa.list_(pa.int64()))],
+                [b.column(0), b.column(1), pa.array(lens), pa.array(node, mask=empty), pa.array([None if e else r.tobytes() for e, r in zip(empty, regs, strict=True)], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=[x.split()[0] for x in fields.split(", ")],
             )
 
@@ -244,7 +282,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, numerator: int = 80, denomin
     """(doc_id, text_hash, node, n_shingles, component_id, kept) of each row of docs: links are pairs of texts
     with denominator * |A and B| >= numerator * |A or B| over shingles of `size` words."""
     spark = docs.sparkSession
-    signed = materialize(signatures(docs, size), "signatures")
+    signed = materialize(signatures(docs, size, numerator, denominator), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("n_shingles").alias("n_shingles"))
     regs = signed.where("node is not null").select("node", "text_hash", "regs").dropDuplicates(["node", "text_hash"])
     nodes = materialize(nodes.join(regs, ["node", "text_hash"]), "nodes")

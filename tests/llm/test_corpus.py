@@ -177,6 +177,27 @@ def test_nodes_of_a_long_list_meet_unless_joined_already(spark):
     assert neardup.remaining_lists(long, joined.where("root = 1").unionByName(spark.createDataFrame([(22, 1)], "node long, root long")), most=6).count() == 0
 
 
+def test_short_texts_with_a_common_sentence_share_no_list_for_it(spark):
+    rng = random.Random(6)
+    sentence = [f"s{k}" for k in range(12)]
+    texts = [" ".join([f"w{rng.randrange(10**9)}" for _ in range(n)] + sentence) for n in range(20, 60) for _ in range(8)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[0] + " end"])), "doc_id long, text string")
+    lists, long = neardup.candidate_lists(neardup.signatures(df, 3))
+    assert lists.groupBy("list").count().agg(F.max("count")).first()[0] < 10 and long.isEmpty()
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, 3).collect()} == {i: i % 320 for i in range(321)}
+
+
+@pytest.mark.parametrize(("num", "a", "b"), [(85, 6, 7), (80, 4, 5), (85, 60, 70), (85, 327, 384), (85, 328, 385), (85, 384, 385), (85, 384, 451), (80, 308, 385), (80, 384, 480)])
+def test_sets_at_the_threshold_share_a_key_at_any_size(num, a, b):
+    rng = np.random.default_rng(a)
+    for _ in range(50):
+        large = rng.integers(1, 1 << 63, b, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, b, dtype=np.uint64)
+        flat, lens = np.concatenate((np.sort(large[:a]), np.sort(large))), np.array([a, b])  # the one is part of the other
+        assert 100 * a >= num * b
+        one, other = neardup.set_keys(flat, lens, neardup.registers(flat, np.repeat([0, 1], lens), 2), num, 100)
+        assert set(one.tolist()) & set(other.tolist())
+
+
 def test_near_duplicates_of_odd_rows(spark):
     for df in (odd(spark), odd(spark).limit(0)):
         assert neardup.near_duplicates(df).count() == df.count()
