@@ -255,11 +255,12 @@ def forest(sets: list[np.ndarray], comp: np.ndarray, numerator: int, denominator
 
 def confirmed(lists: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, numerator: int, denominator: int, parts: int) -> DataFrame:
     """(a, b): links between nodes, confirmed on full sets, that span each list's components."""
-    wanted = lists.select("node").distinct().join(nodes.select("node", "text_hash"), "node")
+    wanted = lists.select("node").distinct().join(nodes.select("node", "row"), "node")
     # one text of each set that some list holds; at scale Spark filters the scan by the hashes wanted
-    texts = with_row_text(docs.select("text")).select(F.xxhash64("text").alias("text_hash"), "text")
-    # copies go where the join put them, before their sets are made: sets, larger than texts, are not shuffled for it
-    texts = texts.join(wanted.hint("shuffle_hash"), "text_hash").dropDuplicates(["text_hash"]).select("node", "text")
+    texts = with_row_text(docs.select(F.col("doc_id").cast("long"), "text")).select(F.xxhash64(F.xxhash64("text"), "doc_id").alias("row"), "text")
+    # copies have rows of their own, and so go to many tasks and meet nothing there; repeated rows go where the join
+    # put them, before their sets are made: sets, larger than texts, are not shuffled for it
+    texts = texts.join(wanted.hint("shuffle_hash"), "row").dropDuplicates(["row"]).select("node", "text")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches, 1000):
@@ -284,7 +285,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, numerator: int = 80, denomin
     spark = docs.sparkSession
     signed = materialize(signatures(docs, size, numerator, denominator), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("n_shingles").alias("n_shingles"))
-    regs = signed.where("node is not null").select("node", "text_hash", "regs").dropDuplicates(["node", "text_hash"])
+    # of a set's least text, one row stands for all copies; it is known by its hash and id
+    regs = signed.where("node is not null").groupBy("node", "text_hash").agg(F.first("regs").alias("regs"), F.xxhash64("text_hash", F.min("doc_id")).alias("row"))
     nodes = materialize(nodes.join(regs, ["node", "text_hash"]), "nodes")
     lists, long = candidate_lists(signed, most, heavy)
 

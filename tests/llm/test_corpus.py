@@ -187,6 +187,17 @@ def test_short_texts_with_a_common_sentence_share_no_list_for_it(spark):
     assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df, 3).collect()} == {i: i % 320 for i in range(321)}
 
 
+def test_copies_are_not_gathered_to_find_one_of_them(spark, monkeypatch):
+    dealt = []
+    held = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, name: held(df, name) if name != "sets" else dealt.append(df) or held(df, name))
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, text), (5, text), (5, text), (4, text.upper()), *((i, text) for i in range(10, 60)), (None, text + " end"), (None, text + " end"), (3, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3)
+    assert [r["component_id"] for r in got.collect()] == [4] * (len(rows) - 1) + [3]
+    assert dealt[0].count() == 2 and "hashpartitioning(row" in dealt[0]._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(("num", "a", "b"), [(85, 6, 7), (80, 4, 5), (85, 60, 70), (85, 327, 384), (85, 328, 385), (85, 384, 385), (85, 384, 451), (80, 308, 385), (80, 384, 480)])
 def test_sets_at_the_threshold_share_a_key_at_any_size(num, a, b):
     rng = np.random.default_rng(a)
