@@ -47,12 +47,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: str | None = None, rows_per_file: int = 0) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost
-    executor costs only the tasks that read the files again."""
+    executor costs only the tasks that read the files again. rows_per_file: for rows of megabytes, as writers
+    and readers hold many rows of a file at once (0: no limit)."""
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -13,9 +13,13 @@ one number of each, so common words make no hot task. A block sends at most FAN
 there are more hash ranges than that, blocks form teams, a team's asks of one wide range are merged in one task and go on to
 the ranges inside it, and the answers come back the same way. A team has as many blocks as there are wide
 ranges, about the square root of the ranges, so a task merges what one block holds and messages grow
-far slower than blocks times ranges. What EM needs of the held-out tokens is
+far slower than blocks times ranges. Teams store all asks and shuffle them twice, so they are left to some 8 billion
+tokens and more. What EM needs of the held-out tokens is
 a table over context octaves and quarter-octaves of both estimates, of bounded size.
 
+Memory follows the size of a block and of a hash range, not the corpus: integers are compressed in their rows, blocks are few
+to a file and read one at a time, and a task scores some BLOCKS_PER_TASK blocks.
+
 Words are known by 64-bit hashes, bigrams by PAIR_BITS bits.
 
 Defined results: a null or empty text is its end token alone; equal rows are scored and counted
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,27 +39,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm._shared import ensure_workers, materialize, stream_groups, with_row_text
-from sieveline.llm._text import doc_words, mix, rows_of
+from sieveline.llm._text import doc_words, mix, release, rows_of
 
 BLOCK_TOKENS = 1 << 20
 ASKS_PER_TASK = 1 << 21
 PAIR_BITS = 56
-#: Messages of a kind that a block sends at most; more hash ranges than that are reached through teams.
-FAN = 64
+#: Messages of a kind that a block sends at most, some 256 pairs in each then; more hash ranges than that are reached through teams.
+FAN = 4096
+#: Blocks in a file: Spark's reader holds up to 4,096 rows of a file at once, and a block is one row of megabytes.
+BLOCKS_PER_FILE = 4
+#: Blocks that a task scores, about.
+BLOCKS_PER_TASK = 8
 CORE, HELD, TEST, TEAM = 0, 1, 2, 3
 END, START = np.uint64(0x656E64), np.uint64(0x7374617274)
 OCTAVES = 40
 MARKS = "block long, role int, doc_ids array<long>, lens binary, vocab binary, tokens binary, n_tokens long"
 
 
+@cache
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
+
+
 def squeeze(x: np.ndarray) -> bytes:
-    """Integers as planes of bytes, which compress well where high bytes are alike."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+    """Integers as planes of bytes, which compress well where high bytes are alike; compressed here, as rows would
+    otherwise stand at full length in Arrow batches, sorts and readers of files."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T)
+    return len(x).to_bytes(4, "little") + _zstd().compress(planes, asbytes=True)
 
 
 def spread(raw: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+    size, n = np.dtype(kind).itemsize, int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(_zstd().decompress(memoryview(raw)[4:], n * size), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(-1)
 
 
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -148,15 +165,19 @@ def _shift(kind: int, buckets: int) -> int:
 def asks(marked: DataFrame, buckets: int) -> DataFrame:
     """(kind, bucket, block, role, hashes, counts, core): a block's different words (1) and pairs (2) with their counts in it, none in core."""
 
+    def of_block(row: dict) -> pa.RecordBatch:
+        _, vocab, tokens, pairs, of, _ = _open(row)
+        rows = []
+        for kind, keys, counts in ((1, vocab, np.bincount(tokens, minlength=len(vocab))), (2, pairs, np.bincount(of, minlength=len(pairs)))):
+            for k, at in _cut(keys, _shift(kind, buckets), 0, buckets):
+                rows.append((kind, k, row["block"], row["role"], squeeze(np.diff(keys[at], prepend=np.uint64(0))), squeeze(counts[at].astype(np.uint32)) if row["role"] != TEST else None, None))
+        return _batch(rows, ASK)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
-                _, vocab, tokens, pairs, of, _ = _open(row)
-                rows = []
-                for kind, keys, counts in ((1, vocab, np.bincount(tokens, minlength=len(vocab))), (2, pairs, np.bincount(of, minlength=len(pairs)))):
-                    for k, at in _cut(keys, _shift(kind, buckets), 0, buckets):
-                        rows.append((kind, k, row["block"], row["role"], squeeze(np.diff(keys[at], prepend=np.uint64(0))), squeeze(counts[at].astype(np.uint32)) if row["role"] != TEST else None, None))
-                yield _batch(rows, ASK)
+            for i in range(b.num_rows):
+                yield of_block(b.slice(i, 1).to_pylist()[0])
+        release()
 
     return marked.select("block", "role", "lens", "vocab", "tokens").mapInArrow(ask, ASK)
 
@@ -164,9 +185,10 @@ def asks(marked: DataFrame, buckets: int) -> DataFrame:
 def _summed(t: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ends of the asks' hashes, different hashes, number of each hash asked among them, learning counts, those of them not held out)."""
     hashes = [np.cumsum(spread(x, np.uint64)) for x in t.column("hashes").to_pylist()]
-    keys, of = np.unique(np.concatenate(hashes), return_inverse=True)
-    every, core = np.zeros(sum(map(len, hashes))), np.zeros(sum(map(len, hashes)))
     ends = np.cumsum([0, *map(len, hashes)])
+    hashes = np.concatenate(hashes)
+    keys, of = np.unique(hashes, return_inverse=True)
+    every, core = np.zeros(len(hashes)), np.zeros(len(hashes))
     for i, (role, c, own) in enumerate(zip(t.column("role").to_pylist(), t.column("counts").to_pylist(), t.column("core").to_pylist(), strict=True)):
         if c is not None:
             every[ends[i] : ends[i + 1]] = spread(c, np.uint32)
@@ -278,11 +300,19 @@ def exchanged(marked: DataFrame, asks_per_task: int = ASKS_PER_TASK, fan: int =
     return answers_by_teams(materialize(asks(marked, wide), "asks"), wide, buckets, teams, max(2 * buckets, least))
 
 
+def _dealt(own: DataFrame, told: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks and what they were told, dealt by block to more tasks than usual where a task would have many blocks."""
+    tasks = -(-own.count() // BLOCKS_PER_TASK)
+    if tasks <= int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return own, told
+    return own.repartition(tasks, "block"), told.repartition(tasks, "block")
+
+
 def score(docs: DataFrame, parts: int = 7, test: int = 2, held: int = 6, block_tokens: int = BLOCK_TOKENS, asks_per_task: int = ASKS_PER_TASK, fan: int = FAN) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): learned from texts whose
     crc32(doc_id as text) mod parts is not `test`, weights from those where it is `held`."""
     spark = docs.sparkSession
-    marked = materialize(blocks(docs, parts, test, held, block_tokens), "blocks")
+    marked = materialize(blocks(docs, parts, test, held, block_tokens), "blocks", rows_per_file=BLOCKS_PER_FILE)
     replies = materialize(exchanged(marked, asks_per_task, fan), "counts")
     sums = replies.where("block = -1 and kind = 1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_core", "v", "v_core"))).first()
     uniform, uniform_core = 1 / (sums["v"] + 1), 1 / (sums["v_core"] + 1)
@@ -293,13 +323,12 @@ def score(docs: DataFrame, parts: int = 7, test: int = 2, held: int = 6, block_t
         if left.num_rows and right.num_rows:
             f2, f1, octave, _, _ = _estimates(left.to_pylist()[0], _gathered(right, "core"), n_core)
             q = lambda f: np.where(f > 0, np.round(-4 * np.log2(np.maximum(f, 1e-30))).astype(int), 999)
-            key, of = np.unique(np.stack([octave, q(f2), q(f1)], 1), axis=0, return_inverse=True)
-            of = of.reshape(-1)
-            out = [key[:, 0], key[:, 1], key[:, 2], np.bincount(of), np.bincount(of, f2), np.bincount(of, f1)]
+            key, of = np.unique((octave * 1000 + q(f2)) * 1000 + q(f1), return_inverse=True)
+            out = [key // 1_000_000, key // 1000 % 1000, key % 1000, np.bincount(of), np.bincount(of, f2), np.bincount(of, f1)]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(out or [[]] * 6, kinds, strict=True)], names=["octave", "q2", "q1", "n", "s2", "s1"])
 
-    own, told = marked.where(F.col("role") == HELD), replies.where(F.col("role") == HELD)
+    own, told = _dealt(marked.where(F.col("role") == HELD), replies.where(F.col("role") == HELD))
     seen = own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(events, "octave long, q2 long, q1 long, n long, s2 double, s1 double")
     table = seen.groupBy("octave", "q2", "q1").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")).orderBy("octave", "q2", "q1").toPandas()  # bounded by the octaves and steps
     weights = learn_weights(np.stack([table["octave"], table["s2"] / table["n"], table["s1"] / table["n"], table["n"]], 1).astype(float) if len(table) else np.zeros((0, 4)), uniform_core)
@@ -316,5 +345,5 @@ def score(docs: DataFrame, parts: int = 7, test: int = 2, held: int = 6, block_t
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    told = replies.where("block >= 0").select("block", "kind", "bucket", "counts")
-    return marked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    own, told = _dealt(marked, replies.where("block >= 0").select("block", "kind", "bucket", "counts"))
+    return own.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

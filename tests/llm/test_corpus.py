@@ -332,6 +332,21 @@ def test_teams_bring_the_same_counts_by_fewer_messages(spark):
     assert sent[1] <= 2.2 * sent[0]  # four times the blocks and ranges: twice the messages a block, not four times
 
 
+def test_rows_of_many_tokens_are_packed_and_few_to_a_file(spark, monkeypatch):
+    rng, stored = random.Random(8), {}
+    monkeypatch.setattr(lmscore, "materialize", lambda df, name, *a, **b: stored.setdefault(name, materialize(df, name, *a, **b)))
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(30)) for _ in range(250)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    assert lmscore.score(df, block_tokens=100, asks_per_task=100).count() == 250
+    assert "asks" not in stored  # some 100 ranges need no table of all messages, which is larger than the texts
+    in_file = [r["count"] for r in stored["blocks"].groupBy(F.input_file_name().alias("file")).count().collect()]
+    assert max(in_file) <= 4 and sum(in_file) > 40  # Spark's reader holds thousands of rows of a file at once
+    keys = np.unique(np.random.RandomState(1).randint(0, 1 << 56, 1 << 18).astype(np.uint64))
+    raw = lmscore.squeeze(np.diff(keys, prepend=np.uint64(0)))
+    assert len(raw) < 6 * len(keys) and (np.cumsum(lmscore.spread(raw, np.uint64)) == keys).all()
+    assert not len(lmscore.spread(lmscore.squeeze(keys[:0]), np.uint64))
+
+
 def test_weights_follow_held_out_counts():
     rows = np.array([[3, 0.5, 0.01, 90], [3, 0.0, 0.01, 10], [8, 0.0, 0.2, 100]], float)
     w = lmscore.learn_weights(rows, 1e-6)
